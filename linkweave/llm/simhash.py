@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 def _planes(values: np.ndarray) -> np.ndarray:
     """(blocks, 64) words: bit k of word p of a block is bit p of its k-th value. values: (blocks, 64)."""
     bits = np.unpackbits(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(*values.shape, 8), axis=-1, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=-1, bitorder="little").view("<u8")[..., 0].copy()
+    return np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=-1, bitorder="little")).view("<u8")[..., 0]
 
 
 def near(values: np.ndarray, pairs: np.ndarray, radius: int, step: int = 8) -> np.ndarray:
