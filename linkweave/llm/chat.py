@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import partitions
+from linkweave.llm.common import frugal, partitions
 
 #: Strings that chat templates use to steer a model.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|turn|>", "<|text|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -123,7 +123,7 @@ def format_conversations(turns: DataFrame, template: Callable[..., str] = turns_
         if rows:
             yield flush()
 
-    return ordered.mapInArrow(of, FORMATTED)
+    return ordered.mapInArrow(frugal(of), FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
@@ -143,7 +143,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history"])
 
-    return formatted.select("conv_id", "formatted", "rewrites_history", "loss_spans").mapInArrow(of, DIGEST)
+    return formatted.select("conv_id", "formatted", "rewrites_history", "loss_spans").mapInArrow(frugal(of), DIGEST)
 
 
 #: The same by SQL, for conversations and conversation -7.

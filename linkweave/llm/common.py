@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,17 +77,6 @@ def labelled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = jumped
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of each batch's links, as stars: at most a row for each node."""
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-            label = labelled(len(nodes), at[: len(a)], at[len(a) :])
-            child = np.flatnonzero(label != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[child]), pa.array(nodes[label[child]])], names=["a", "b"])
-
-
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has a link to another; links: two long columns.
 
@@ -94,7 +85,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     links are written to the shared checkpoint folder. Nothing but a count and a sum reaches the driver."""
     one, two = links.columns[:2]
     edges = links.select(F.col(one).cast("long").alias("a"), F.col(two).cast("long").alias("b")).where("a <> b")
-    edges = edges.mapInArrow(_contract, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, seen = checkpointed(edges), None
     for _ in range(most_rounds):
         told = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -122,6 +113,20 @@ def packed_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     return starts[at], reach[np.concatenate([at[1:] - 1, [len(starts) - 1]])]
 
 
+def frugal(task: Callable) -> Callable:
+    """The same function of batches, which gives memory back when it ends: Python workers stay for later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not the GNU C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def scratch() -> str:
     """A folder for one task's own files, which it removes before it ends; another task never reads them."""
     return tempfile.mkdtemp(prefix="linkweave-task-", dir=os.environ.get("TMPDIR"))

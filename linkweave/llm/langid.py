@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.llm.common import slices
+from linkweave.llm.common import frugal, slices
 
 SAMPLE, TEXT_BYTES, MOST_LANGUAGES = 600, 16384, 400
 BUCKETS, DIMENSIONS, ORDERS = 1 << 15, 16, (3, 4, 5)
@@ -157,11 +157,11 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected for each row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             lang, score, rejected = zip(*map(model.predict, batch.column(1).to_pylist()), strict=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(frugal(of), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from linkweave.llm.common import slices
+from linkweave.llm.common import frugal, slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -194,4 +194,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group: int =
         if rows:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(of, PACKED + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(frugal(of), PACKED + ", ids array<int>" * with_ids)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import slices
+from linkweave.llm.common import frugal, slices
 
 SYMBOLS = b"#*$%&|<>"
 # Phrases of page furniture, in lower case.
@@ -102,25 +102,25 @@ def judge(docs: DataFrame, least_share: float = 0.6) -> DataFrame:
     """doc_id and JUDGED for each row of docs."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             columns = zip(*(judge_text(x, least_share) for x in batch.column(1).to_pylist()), strict=True)
             kinds = [pa.int64()] * 7 + [pa.bool_()] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", *re.findall(r"(\w+) \w+", JUDGED)])
 
-    return docs.select("doc_id", "text").mapInArrow(of, f"doc_id long, {JUDGED}")
+    return docs.select("doc_id", "text").mapInArrow(frugal(of), f"doc_id long, {JUDGED}")
 
 
 def clean(docs: DataFrame, least_share: float = 0.6) -> DataFrame:
     """The rows of docs that are kept, all their columns, with text (and n_chars, if there is one) after the failing lines went."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             at = batch.schema.get_field_index("text")
             found = [judge_text(x, least_share, clean=True) for x in batch.column(at).to_pylist()]
             batch = batch.set_column(at, "text", pa.array([x[-1] for x in found], batch.schema.field(at).type))
             yield batch.filter(pa.array([x[-2] for x in found]))
 
-    kept = docs.mapInArrow(of, docs.schema)
+    kept = docs.mapInArrow(frugal(of), docs.schema)
     return kept.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else kept
 
 

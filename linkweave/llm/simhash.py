@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.llm.common import checkpointed, components, labelled, partitions, slices, whole_groups
+from linkweave.llm.common import checkpointed, components, frugal, labelled, partitions, slices, whole_groups
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = 64
@@ -49,11 +49,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp long: the 64 bits as a signed number) for each row of docs."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             found = np.array([fingerprint((x or "").encode(), shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(of), "doc_id long, fp long")
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ def links(nodes: DataFrame, radius: int = 4, tile: int = 16384) -> DataFrame:
             i, j = _linked(fp.view(np.uint64), group, side, radius)
             yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
 
-    return dealt.mapInArrow(of, "a long, b long")
+    return dealt.mapInArrow(frugal(of), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:

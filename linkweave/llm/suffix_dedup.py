@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import packed_ranges, partitions, scratch, slices, utf8, whole_groups
+from linkweave.llm.common import frugal, packed_ranges, partitions, scratch, slices, utf8, whole_groups
 
 WINDOW, KGRAM = 100, 32
 NULL_ID = np.iinfo(np.int64).min
@@ -432,8 +432,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     def dealt(blobs: DataFrame) -> DataFrame:
         return blobs.repartition(n, "part").sortWithinPartitions("part", "kind")
 
-    texts = keyed.mapInArrow(_documents(n), BLOB)
-    places = dealt(keyed.mapInArrow(_anchored(n), BLOB)).mapInArrow(_repeated(n), BLOB)
-    strings = dealt(places.union(texts)).mapInArrow(_cut(n), BLOB)
-    ranges = dealt(strings).mapInArrow(_sorted(n), BLOB)
-    return dealt(ranges.union(texts)).mapInArrow(_removed(with_text), REMOVED + ", kept binary" * with_text)
+    texts = keyed.mapInArrow(frugal(_documents(n)), BLOB)
+    places = dealt(keyed.mapInArrow(frugal(_anchored(n)), BLOB)).mapInArrow(frugal(_repeated(n)), BLOB)
+    strings = dealt(places.union(texts)).mapInArrow(frugal(_cut(n)), BLOB)
+    ranges = dealt(strings).mapInArrow(frugal(_sorted(n)), BLOB)
+    return dealt(ranges.union(texts)).mapInArrow(frugal(_removed(with_text)), REMOVED + ", kept binary" * with_text)
