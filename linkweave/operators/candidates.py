@@ -31,13 +31,21 @@ def expansion(cases: DataFrame, anchors: DataFrame, edges: DataFrame, names: Dat
     """Names that call an anchored callee or are called by an anchored caller, with the support of each;
     every level at which an edge is seen counts once."""
     env = ["lua_version", "architecture"]
-    seen = edges.where((F.col("graph_role") == "reference") & (F.col("strip_mode") == policy.strip_mode)).select(*env, "src_name", "dst_name", "opt_level").distinct()
+    # one row for each pair and its levels, for reference names alone, before anchors multiply them
+    seen = edges.where((F.col("graph_role") == "reference") & (F.col("strip_mode") == policy.strip_mode))
+    seen = seen.groupBy(*env, "src_name", "dst_name").agg(F.array_sort(F.collect_set("opt_level")).alias("opt_levels"))
     asked = anchors.join(cases.select("case_id", *env), "case_id").select("case_id", *env, "relation", "anchor")
-    calling = asked.where("relation = 'callee'").join(seen, [F.col("anchor") == F.col("dst_name"), *[asked[c] == seen[c] for c in env]]).select("case_id", F.lit("candidate_calls_anchor").alias("edge_relation"), "anchor", F.col("src_name").alias("name"), "opt_level")
-    called = asked.where("relation = 'caller'").join(seen, [F.col("anchor") == F.col("src_name"), *[asked[c] == seen[c] for c in env]]).select("case_id", F.lit("anchor_calls_candidate").alias("edge_relation"), "anchor", F.col("dst_name").alias("name"), "opt_level")
-    support = calling.unionByName(called).join(names, "name", "left_semi").join(retrieved.select("case_id", "name").distinct(), ["case_id", "name"], "left_anti")
-    primary = F.col("opt_level") == policy.primary_opt
-    return support.groupBy("case_id", "name").agg(F.count_if(primary).alias("primary_support"), F.count_if(~primary).alias("auxiliary_support"), F.slice(F.array_sort(F.collect_list(F.struct("edge_relation", "anchor", "opt_level"))), 1, 50).alias("supporting_edges"))
+
+    def side(relation: str, edge_relation: str, end: str, other: str) -> DataFrame:
+        pairs = seen.select(*env, F.col(end).alias("anchor"), F.col(other).alias("name"), "opt_levels").join(names, "name", "left_semi")
+        found = asked.where(F.col("relation") == relation).join(pairs, [*env, "anchor"])
+        return found.select("case_id", "name", F.lit(edge_relation).alias("edge_relation"), "anchor", "opt_levels")
+
+    support = side("callee", "candidate_calls_anchor", "dst_name", "src_name").unionByName(side("caller", "anchor_calls_candidate", "src_name", "dst_name"))
+    primary = F.array_contains("opt_levels", policy.primary_opt).cast("int")
+    lines = F.transform("opt_levels", lambda o: F.struct(F.col("edge_relation").alias("edge_relation"), F.col("anchor").alias("anchor"), o.alias("opt_level")))
+    grown = support.groupBy("case_id", "name").agg(F.sum(primary).alias("primary_support"), F.sum(F.size("opt_levels") - primary).alias("auxiliary_support"), F.slice(F.array_sort(F.flatten(F.collect_list(lines))), 1, 50).alias("supporting_edges"))
+    return grown.join(retrieved.select("case_id", "name").distinct(), ["case_id", "name"], "left_anti")
 
 
 def expansion_top(expanded: DataFrame, policy: Policy) -> DataFrame:
