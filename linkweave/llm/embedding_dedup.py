@@ -185,3 +185,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, prefix: int = PREFI
     joined = rows.select("vec_id").join(counts, "vec_id", "left").join(group_of, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+#: The same by SQL, for embeddings: all pairs (small tables only).
+ORACLE = r"""
+WITH RECURSIVE usable AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a, usable b WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT DISTINCT a AS n, a AS r FROM links UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.r = links.a),
+least AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n),
+counts AS (SELECT a AS n, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM embeddings LEFT JOIN least ON least.n = vec_id LEFT JOIN counts ON counts.n = vec_id
+"""

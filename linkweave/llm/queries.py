@@ -59,4 +59,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_packing, op9_mixing, op10_simhash)
 }
-ORACLES = {"op1_chat_format": chat.ORACLE, "op2_quality_rules": quality.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+#: Tokens, XXH64 fingerprints and trained models can't be had from SQL; tests hold op7, op8 and op10 against plain versions.
+ORACLES = {
+    "op1_chat_format": chat.ORACLE,
+    "op2_quality_rules": quality.ORACLE,
+    "op3_sharding": sharding.ORACLE,
+    "op4_embedding_dedup": embedding_dedup.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
+    "op6_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}

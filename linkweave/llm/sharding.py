@@ -95,3 +95,25 @@ def shuffled(docs: DataFrame, shards: int = 40, seed: str = "linkweave") -> Data
     placed = placed.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy("slot", "shard")))
     joined = keyed.withColumn("__k", F.row_number().over(each)).alias("a").join(placed.alias("b"), F.expr("a.__id <=> b.__id AND a.__size = b.__size AND a.__crc = b.__crc AND a.__k = b.__k"))
     return joined.select(*[F.col(f"a.`{c}`") for c in docs.columns], "shard", "slot")
+
+
+#: The same by SQL, for documents; CRC-32 byte by byte.
+ORACLE = r"""
+WITH RECURSIVE poly AS (SELECT list(list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY k) AS t FROM range(256) r(k)),
+bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+  list_transform(range(octet_length(encode(coalesce(text, '')))), lambda i: ('0x' || hex(array_slice(encode(coalesce(text, '')), i + 1, i + 1)))::BIGINT) AS b FROM documents),
+keyed AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])))::BIGINT AS crc FROM bytes, poly),
+numbered AS (SELECT *, row_number() OVER (ORDER BY substr(md5(coalesce(doc_id::VARCHAR, '~') || '|' || size || '|' || crc), 1, 3), doc_id NULLS FIRST, size, crc) - 1 AS x FROM keyed),
+shape AS (SELECT count(*) AS n, greatest(1, floor(sqrt(count(*)))::BIGINT) AS a, ceil(count(*) / greatest(1, floor(sqrt(count(*)))))::BIGINT AS b FROM keyed),
+walk AS (
+  SELECT x AS start, x, 0 AS step FROM numbered
+  UNION ALL
+  SELECT start, l4 * b + r4, step + 1 FROM (
+    SELECT *, (r2 + ('0x' || substr(md5('linkweave|3|' || l4), 1, 8))::BIGINT) % b AS r4 FROM (
+      SELECT *, (l2 + ('0x' || substr(md5('linkweave|2|' || r2), 1, 8))::BIGINT) % a AS l4 FROM (
+        SELECT *, (r0 + ('0x' || substr(md5('linkweave|1|' || l2), 1, 8))::BIGINT) % b AS r2 FROM (
+          SELECT *, (l0 + ('0x' || substr(md5('linkweave|0|' || r0), 1, 8))::BIGINT) % a AS l2 FROM (
+            SELECT start, step, x // b AS l0, x % b AS r0, a, b FROM walk, shape WHERE step = 0 OR x >= n)))))),
+placed AS (SELECT start, x AS place FROM walk, shape WHERE step > 0 AND x < n)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, (place % 40)::INT AS shard, place // 40 AS slot, NULL::INT AS grown_shard FROM numbered JOIN placed ON start = numbered.x
+"""

@@ -437,3 +437,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     strings = dealt(places.union(texts)).mapInArrow(frugal(_cut(n)), BLOB)
     ranges = dealt(strings).mapInArrow(frugal(_sorted(n)), BLOB)
     return dealt(ranges.union(texts)).mapInArrow(frugal(_removed(with_text)), REMOVED + ", kept binary" * with_text)
+
+
+#: The same by SQL, for documents: all windows (small tables only).
+ORACLE = r"""
+WITH docs AS (SELECT DISTINCT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+windows AS (SELECT doc_id, i, array_slice(b, i + 1, i + 100) AS w FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 99)) AS i FROM docs WHERE octet_length(b) >= 100)),
+later AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS FIRST, i) > 1),
+begun AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, -1) AS fresh FROM later),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM begun) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, hi AS a, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS z FROM spans UNION ALL SELECT doc_id, 0, min(lo) FROM spans GROUP BY doc_id),
+kept AS (SELECT g.doc_id, string_agg(hex(array_slice(b, a + 1, coalesce(z, octet_length(b)))), '' ORDER BY a) AS h FROM gaps g JOIN docs USING (doc_id) GROUP BY g.doc_id),
+sums AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, octet_length(encode(coalesce(d.text, '')))::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN h IS NULL THEN sha256(coalesce(d.text, '')) ELSE sha256(unhex(h)) END AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
