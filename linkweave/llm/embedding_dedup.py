@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import checkpointed, components, labelled, partitions, whole_groups
+from linkweave.llm.common import checkpointed, components, frugal, labelled, partitions, whole_groups
 
 SAMPLE, MOST_PIVOTS, PREFIX, SHARED, TILE = 4096, 2048, 14, 4, 4096
 
@@ -152,9 +152,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, prefix: int = PREFI
             buffers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(row), [None, pa.py_buffer(packed[row].tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(own.ravel().astype(np.int32)), pa.array(ids[row]), buffers.cast(pa.binary())], names=["pivot", "vec_id", "packed"])
 
-    index = usable.mapInArrow(listed, "pivot int, vec_id long, packed binary")
+    index = usable.mapInArrow(frugal(listed), "pivot int, vec_id long, packed binary")
     sizes = dict(index.groupBy("pivot").count().collect())  # a row for each pivot, MOST_PIVOTS at most
-    tiles = F.element_at(F.array(*[F.lit(-(-sizes.get(k, 1) // tile)) for k in range(n)]), F.col("pivot") + 1)
+    tiles = F.element_at(F.expr(f"array({','.join(str(-(-sizes.get(k, 1) // tile)) for k in range(n))})"), F.col("pivot") + 1)
     cut = index.withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
     meets = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     group = F.concat_ws(",", F.col("pivot"), F.least("mine", "other"), F.greatest("mine", "other"))
@@ -179,7 +179,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, prefix: int = PREFI
                 if len(some):
                     yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(count[some]), pa.array(own[label[some]])], names=["a", "n", "b"])
 
-    found = checkpointed(dealt.mapInArrow(compared, "a long, n long, b long"))  # a row for each vector and list at most
+    found = checkpointed(dealt.mapInArrow(frugal(compared), "a long, n long, b long"))  # a row for each vector and list at most
     counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     group_of = components(found.select("a", "b")).withColumnRenamed("node", "vec_id")
     joined = rows.select("vec_id").join(counts, "vec_id", "left").join(group_of, "vec_id", "left")

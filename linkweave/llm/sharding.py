@@ -62,7 +62,7 @@ def numbered(rows: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
         sums[bucket], total = total, total + n
     if not total:
         return rows.select(*key, F.lit(0).cast("long").alias("row_no")).limit(0), 0
-    first = F.element_at(F.array(*[F.lit(sums.get(k, 0)).cast("long") for k in range(BUCKETS)]), F.col("__bucket") + 1)
+    first = F.element_at(F.expr(f"array({','.join(f'{sums.get(k, 0)}L' for k in range(BUCKETS))})"), F.col("__bucket") + 1)
     before = F.sum("__n").over(Window.partitionBy("__bucket").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))
     spread = counted.withColumn("__at", F.coalesce(before, F.lit(0).cast("long")) + first)
     return spread.select(*key, F.explode(F.sequence(F.col("__at"), F.col("__at") + F.col("__n") - 1)).alias("row_no")), total
