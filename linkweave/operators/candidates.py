@@ -27,18 +27,16 @@ def first_of_list(cases: DataFrame, candidates: DataFrame) -> DataFrame:
     return cases.select("case_id").join(first, "case_id", "left").select("case_id", F.coalesce("retrieval_top1", F.lit("")).alias("retrieval_top1"))
 
 
-def expansion(cases: DataFrame, anchors: DataFrame, edges: DataFrame, names: DataFrame, retrieved: DataFrame, policy: Policy) -> DataFrame:
+def expansion(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: DataFrame, retrieved: DataFrame, policy: Policy) -> DataFrame:
     """Names that call an anchored callee or are called by an anchored caller, with the support of each;
-    every level at which an edge is seen counts once."""
+    every level at which an edge is seen counts once. pairs: as of operators.store.pair_levels()."""
     env = ["lua_version", "architecture"]
-    # one row for each pair and its levels, for reference names alone, before anchors multiply them
-    seen = edges.where((F.col("graph_role") == "reference") & (F.col("strip_mode") == policy.strip_mode))
-    seen = seen.groupBy(*env, "src_name", "dst_name").agg(F.array_sort(F.collect_set("opt_level")).alias("opt_levels"))
     asked = anchors.join(cases.select("case_id", *env), "case_id").select("case_id", *env, "relation", "anchor")
 
     def side(relation: str, edge_relation: str, end: str, other: str) -> DataFrame:
-        pairs = seen.select(*env, F.col(end).alias("anchor"), F.col(other).alias("name"), "opt_levels").join(names, "name", "left_semi")
-        found = asked.where(F.col("relation") == relation).join(pairs, [*env, "anchor"])
+        # reference names alone, before anchors multiply the pairs
+        named = pairs.select(*env, F.col(end).alias("anchor"), F.col(other).alias("name"), "opt_levels").join(names, "name", "left_semi")
+        found = asked.where(F.col("relation") == relation).join(named, [*env, "anchor"])
         return found.select("case_id", "name", F.lit(edge_relation).alias("edge_relation"), "anchor", "opt_levels")
 
     support = side("callee", "candidate_calls_anchor", "dst_name", "src_name").unionByName(side("caller", "anchor_calls_candidate", "src_name", "dst_name"))

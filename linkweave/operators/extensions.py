@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkweave.checkpoints import written
 from linkweave.functions.names import truthy
 from linkweave.policy import Policy
 
@@ -50,15 +50,12 @@ def propagate(step: Callable[[DataFrame], DataFrame], seeds: DataFrame, most_rou
     """Runs step(seeds) -> results, adds what was accepted to the seeds, and goes on until nothing is added.
 
     Each round's seeds are written to the shared checkpoint folder; a count alone reaches the driver."""
-    context = seeds.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(seeds.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkweave-checkpoint-"))
-    known = seeds.select("query_key", "reference_function_name").distinct().checkpoint()
+    known = written(seeds.select("query_key", "reference_function_name").distinct())
     n = known.count()
     for k in range(1, most_rounds + 1):
         found = step(known).where(F.col("status") == "accepted").select(F.col("query_func").alias("query_key"), F.col("predicted_function_name").alias("reference_function_name"))
         fresh = found.where(truthy("query_key")).groupBy("query_key").agg(F.min("reference_function_name").alias("reference_function_name")).join(known, "query_key", "left_anti")
-        known = known.unionByName(fresh).checkpoint()
+        known = written(known.unionByName(fresh))
         was, n = n, known.count()
         if n == was:
             return known, k

@@ -128,7 +128,7 @@ def _anchors(t: Tables) -> DataFrame:
 
 
 def _expanded(t: Tables) -> DataFrame:
-    return C.expansion(t.cases, _anchors(t), t.edges, store.reference_names(t.functions), C.retrieval_candidates(t.listed), POLICY)
+    return C.expansion(t.cases, _anchors(t), store.pair_levels(t.edges), store.reference_names(t.functions), C.retrieval_candidates(t.listed), POLICY)
 
 
 def _run(t: Tables) -> runs.Scored:

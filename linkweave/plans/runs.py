@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.checkpoints import written
 from linkweave.functions.names import truthy
 from linkweave.operators import anchors as A
 from linkweave.operators import candidates as C
@@ -29,13 +30,16 @@ def build_store(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
+    # anchors, pairs and candidates are each read several times below
+    anchors, pairs = written(anchors), written(store.pair_levels(edges, policy.strip_mode))
     retrieved = C.retrieval_candidates(listed)
     top = None
     if policy.expansion_enabled:
-        top = C.expansion_top(C.expansion(cases, anchors, edges, store.reference_names(functions), retrieved, policy), policy)
+        top = C.expansion_top(C.expansion(cases, anchors, pairs, store.reference_names(functions), retrieved, policy), policy)
     candidates = C.combined(retrieved, top, policy)
-    bound = candidates.join(cases.select("case_id", "lua_version", "architecture"), "case_id")
-    scored = scoring.score(bound, scoring.name_links(anchors), store.pair_levels(edges, policy.strip_mode), policy)
+    bound = written(candidates.join(cases.select("case_id", "lua_version", "architecture"), "case_id"))
+    candidates = bound.drop("lua_version", "architecture")
+    scored = scoring.score(bound, scoring.name_links(anchors), pairs, policy)
     ranked = D.rerank(scored, policy)
     return Scored(anchors, candidates, ranked, D.case_results(cases, ranked, anchors, policy))
 

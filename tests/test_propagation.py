@@ -6,7 +6,7 @@ import pytest
 
 from linkweave.operators import anchors as A
 from linkweave.operators import candidates as C
-from linkweave.operators import decide, metrics
+from linkweave.operators import decide, metrics, store
 from linkweave.operators import extensions as X
 from linkweave.plans.runs import evaluate_hybrid, propagate_from_anchors
 from linkweave.policy import Policy
@@ -72,7 +72,7 @@ def test_expansion_counts_every_level_and_scorer_one(spark):
     w = World(spark, [("x", "a", "O0"), ("x", "a", "O2"), ("x", "a", "O3"), ("y", "a", "O2"), ("y", "a", "O3")], [("1", "callee", 0, "a")], [], [("a", "a")])
     names = w.functions.selectExpr("function_name as name")
     found = A.anchored_neighbours(w.neighbours, w.cases, w.seeds, names, Policy())
-    grown = C.expansion(w.cases, found, w.edges, names, C.retrieval_candidates(w.listed), Policy())
+    grown = C.expansion(w.cases, found, store.pair_levels(w.edges), names, C.retrieval_candidates(w.listed), Policy())
     assert by(grown, "name", "primary_support", "auxiliary_support") == {"x": (1, 2), "y": (0, 2)}
     assert by(w.propagate().ranked, "name", "primary_matches", "auxiliary_matches") == {"x": (1, 0), "y": (0, 1)}
 
