@@ -185,10 +185,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     prints = checkpointed(fingerprints(docs, shingle))  # 16 bytes a document; read three times
     # equal fingerprints become one node, named by the fingerprint, before anything is compared
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius))
-    named = nodes.join(found, nodes.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "component").select("fp", "component_id")
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius)).select(F.col("node").alias("fp"), "component")
+    # a row for each component of two or more, written first: so a component with most of the rows can be split in the join
+    least = checkpointed(nodes.join(found, "fp").groupBy("component").agg(F.min("least").alias("component_id")))
+    named = nodes.join(found, "fp", "left").join(least, "component", "left")
+    # (where there is no id at all in a component, both are null)
+    names = named.select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
