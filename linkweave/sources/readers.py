@@ -12,6 +12,7 @@ from linkweave.functions.names import normalized_architecture, truthy
 from linkweave.policy import Policy
 from linkweave.sources import schemas
 
+# Directory names that make up an environment.
 ARCHITECTURES = ("aarch64", "arm64", "x86_64")
 STRIP_MODES = ("nostrip", "stripped")
 
