@@ -430,7 +430,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
 
     def dealt(blobs: DataFrame) -> DataFrame:
-        return blobs.repartition(n, "part").sortWithinPartitions("part", "kind")
+        # each part is a partition; hashing the few numbers would put several into one
+        return blobs.repartitionById(n, "part").sortWithinPartitions("part", "kind")
 
     texts = keyed.mapInArrow(frugal(_documents(n)), BLOB)
     places = dealt(keyed.mapInArrow(frugal(_anchored(n)), BLOB)).mapInArrow(frugal(_repeated(n)), BLOB)
