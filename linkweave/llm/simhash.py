@@ -46,14 +46,15 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long: the 64 bits as a signed number) for each row of docs."""
+    """(doc_id, fp long: the 64 bits as a signed number) for each row of docs, and the columns of keyed() if it has them."""
+    more = [c for c in ("__t", "__r") if c in docs.columns]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             found = np.array([fingerprint((x or "").encode(), shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(frugal(of), "doc_id long, fp long")
+    return docs.select("doc_id", "text", *more).mapInArrow(frugal(of), "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -194,13 +195,32 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id and text, with what tells rows apart where ids don't: __t, a hash of the text, and __r, one of all columns."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("__t"), F.xxhash64(*docs.columns).alias("__r"))
 
-def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of docs that stay: of each component the document with the smallest doc_id, once; rows with a null id stay where
-    no other row of the component has an id. All their columns."""
-    prints = near_duplicates(docs, radius, shingle)
-    stay = prints.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
-    # an id that comes more than once stays with its first text
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return kept.withColumn("__k", F.row_number().over(first)).where("__k = 1").drop("__k")
+
+def one_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of docs for each component, with all its columns: the smallest id's (nulls last), then the smallest hash's.
+
+    rows: (doc_id, __t, __r, component) for each row of docs. Rows that agree in all three have one text, so one component."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__t", "__r")).alias("k")
+    stay = rows.groupBy("component").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.__t").alias("__kt"), F.col("k.__r").alias("__kr"))
+    marked = docs.withColumns({"__t": F.xxhash64("text"), "__r": F.xxhash64(*docs.columns)})
+    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__kt")) & (F.col("__r") == F.col("__kr")))
+    again = Window.partitionBy("__id", "__kt", "__kr").orderBy("__r")  # repeated rows
+    return kept.withColumn("__k", F.row_number().over(again)).where("__k = 1").select(*docs.columns)
+
+
+def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, ids_once: bool = True) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id; a row with a null id where no other row of the
+    component has one. ids_once: of the components that one id represents with several texts, only the first by text hash stays."""
+    prints = checkpointed(fingerprints(keyed(docs), shingle))
+    nodes = prints.select("fp").distinct()
+    found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius)).select(F.col("node").alias("fp"), "component")
+    names = nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    kept = one_each(docs, prints.join(names, "fp"))
+    if not ids_once:
+        return kept
+    taken = kept.where("doc_id IS NOT NULL").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__k = 1").drop("__k")
+    return taken.unionByName(kept.where("doc_id IS NULL"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -68,3 +69,11 @@ def test_run_is_the_stages(spark, rows, tmp_path):
     assert out.count() > 0 and P.ORACLE_SQL is None
     spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
     assert P.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_near_duplicate_stage_keeps_a_row_of_every_component(spark):
+    one, two, three, four = (" ".join(f"{w}{k}" for k in range(80)) for w in ("river", "stone", "cloud", "field"))
+    rows = [(None, one), (None, one), (None, two), (None, three), (7, three), (5, two), (9, four), (9, two), (None, None), (9, "alone here"), (9, four)]
+    docs = spark.createDataFrame([(d, t, "en", "s1", 1) for d, t in rows], DOCS).repartition(4)
+    got = Counter((r["doc_id"], r["text"]) for r in P.simhash_stage(spark, docs, "").collect())
+    assert got == Counter([(None, one), (5, two), (7, three), (9, four), (9, "alone here"), (None, None)])
