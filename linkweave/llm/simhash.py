@@ -27,18 +27,24 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = 64
 
 
-def fingerprint(text: bytes, shingle: int = 4) -> int:
-    """The SimHash of one text: bit b is 1 if it is set in over half of the shingles' XXH64 (seed 42)."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of the text's words; of the whole sequence if it is no longer than one, or empty."""
     words = text.translate(LOWER).split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype="<u8")
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])
     n, h = len(words) - shingle + 1, xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[i:j], 42) for i, j in zip(starts[:n].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+    return np.array([h(joined[i:j], 42) for i, j in zip(starts[:n].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int = 4) -> int:
+    """The SimHash of one text: bit b is 1 if it is set in over half of the shingles' XXH64 (seed 42)."""
+    if not text.split():
+        return 0
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
     votes = np.zeros(64, np.int64)
     for k in range(0, n, 1 << 16):
         votes += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -200,16 +206,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("__t"), F.xxhash64(*docs.columns).alias("__r"))
 
 
+def picked(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The columns of docs and of keys for the rows of docs that keys names by (__id, __kt, __kr), each once where rows are repeated."""
+    marked = docs.withColumns({"__t": F.xxhash64("text"), "__r": F.xxhash64(*docs.columns)})
+    kept = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__kt")) & (F.col("__r") == F.col("__kr")))
+    again = Window.partitionBy("__id", "__kt", "__kr").orderBy("__r")
+    return kept.withColumn("__k", F.row_number().over(again)).where("__k = 1")
+
+
+#: SQL of what orders the rows that may stand for others: the smallest id's comes first (nulls last), then the smallest hash's.
+FIRST = "struct(doc_id IS NULL AS none, doc_id, __t, __r)"
+KEY = {"__id": "k.doc_id", "__kt": "k.__t", "__kr": "k.__r"}
+
+
 def one_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row of docs for each component, with all its columns: the smallest id's (nulls last), then the smallest hash's.
+    """One row of docs for each component, with all its columns.
 
-    rows: (doc_id, __t, __r, component) for each row of docs. Rows that agree in all three have one text, so one component."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__t", "__r")).alias("k")
-    stay = rows.groupBy("component").agg(first).select(F.col("k.doc_id").alias("__id"), F.col("k.__t").alias("__kt"), F.col("k.__r").alias("__kr"))
-    marked = docs.withColumns({"__t": F.xxhash64("text"), "__r": F.xxhash64(*docs.columns)})
-    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__kt")) & (F.col("__r") == F.col("__kr")))
-    again = Window.partitionBy("__id", "__kt", "__kr").orderBy("__r")  # repeated rows
-    return kept.withColumn("__k", F.row_number().over(again)).where("__k = 1").select(*docs.columns)
+    rows: (k: FIRST of a row, component). Rows of docs that agree in id and both hashes have one text, so one component."""
+    stay = rows.groupBy("component").agg(F.min("k").alias("k")).select(*[F.col(v).alias(c) for c, v in KEY.items()])
+    return picked(docs, stay).select(*docs.columns)
 
 
 def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, ids_once: bool = True) -> DataFrame:
@@ -219,7 +234,7 @@ def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, ids_once
     nodes = prints.select("fp").distinct()
     found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius)).select(F.col("node").alias("fp"), "component")
     names = nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
-    kept = one_each(docs, prints.join(names, "fp"))
+    kept = one_each(docs, prints.join(names, "fp").select(F.expr(FIRST).alias("k"), "component"))
     if not ids_once:
         return kept
     taken = kept.where("doc_id IS NOT NULL").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__k = 1").drop("__k")
