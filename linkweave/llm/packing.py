@@ -99,28 +99,21 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int,
         room[-1] = total - capacity * (n - 1)
     pieces: list[list[tuple[int, int, int, int]]] = [[] for _ in lengths]
     size = list(room)
-    # by_cost holds (cost, sequence); what has no room for the length now asked has none for a longer one either, but may have for shorter ones
-    by_cost = [(0.0, k) for k in range(n)]
-    heapq.heapify(by_cost)
+    # the whole group's sequences are asked for each remainder: their number is bounded by the group's
+    free, costs = np.array(room, np.int64), np.zeros(n)
     left: list[int] = []
     for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
-        length, aside = lengths[d], []
+        length = lengths[d]
         if not length:
             continue
-        while by_cost and room[by_cost[0][1]] < length:
-            aside.append(heapq.heappop(by_cost))
-            if len(aside) >= 64:  # the cheapest ones are the emptiest, but for the last; the rest is cut
-                break
-        if by_cost and room[by_cost[0][1]] >= length:
-            c, k = heapq.heappop(by_cost)
-            pieces[d].append((0, length, k, size[k] - room[k]))
-            room[k] -= length
-            if room[k]:
-                heapq.heappush(by_cost, (c + cost(length), k))
-        else:
+        k = int(np.where(free >= length, costs, np.inf).argmin())
+        if free[k] < length:
             left.append(d)
-        for x in aside:
-            heapq.heappush(by_cost, x)
+            continue
+        pieces[d].append((0, length, k, size[k] - int(free[k])))
+        free[k] -= length
+        costs[k] += cost(length)
+    room = free.tolist()
     open_ = [(-r, k) for k, r in enumerate(room) if r]
     heapq.heapify(open_)
     for d in left:

@@ -120,3 +120,20 @@ def test_costs_are_balanced():
 def test_empty_and_extra_columns(nothing, docs, clashing):
     assert table(packing.pack(nothing, PATH)) == []
     assert table(packing.pack(clashing, PATH)) == table(packing.pack(docs, PATH))
+
+
+def test_only_what_fits_nowhere_is_cut():
+    """Each remainder, in descending order, against a plain search of all sequences."""
+    rng = np.random.default_rng(4)
+    lengths = np.concatenate([rng.integers(1, 300, 3000), rng.integers(300, 2048, 1000)]).tolist()
+    total = sum(lengths)
+    room = [2048] * (total // 2048) + [total % 2048] * (total % 2048 > 0)
+    costs, whole = [0.0] * len(room), {}
+    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+        fits = [(c, k) for k, c in enumerate(costs) if room[k] >= lengths[d]]
+        if fits:
+            whole[d] = k = min(fits)[1]
+            room[k] -= lengths[d]
+            costs[k] += packing.cost(lengths[d])
+    pieces = packing.assign(lengths)
+    assert {d: own[0][2] for d, own in enumerate(pieces) if len(own) == 1 and d in whole} == whole
