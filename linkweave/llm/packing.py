@@ -7,8 +7,8 @@ cost that has room for it. A group's sequences hold exactly its tokens, so when
 is cut, into the sequences with most room left; only a group's last sequence is short, and that one is padded to the next
 power of two.
 
-Defined cases: a null text is as an empty one, and has one token, the end id; special tokens' strings in a text are ordinary
-text; repeated rows are packed as often as they come; null ids are carried; other columns are ignored; an empty table
+Defined cases: a null text is as an empty one, and has one token, the end id; an added token's string in a text is that
+token, as the library has it by default; repeated rows are packed as often as they come; null ids are carried; other columns are ignored; an empty table
 gives an empty result. Sequence ids hold the number of the task's partition and a count: the same input files
 and splits give the same packing, so a lost task is repeated alike."""
 
@@ -40,7 +40,8 @@ class Encoder:
     """Token ids of texts, as the tokenizers library gives them for a byte-level BPE file.
 
     The merges run in tiktoken, which is several times faster, with the ranks and the splitting rule that the file itself has;
-    a file whose ids aren't in the order of its merges is refused, and the first texts of every worker are encoded by both."""
+    a file whose ids aren't in the order of its merges is refused, and the first texts of every worker are encoded by both.
+    Texts that hold an added token are encoded by the library itself."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -48,7 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters = _byte_letters()
@@ -60,14 +61,17 @@ class Encoder:
         self.checked = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        ids = [np.array(self.fast.encode_ordinary(t), np.uint32) for t in texts]
+        ids = [np.array(self._library(t) if any(a in t for a in self.added) else self.fast.encode_ordinary(t), np.uint32) for t in texts]
         if self.checked < CHECKED:
             for t, x in zip(texts[:CHECKED], ids, strict=False):
-                if self.tokenizer.encode(t, add_special_tokens=False).ids != x.tolist():
+                if self._library(t) != x.tolist():
                     raise ValueError("the two libraries differ")
                 self.checked += 1
         return ids
 
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
 
 def _byte_letters() -> dict[str, int]:
     """The letter that byte-level BPE files write for each byte: itself if it is visible Latin-1, else one from U+0100 on."""

@@ -137,3 +137,13 @@ def test_only_what_fits_nowhere_is_cut():
             costs[k] += packing.cost(lengths[d])
     pieces = packing.assign(lengths)
     assert {d: own[0][2] for d, own in enumerate(pieces) if len(own) == 1 and d in whole} == whole
+
+
+def test_added_tokens_are_the_librarys(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "no<|endoftext|><|endoftext|>gap\n", "<|endoftext", "plain"]
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [x.tolist() for x in packing.encoder(PATH).encode(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"][:-1] for r in packing.pack(docs, PATH, with_ids=True).collect()} == dict(enumerate(want))
