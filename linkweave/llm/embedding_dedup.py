@@ -11,8 +11,8 @@ pairs are never written out. Lists of over `tile` vectors are cut into tiles, ev
 Bounds (parameters): pivots are chosen, farthest first, from SAMPLE vectors, the only ones that reach the driver; every vector
 is indexed. Their number grows with the square root of the table up to MOST_PIVOTS. Recall is measured in the tests.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than most of
-the sample link with nothing; so do rows with a null id. Rows that repeat an id and vector are one vector and get one result each; an id
+Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows with a null
+id. Vectors of different lengths don't link; each length has a sample and pivots of its own. Rows that repeat an id and vector are one vector and get one result each; an id
 with several vectors links if one of them does. Ties of distance go to the pivot first in order. Other columns, labels among them, are
 ignored; an empty table gives an empty result."""
 
@@ -119,48 +119,55 @@ def linked(x: np.ndarray, sets: np.ndarray, ids: np.ndarray, pivot: int, cut: in
     return count, label
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, prefix: int = PREFIX, shared: int = SHARED, tile: int = TILE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row."""
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"))
-    usable = rows.where("vec_id is not null and v is not null")
-    total = usable.count()
+def _pivots(usable: DataFrame, total: int, prefix: int, shared: int) -> tuple[np.ndarray, int, int] | None:
+    """The pivots for vectors of one length, the rarest first, and prefix and shared for so many; None if nothing can link."""
     seen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
     seen = seen if isinstance(seen, pa.Array) else pa.concat_arrays(seen.chunks) if seen.num_chunks else pa.array([], pa.list_(pa.float32()))
     _, sample = unit(seen)
     wanted = 1 << max(6, min(MOST_PIVOTS, round(2 * total**0.5)).bit_length())
     pivots = choose_pivots(sample, min(MOST_PIVOTS, wanted))
     if not len(pivots):
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return None
     prefix = min(prefix, len(pivots))
-    shared = min(shared, prefix)
     often = np.bincount(nearest_pivots(sample, pivots, prefix).ravel(), minlength=len(pivots))
-    pivots = pivots[np.argsort(often, kind="stable")]  # the rarest first
-    n, width = len(pivots), pivots.shape[1]
+    return pivots[np.argsort(often, kind="stable")], prefix, min(shared, prefix)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, prefix: int = PREFIX, shared: int = SHARED, tile: int = TILE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row."""
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"))
+    usable = rows.where("vec_id is not null and v is not null")
+    lengths = dict(usable.groupBy(F.size("v")).count().collect())  # a row for each length
+    tables = [t for width, total in sorted(lengths.items()) if width and (t := _pivots(usable.where(F.size("v") == width), total, prefix, shared))]
+    if not tables:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    first = np.cumsum([0, *[len(pivots) for pivots, _, _ in tables]])  # pivots are numbered through all lengths
+    n = int(first[-1])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1)
             lengths = pc.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False)
-            at, x = _unit(values.flatten(), lengths, width)
-            if not len(at):
-                continue
-            near = nearest_pivots(x, pivots, prefix)
-            own = np.sort(near, axis=1)[:, : prefix - shared + 1]
-            row = np.repeat(np.arange(len(at)), own.shape[1])
-            packed = np.concatenate([bitsets(near, n).view(np.uint8), x.view(np.uint8)], axis=1)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-            buffers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(row), [None, pa.py_buffer(packed[row].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(own.ravel().astype(np.int32)), pa.array(ids[row]), buffers.cast(pa.binary())], names=["pivot", "vec_id", "packed"])
+            for (pivots, prefix, shared), start in zip(tables, first[:-1], strict=True):
+                at, x = _unit(values.flatten(), lengths, pivots.shape[1])
+                if not len(at):
+                    continue
+                near = nearest_pivots(x, pivots, prefix)
+                own = np.sort(near, axis=1)[:, : prefix - shared + 1] + start
+                row = np.repeat(np.arange(len(at)), own.shape[1])
+                packed = np.concatenate([bitsets(near, len(pivots)).view(np.uint8), x.view(np.uint8)], axis=1)
+                ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
+                buffers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(row), [None, pa.py_buffer(packed[row].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel().astype(np.int32)), pa.array(ids[row]), buffers.cast(pa.binary())], names=["pivot", "vec_id", "packed"])
 
     index = usable.mapInArrow(frugal(listed), "pivot int, vec_id long, packed binary")
-    sizes = dict(index.groupBy("pivot").count().collect())  # a row for each pivot, MOST_PIVOTS at most
+    sizes = dict(index.groupBy("pivot").count().collect())  # a row for each pivot, MOST_PIVOTS for each length at most
     tiles = F.element_at(F.expr(f"array({','.join(str(-(-sizes.get(k, 1) // tile)) for k in range(n))})"), F.col("pivot") + 1)
     cut = index.withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
     meets = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     group = F.concat_ws(",", F.col("pivot"), F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 0).otherwise(F.when(F.col("mine") < F.col("other"), 1).otherwise(2))
     dealt = meets.select(group.alias("g"), "pivot", side.alias("side"), "vec_id", "packed").repartition(partitions(vectors.sparkSession), "g").sortWithinPartitions("g", "side", "vec_id")
-    words = -(-n // 64)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g, pivot, side, ids, packed in whole_groups(batches, 0):
@@ -168,13 +175,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, prefix: int = PREFI
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2:
                     continue
+                which = int(np.searchsorted(first, pivot[a], side="right")) - 1
+                pivots, _, shared = tables[which]
+                words = -(-len(pivots) // 64)
                 data = np.frombuffer(b"".join(packed[a:b]), np.uint64).reshape(b - a, -1)
                 sets, x = data[:, :words], data[:, words:].view(np.float64)
                 fresh = np.concatenate([[True], (ids[a + 1 : b] != ids[a : b - 1]) | (data[1:] != data[:-1]).any(1)])
                 sides, own = side[a:b][fresh], ids[a:b][fresh]
                 if sides[-1] and not sides[0] < sides[-1]:
                     continue
-                count, label = linked(x[fresh], sets[fresh], own, int(pivot[a]), int(np.searchsorted(sides, 2)) if sides[0] else None, cosine, shared)
+                count, label = linked(x[fresh], sets[fresh], own, int(pivot[a] - first[which]), int(np.searchsorted(sides, 2)) if sides[0] else None, cosine, shared)
                 some = np.flatnonzero(count)
                 if len(some):
                     yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(count[some]), pa.array(own[label[some]])], names=["a", "n", "b"])

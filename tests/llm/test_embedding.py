@@ -64,3 +64,14 @@ def test_empty_and_all_unusable(spark):
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 5, 9, 9), (2, [1.0, 0.1], 6, 9, 9)], SCHEMA + ", n_links int, component_id int")
     assert table(E.near_duplicates(df)) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_each_length_links_by_itself(spark):
+    """Random directions of three lengths, each with an exact copy."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for start, n, d in ((0, 200, 32), (1000, 60, 48), (2000, 1, 24)):
+        x = rng.normal(size=(n, d)).astype(np.float32).tolist()
+        rows += [(start + 2 * k + c, v, 0) for k, v in enumerate(x) for c in (0, 1)]
+    got = table(E.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+    assert sorted(got) == [(i, 1, i - i % 2, i % 2 == 0) for i in sorted(r[0] for r in rows)]
