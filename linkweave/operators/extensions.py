@@ -1,4 +1,6 @@
-"""Documented by the blueprint, not part of its inventory of implemented operators."""
+"""Documented by the blueprint, not part of its inventory of implemented operators.
+
+Left out: X9, X3's mutual bonus, X6's llm_evidence and X7's custom_suspected."""
 
 from __future__ import annotations
 
@@ -46,20 +48,21 @@ def conflicts_by_margin(results: DataFrame, policy: Policy) -> DataFrame:
     return ranked.withColumn("resolved_status", F.when((F.col("status") == "accepted") & (F.col("rivals") > 1) & ~wins, "deferred").otherwise(F.col("status")))
 
 
-def propagate(step: Callable[[DataFrame], DataFrame], seeds: DataFrame, most_rounds: int = 10) -> tuple[DataFrame, int]:
-    """Runs step(seeds) -> results, adds what was accepted to the seeds, and goes on until nothing is added.
+def propagate(step: Callable[[DataFrame], DataFrame], seeds: DataFrame) -> tuple[DataFrame, int]:
+    """Runs step(seeds) -> results, adds what was accepted to the seeds, and goes on until nothing is added: each round adds a query key at
+    least, so it ends. The number of rounds is returned too.
 
     Each round's seeds are written to the shared checkpoint folder; a count alone reaches the driver."""
     known = written(seeds.select("query_key", "reference_function_name").distinct())
-    n = known.count()
-    for k in range(1, most_rounds + 1):
+    n, rounds = known.count(), 0
+    while True:
+        rounds += 1
         found = step(known).where(F.col("status") == "accepted").select(F.col("query_func").alias("query_key"), F.col("predicted_function_name").alias("reference_function_name"))
         fresh = found.where(truthy("query_key")).groupBy("query_key").agg(F.min("reference_function_name").alias("reference_function_name")).join(known, "query_key", "left_anti")
         known = written(known.unionByName(fresh))
         was, n = n, known.count()
         if n == was:
-            return known, k
-    return known, most_rounds
+            return known, rounds
 
 
 def mapping_export(results: DataFrame) -> DataFrame:

@@ -558,7 +558,7 @@ def propagate_fixpoint(t: Tables) -> DataFrame:
     """Rounds of propagation; rows only."""
     seeds = A.seed_anchors(t.mappings)
     step = lambda known: runs.propagate_from_anchors(t.cases, t.neighbours, known, t.listed, t.functions, t.edges, POLICY).results
-    return X.propagate(step, seeds, 3)[0]
+    return X.propagate(step, seeds)[0]
 
 
 @query(DECIDED + "SELECT case_id, CASE WHEN list_contains(reasons, 'no_candidates') THEN 'rejected' ELSE status END AS status, predicted AS reference_function_name FROM results")

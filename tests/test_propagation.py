@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkweave.operators import anchors as A
 from linkweave.operators import candidates as C
@@ -159,3 +160,12 @@ def test_propagation_reaches_a_fixpoint(spark):
     known, rounds = X.propagate(step, w.seeds)
     assert {(r[0], r[1]) for r in known.collect()} == {("a", "a"), ("?1", "x"), ("?2", "y")}
     assert rounds == 3
+
+
+def test_propagation_has_no_most_rounds(spark):
+    """A chain in which each round accepts the next function."""
+    chain = spark.createDataFrame([(f"q{k}", f"q{k + 1}", f"r{k + 1}") for k in range(13)], "was string, query_func string, predicted_function_name string")
+    step = lambda known: chain.join(known, chain["was"] == known["query_key"]).select("query_func", "predicted_function_name").withColumn("status", F.lit("accepted"))
+    known, rounds = X.propagate(step, spark.createDataFrame([("q0", "r0")], "query_key string, reference_function_name string"))
+    assert {(r[0], r[1]) for r in known.collect()} == {(f"q{k}", f"r{k}") for k in range(14)}
+    assert rounds == 14
