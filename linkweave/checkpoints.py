@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame) -> DataFrame:
     """df, computed now and kept in the folder that all executors share (spark.checkpoint.dir).
 
-    A lost executor costs nothing that was written. A folder of its own is made only where the setting is missing."""
+    A lost executor costs nothing that was written. Only on a local master, as in tests, is a folder made where the setting is
+    missing: on a cluster executors couldn't read each other's files in it, so that is refused."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkweave-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkweave-checkpoint-"))
     return df.checkpoint(eager=True)
