@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkweave.checkpoints import written as checkpointed
+
 #: White space that separates words: U+0020 and U+0009 to U+000D. bytes.split() uses the same set.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,14 +31,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that all executors share (spark.checkpoint.dir).
+def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The same function of a table, whatever the table's columns are named.
+
+    Names that begin with two underscores are the operators' own; the table's columns that begin so are renamed meanwhile."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args: Any, **options: Any) -> DataFrame:
+        theirs = [c for c in docs.columns if c.startswith("__")]
+        prefix = "own"
+        while any(c.lower().startswith(prefix) for c in docs.columns):
+            prefix += "n"
+        other = {c: f"{prefix}{k}" for k, c in enumerate(theirs)}
+        out = operator(docs.withColumnsRenamed(other), *args, **options)
+        return out.withColumnsRenamed({v: k for k, v in other.items()})
+
+    return run
+
+
+#: Numbers that one row is spread to at once, at most.
+SPREAD = 1 << 16
+
+
+def spread(rows: DataFrame, first: Column, n: Column, name: str) -> DataFrame:
+    """rows with a column `name` that counts from first to first + n - 1: n rows for each.
 
-    A folder of its own is made only where the setting is missing, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkweave-checkpoint-"))
-    return df.checkpoint(eager=True)
+    A row that counts far is cut into ranges of SPREAD numbers first, which are dealt out before they are spread: no task
+    gets more from one row than from another, and no array is longer than SPREAD or n / SPREAD."""
+    last = first + n - 1
+    ranged = rows.where(n > 0).withColumn("__range", F.explode(F.sequence(first, last, F.lit(SPREAD).cast("long")))).withColumn("__last", F.least(last, F.col("__range") + SPREAD - 1))
+    return ranged.repartition("__range").withColumn(name, F.explode(F.sequence("__range", "__last"))).drop("__range", "__last")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

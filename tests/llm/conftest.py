@@ -63,6 +63,15 @@ def clashing(docs):
     return docs.select("*", *[F.lit("own").alias(c) for c in ("size", "kept", "shard", "slot", "taken", "n_lines", "n_removed", "component_id", "fp", "key", "fingerprint", "target", "id")])
 
 
+@pytest.fixture(scope="session")
+def underscored(docs):
+    """Extra columns named as operators name their own."""
+    from pyspark.sql import functions as F
+
+    names = "__id __hash __own __covered __lines __gaps __t __r __k __kt __kr __size __members __source __order __bucket __copy __taken __target __crc __n __at __range __last __row __task own0".split()
+    return docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+
+
 def table(df, *columns):
     """Sorted rows of some columns."""
     got = df.select(*(columns or df.columns)).collect()

@@ -147,3 +147,24 @@ def test_added_tokens_are_the_librarys(spark):
     assert [x.tolist() for x in packing.encoder(PATH).encode(texts)] == want
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["ids"][:-1] for r in packing.pack(docs, PATH, with_ids=True).collect()} == dict(enumerate(want))
+
+
+def test_very_long_runs(spark, tokenizer):
+    """Ten million characters without a boundary, through Spark, and shorter ones at every place where the two ways meet."""
+    long = [" " * 10_000_000, "\n" * 3_000_000, "a" * 3_000_000, "é" * 5000, "?" * 4097, "7" * 4096, "x" + " " * 4095 + "y", "x" + " " * 5000 + "y z"]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    found = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(docs, PATH).collect()}
+    library = Tokenizer.from_file(PATH)
+    assert found == {k: len(library.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(long)}
+    assert [x.tolist() for x in packing.encoder(PATH).encode(long[3:])] == [library.encode(t, add_special_tokens=False).ids for t in long[3:]]
+
+
+def test_other_files_are_refused(tmp_path):
+    import json
+
+    whole = json.load(open(PATH, encoding="utf-8"))
+    for k, change in enumerate(({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}})):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(whole | change), encoding="utf-8")
+        with pytest.raises(ValueError, match="split"):
+            packing.Encoder(str(path))
