@@ -5,16 +5,17 @@ vectors that have it; two vectors are candidates if they share `shared` pivots o
 their cosine in double precision. As `shared` common pivots are asked for, lists need only the prefix - shared + 1 rarest pivots of
 each vector, and a pair is looked at only in the list of its rarest common pivot: once, whatever else it shares.
 
-Shared pivots are counted with bit sets, tile by tile. A tile's links become counts for each vector and a spanning forest, so
-pairs are never written out. Lists of over `tile` vectors are cut into tiles, every two of which meet in a task of their own.
+Equal vectors are one class, which goes into the index once with the number of its ids, however many there are. Shared pivots are counted
+tile by tile. A tile's links become counts for each class and a spanning forest, so pairs are never written out. Lists of
+over `tile` classes are cut into tiles, every two of which meet in a task of their own.
 
 Bounds (parameters): pivots are chosen, farthest first, from SAMPLE vectors, the only ones that reach the driver; every vector
 is indexed. Their number grows with the square root of the table up to MOST_PIVOTS. Recall is measured in the tests.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows with a null
 id. Vectors of different lengths don't link; each length has a sample and pivots of its own. Rows that repeat an id and vector are one vector and get one result each; an id
-with several vectors links if one of them does. Ties of distance go to the pivot first in order. Other columns, labels among them, are
-ignored; an empty table gives an empty result."""
+with several vectors links if one of them does, and stays outside the classes. Ties of distance go to the pivot first in order. Other columns, labels among them, are
+ignored; an empty table gives an empty result. Vectors are taken for equal by 96 bits of hashes and their length."""
 
 from __future__ import annotations
 
@@ -74,54 +75,47 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return np.take_along_axis(part, np.lexsort((part, -np.take_along_axis(score, part, 1)), axis=1), 1)
 
 
-def bitsets(near: np.ndarray, n: int) -> np.ndarray:
-    bits = np.zeros((len(near), -(-n // 64) * 64), np.uint8)
-    np.put_along_axis(bits, near, 1, 1)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+def linked(x: np.ndarray, near: np.ndarray, weight: np.ndarray, ids: np.ndarray, pivot: int, cut: int | None, cosine: float, shared: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """For the vectors of one list: how many others each links with here (by weight), and the component's first row.
 
-
-def linked(x: np.ndarray, sets: np.ndarray, ids: np.ndarray, pivot: int, cut: int | None, cosine: float, shared: int, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """For the vectors of one list: how many others each links with here, and the component's first row.
-
-    cut: None, or where the second tile begins, when only pairs across it are asked for."""
-    n = len(x)
+    near: the pivots of each. cut: None, or where the second tile begins, when only pairs across it are asked for."""
+    n, prefix = near.shape
     count, label = np.zeros(n, np.int64), np.arange(n)
-    below = np.zeros(sets.shape[1] * 64, np.uint8)
-    below[:pivot] = 1
-    below = np.packbits(below, bitorder="little").view("<u8")
-    low = sets & below
-    used = np.flatnonzero(sets.any(0))
-    sets = sets[:, used]
-    rarer = np.flatnonzero(low.any(0))
-    low, low_of = low[:, rarer], np.searchsorted(used, rarer)
-    for i in range(0, n if cut is None else cut, tile):
-        rows = slice(i, min(i + tile, n if cut is None else cut))
-        for j in range(i if cut is None else cut, n, tile):
-            others = slice(j, min(j + tile, n))
-            asked = np.bitwise_count(sets[rows][:, None] & sets[others]).sum(2, dtype=np.int32) >= shared
-            asked &= ~(low[rows][:, None] & sets[others][:, low_of]).any(2)
-            if cut is None and i == j:
-                asked = np.triu(asked, 1)
-            a, b = np.nonzero(asked & (ids[rows][:, None] != ids[others]))
-            for k in range(0, len(a), 1 << 15):
-                p, q = a[k : k + (1 << 15)] + i, b[k : k + (1 << 15)] + j
-                close = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-                p, q = p[close], q[close]
-                count += np.bincount(p, minlength=n) + np.bincount(q, minlength=n)
-                u, v = label[p], label[q]
-                open_ = u != v
-                if open_.any():
-                    nodes, at = np.unique(np.concatenate([u[open_], v[open_]]), return_inverse=True)
-                    half = len(at) // 2
-                    joined, whole = labelled(len(nodes), at[:half], at[half:]), np.arange(n)
-                    whole[nodes] = nodes[joined]
-                    label = whole[label]
+    used, at = np.unique(near, return_inverse=True)
+    at = at.reshape(near.shape)
+    # which vectors have a pivot, as rows; a pivot rarer than this list's counts for more than all others together
+    kind, dear = (np.uint8, 16) if prefix < 16 else (np.uint16, 256)
+    has = np.zeros((len(used), n), kind)
+    has[at, np.arange(n)[:, None]] = np.where(near < pivot, dear, 1)
+    end = n if cut is None else cut
+    for i in range(0, end, block):
+        rows = np.arange(i, min(i + block, end))
+        start = i if cut is None else cut
+        common = has[at[rows], start:].sum(1, dtype=kind)
+        a, b = np.nonzero((common >= shared) & (common < dear))
+        a, b = a + i, b + start
+        fresh = ids[a] != ids[b] if cut is not None else (a < b) & (ids[a] != ids[b])
+        a, b = a[fresh], b[fresh]
+        for k in range(0, len(a), 1 << 15):
+            p, q = a[k : k + (1 << 15)], b[k : k + (1 << 15)]
+            close = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+            p, q = p[close], q[close]
+            np.add.at(count, p, weight[q])
+            np.add.at(count, q, weight[p])
+            u, v = label[p], label[q]
+            open_ = u != v
+            if open_.any():
+                nodes, where = np.unique(np.concatenate([u[open_], v[open_]]), return_inverse=True)
+                half = len(where) // 2
+                joined, whole = labelled(len(nodes), where[:half], where[half:]), np.arange(n)
+                whole[nodes] = nodes[joined]
+                label = whole[label]
     return count, label
 
 
 def _pivots(usable: DataFrame, total: int, prefix: int, shared: int) -> tuple[np.ndarray, int, int] | None:
     """The pivots for vectors of one length, the rarest first, and prefix and shared for so many; None if nothing can link."""
-    seen = usable.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
+    seen = usable.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
     seen = seen if isinstance(seen, pa.Array) else pa.concat_arrays(seen.chunks) if seen.num_chunks else pa.array([], pa.list_(pa.float32()))
     _, sample = unit(seen)
     wanted = 1 << max(6, min(MOST_PIVOTS, round(2 * total**0.5)).bit_length())
@@ -133,68 +127,98 @@ def _pivots(usable: DataFrame, total: int, prefix: int, shared: int) -> tuple[np
     return pivots[np.argsort(often, kind="stable")], prefix, min(shared, prefix)
 
 
+KEY = ["h1", "h2", "width"]
+
+
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Of rows (vec_id, v, KEY, fine): classes (KEY, node: the smallest id, n: how many ids) of equal vectors, the ids with several
+    vectors, the rows to index (node, n, v), and whether there are ids with several vectors."""
+    every = rows.where("vec_id IS NOT NULL").select("vec_id", *KEY, "fine").distinct()
+    several = checkpointed(every.groupBy("vec_id").count().where("count > 1").select("vec_id"))
+    pairs = every.where("fine").drop("fine")
+    some = not several.isEmpty()
+    single = pairs.join(several, "vec_id", "left_anti") if some else pairs
+    classes = checkpointed(single.groupBy(*KEY).agg(F.min("vec_id").alias("node"), F.count("*").alias("n")))
+    asked = classes.select(F.col("node").alias("vec_id"), *KEY, "n")
+    if some:
+        asked = asked.unionByName(pairs.join(several, "vec_id", "left_semi").withColumn("n", F.lit(1).cast("long")))
+    return classes, several, rows.where("fine").join(asked, ["vec_id", *KEY]).select(F.col("vec_id").alias("node"), "n", "v"), some
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9, prefix: int = PREFIX, shared: int = SHARED, tile: int = TILE, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row."""
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"))
-    usable = rows.where("vec_id is not null and v is not null")
-    lengths = dict(usable.groupBy(F.size("v")).count().collect())  # a row for each length
-    tables = [t for width, total in sorted(lengths.items()) if width and (t := _pivots(usable.where(F.size("v") == width), total, prefix, shared))]
+    sound = F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
+    rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v"), "width": F.size("v"), "fine": F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))})
+    slim = checkpointed(rows.select("vec_id", *KEY, "fine"))
+    classes, several, to_index, some = _classes(rows)
+    to_index = checkpointed(to_index)
+    lengths = dict(to_index.groupBy(F.size("v")).count().collect())  # a row for each length
+    tables = [t for width, total in sorted(lengths.items()) if width and (t := _pivots(to_index.where(F.size("v") == width), total, prefix, shared))]
     if not tables:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     first = np.cumsum([0, *[len(pivots) for pivots, _, _ in tables]])  # pivots are numbered through all lengths
     n = int(first[-1])
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(1)
+            values = batch.column(2)
             lengths = pc.list_value_length(values).fill_null(0).to_numpy(zero_copy_only=False)
             for (pivots, prefix, shared), start in zip(tables, first[:-1], strict=True):
                 at, x = _unit(values.flatten(), lengths, pivots.shape[1])
                 if not len(at):
                     continue
-                near = nearest_pivots(x, pivots, prefix)
-                own = np.sort(near, axis=1)[:, : prefix - shared + 1] + start
-                row = np.repeat(np.arange(len(at)), own.shape[1])
-                packed = np.concatenate([bitsets(near, len(pivots)).view(np.uint8), x.view(np.uint8)], axis=1)
-                ids = batch.column(0).to_numpy(zero_copy_only=False)[at]
-                buffers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(row), [None, pa.py_buffer(packed[row].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel().astype(np.int32)), pa.array(ids[row]), buffers.cast(pa.binary())], names=["pivot", "vec_id", "packed"])
-
-    index = usable.mapInArrow(frugal(listed), "pivot int, vec_id long, packed binary")
-    sizes = dict(index.groupBy("pivot").count().collect())  # a row for each pivot, MOST_PIVOTS for each length at most
+                near = np.sort(nearest_pivots(x, pivots, prefix), axis=1).astype(np.int32) + np.int32(start)
+                lists = [pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * k, pa.array(np.ascontiguousarray(near[:, :k]).ravel())) for k in (prefix, prefix - shared + 1)]
+                packed = np.concatenate([near.view(np.uint8), x.view(np.uint8)], axis=1)
+                buffers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(at), [None, pa.py_buffer(packed.tobytes())])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), lists[1], buffers.cast(pa.binary())], names=["node", "n", "own", "packed"])
+
+    # written once: lists are counted first and then dealt out
+    index = checkpointed(to_index.mapInArrow(frugal(described), "node long, n long, own array<int>, packed binary"))
+    listed = index.select("node", "n", F.explode("own").alias("pivot"), "packed")
+    sizes = dict(listed.groupBy("pivot").count().collect())  # a row for each pivot, MOST_PIVOTS for each length at most
     tiles = F.element_at(F.expr(f"array({','.join(str(-(-sizes.get(k, 1) // tile)) for k in range(n))})"), F.col("pivot") + 1)
-    cut = index.withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("tiles")).cast("int"))
+    cut = listed.withColumn("tiles", tiles).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     meets = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     group = F.concat_ws(",", F.col("pivot"), F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), 0).otherwise(F.when(F.col("mine") < F.col("other"), 1).otherwise(2))
-    dealt = meets.select(group.alias("g"), "pivot", side.alias("side"), "vec_id", "packed").repartition(partitions(vectors.sparkSession), "g").sortWithinPartitions("g", "side", "vec_id")
+    dealt = meets.select(group.alias("g"), "pivot", side.alias("side"), "node", "n", "packed").repartition(partitions(vectors.sparkSession), "g").sortWithinPartitions("g", "side", "node")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, pivot, side, ids, packed in whole_groups(batches, 0):
+        for g, pivot, side, ids, weight, packed in whole_groups(batches, 0):
             edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2:
                     continue
                 which = int(np.searchsorted(first, pivot[a], side="right")) - 1
-                pivots, _, shared = tables[which]
-                words = -(-len(pivots) // 64)
-                data = np.frombuffer(b"".join(packed[a:b]), np.uint64).reshape(b - a, -1)
-                sets, x = data[:, :words], data[:, words:].view(np.float64)
+                _, prefix, shared = tables[which]
+                data = np.frombuffer(b"".join(packed[a:b]), np.uint8).reshape(b - a, -1)
                 fresh = np.concatenate([[True], (ids[a + 1 : b] != ids[a : b - 1]) | (data[1:] != data[:-1]).any(1)])
-                sides, own = side[a:b][fresh], ids[a:b][fresh]
+                data, sides, own = data[fresh], side[a:b][fresh], ids[a:b][fresh]
                 if sides[-1] and not sides[0] < sides[-1]:
                     continue
-                count, label = linked(x[fresh], sets[fresh], own, int(pivot[a] - first[which]), int(np.searchsorted(sides, 2)) if sides[0] else None, cosine, shared)
+                near, x = np.ascontiguousarray(data[:, : 4 * prefix]).view(np.int32), np.ascontiguousarray(data[:, 4 * prefix :]).view(np.float64)
+                count, label = linked(x, near, weight[a:b][fresh], own, int(pivot[a]), int(np.searchsorted(sides, 2)) if sides[0] else None, cosine, shared)
                 some = np.flatnonzero(count)
                 if len(some):
                     yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(count[some]), pa.array(own[label[some]])], names=["a", "n", "b"])
 
-    found = checkpointed(dealt.mapInArrow(frugal(compared), "a long, n long, b long"))  # a row for each vector and list at most
-    counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    group_of = components(found.select("a", "b")).withColumnRenamed("node", "vec_id")
-    joined = rows.select("vec_id").join(counts, "vec_id", "left").join(group_of, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    found = checkpointed(dealt.mapInArrow(frugal(compared), "a long, n long, b long"))  # a row for each class and list at most
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    group_of = components(found.select("a", "b"))
+    zero = F.lit(0).cast("long")
+    # what holds for a class is put together before its ids are looked at: of those, one class may hold a third
+    told = classes.join(counts, "node", "left").join(group_of, "node", "left").select(*KEY, (F.coalesce("links", zero) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    mine = slim.where("fine")
+    alone = slim.where("NOT fine").select("vec_id", zero.alias("links"), F.col("vec_id").alias("component"))
+    if some:
+        apart = several.join(counts, several.vec_id == counts.node, "left").drop("node").join(group_of, F.col("vec_id") == F.col("node"), "left")
+        apart = apart.select("vec_id", F.coalesce("links", zero).alias("links"), F.coalesce("component", "vec_id").alias("component"))
+        alone = alone.join(several, "vec_id", "left_anti").unionByName(slim.select("vec_id").join(apart, "vec_id"))
+        mine = mine.join(several, "vec_id", "left_anti")
+    done = mine.join(told, KEY).select("vec_id", "links", "component").unionByName(alone)
+    return done.select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 #: The same by SQL, for embeddings: all pairs (small tables only).

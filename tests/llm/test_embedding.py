@@ -75,3 +75,13 @@ def test_each_length_links_by_itself(spark):
         rows += [(start + 2 * k + c, v, 0) for k, v in enumerate(x) for c in (0, 1)]
     got = table(E.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)))
     assert sorted(got) == [(i, 1, i - i % 2, i % 2 == 0) for i in sorted(r[0] for r in rows)]
+
+
+def test_equal_vectors_are_one_class(spark):
+    """20,000 ids of one vector, a near one, and ids that have several vectors."""
+    rows = [(k, [1.0, 0.5, 0.0], 0) for k in range(20_000)] + [(30_000, [1.0, 0.55, 0.0], 0), (30_001, [0.0, 0.0, 1.0], 0), (40_000, [1.0, 0.5, 0.0], 0), (40_000, [0.0, 0.1, 1.0], 0), (40_000, [0.0, 0.0, 0.0], 0)]
+    rows += [(50_000 + k, [0.0, 0.0, 0.0], 0) for k in range(300)]
+    got = table(E.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)))
+    want = [(k, 20_001, 0, k == 0) for k in range(20_000)] + [(30_000, 20_001, 0, False), (30_001, 1, 0, False)]
+    want += [(40_000, 20_002, 0, False)] * 3 + [(50_000 + k, 0, 50_000 + k, True) for k in range(300)]
+    assert got == sorted(want, key=lambda r: [(x is None, str(x)) for x in r])
