@@ -7,12 +7,13 @@ letting one pass after another in and carrying each to a maximum flow (rerouting
 every document of a pattern; the part of a pass goes to documents in a seeded order, up to the one whose middle lies
 beyond the quota, so a source misses its flow by half a document at most.
 
-The seeded order needs no global sort: documents fall into 4096 buckets by the leading digits of a keyed hash, running sums
-are taken inside a bucket, and buckets are offset by the sums before them.
+The seeded order needs no sort and no shuffle of documents: they fall into 4096 buckets by the leading digits of a keyed hash, the
+sums of buckets tell in which one a pattern's part of a pass ends, and only that one's rows are put in order, to find the place. Every
+row then tells for itself, from a small table of places, whether it comes before its pattern's.
 
-Defined cases: a null text has size 0; a null source is a source of its own, last in order; equal rows are separate documents
-of one size, so which of them comes first doesn't show; other columns are carried along; sources without a word get target 0;
-an empty table gives an empty result."""
+Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows that repeat an id are separate
+documents; those of one size too are counted first and told apart by a hash of the row, and equal rows by their number, where the place lies among
+them; other columns are carried along, whatever they are named; sources without a word get target 0; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.llm.common import WORD
+from linkweave.llm.common import WORD, apart, checkpointed
 
 #: More patterns than this are refused: they are what the driver holds.
 MOST_PATTERNS = 100_000
@@ -92,9 +93,14 @@ def words(text: Column | str) -> Column:
 def mix(docs: DataFrame, size: Column, members: Column, weights: dict[str | None, float] | None = None, most: int = 3, seed: str = SEED, source: Column | None = None) -> DataFrame:
     """docs with __size, __taken (times its size), __source_size and __target of `source` (or the first member).
 
-    members: an array of sources. weights: 1, 2, 3, repeating, over the sources in order of code points, null last, by default."""
-    sized = docs.withColumns({"__size": size, "__members": F.array_sort(F.array_distinct(members)), "__source": source if source is not None else F.get(members, F.lit(0))})
-    told = sized.groupBy("__members").agg(F.sum("__size").alias("n")).limit(MOST_PATTERNS + 1).collect()
+    members: an array of sources. weights: 1, 2, 3, repeating, over the sources in order of code points, null last, by default.
+    docs is read three times, the second time for the rows of one bucket of each pattern alone; it isn't shuffled."""
+    spark = docs.sparkSession
+    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))
+    placed = docs.withColumns({"__members": F.array_sort(F.array_distinct(members)), "__source": source if source is not None else F.get(members, F.lit(0)), "__order": F.md5(text.cast("binary"))})
+    placed = placed.withColumns({"__bucket": F.substring("__order", 1, 3), "__size": size})
+    sums = checkpointed(placed.groupBy("__members", "__bucket").agg(F.sum("__size").alias("__n")))  # 4096 rows for each pattern at most
+    told = sums.groupBy("__members").agg(F.sum("__n")).limit(MOST_PATTERNS + 1).collect()
     if len(told) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns")
     patterns = {tuple(r[0]): int(r[1]) for r in told}
@@ -106,32 +112,67 @@ def mix(docs: DataFrame, size: Column, members: Column, weights: dict[str | None
     weights = weights or {s: k % 3 + 1 for k, s in enumerate(order)}
     aim = targets(sizes, {s: weights.get(s, 0) for s in order}, sum(patterns.values()), most)
     sent = route(patterns, {s: int(aim[s]) for s in order}, most)
-    spark = docs.sparkSession
-    passes = [(list(p), *(divmod(sum(sent[p].values()), n) if n else (0, 0))) for p, n in patterns.items()]
-    plan = spark.createDataFrame(passes, "__members array<string>, __passes long, __rest long")
-    about = spark.createDataFrame([(s, sizes[s], aim[s]) for s in order], "__source string, __source_size long, __target double")
-    text = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))
-    sized = sized.withColumn("__order", F.md5(text.cast("binary"))).withColumn("__bucket", F.substring("__order", 1, 3))
+    passes = {p: divmod(sum(sent[p].values()), n) if n else (0, 0) for p, n in patterns.items()}
+    cuts = _cuts(placed, sums, {p: rest for p, (_, rest) in passes.items()})
+    plan = [(list(p), whole, *cuts.get(p, ("", None, None, 0))) for p, (whole, _) in passes.items()]
+    plan = spark.createDataFrame(plan, "__m array<string>, __passes long, __cut_bucket string, __cut_order string, __cut_size long, __fit long")
+    about = spark.createDataFrame([(s, sizes[s], aim[s]) for s in order], "__s string, __source_size long, __target double")
     # both tables have a row for each pattern or source, MOST_PATTERNS at most
-    sized = sized.join(F.broadcast(plan), sized["__members"].eqNullSafe(plan["__members"])).drop(plan["__members"])
-    offsets = sized.groupBy("__members", "__bucket").agg(F.sum("__size").alias("n"))
-    offsets = offsets.select("__members", "__bucket", F.coalesce(F.sum("n").over(Window.partitionBy("__members").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
-    inside = F.sum("__size").over(Window.partitionBy("__members", "__bucket").orderBy("__order", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1))
-    placed = sized.withColumn("__before", F.coalesce(inside, F.lit(0)))
-    placed = placed.join(offsets, ["__members", "__bucket"])
-    part = F.when(2 * (F.col("__before") + F.col("__offset")) + F.col("__size") <= 2 * F.col("__rest"), 1).otherwise(0)
-    placed = placed.withColumn("__taken", F.when(F.col("__passes") >= most, F.lit(most)).otherwise(F.col("__passes") + part).cast("int"))
-    placed = placed.join(F.broadcast(about), placed["__source"].eqNullSafe(about["__source"]), "left")
-    return placed.select(*[F.col(c) for c in docs.columns], "__size", "__taken", "__source_size", "__target")
+    known = placed.join(F.broadcast(plan), F.col("__members").eqNullSafe(F.col("__m"))).join(F.broadcast(about), F.col("__source").eqNullSafe(F.col("__s")), "left")
+    out = [*[F.col(c) for c in docs.columns], F.col("__size"), "__taken", "__source_size", "__target"]
+    before, at = F.col("__bucket") < F.col("__cut_bucket"), F.col("__bucket") == F.col("__cut_bucket")
+    earlier = F.col("__cut_order").isNull() | (F.col("__order") < F.col("__cut_order")) | ((F.col("__order") == F.col("__cut_order")) & (F.col("__size") < F.col("__cut_size")))
+    tied = at & F.coalesce((F.col("__order") == F.col("__cut_order")) & (F.col("__size") == F.col("__cut_size")), F.lit(False))
+    part = F.when(before | (at & F.coalesce(earlier, F.lit(False))), 1).otherwise(0)
+
+    def taken(rows: DataFrame, more: Column) -> DataFrame:
+        return rows.withColumn("__taken", F.least(F.lit(most), F.col("__passes") + more).cast("int")).select(*out)
+
+    if not any(fit for *_, fit in cuts.values()):
+        return taken(known, part)
+    # rows under one id and of one size, of which only so many are taken once more
+    ties = checkpointed(known.where(tied).withColumns({"__row": F.xxhash64(*docs.columns), "__task": F.spark_partition_id()}))
+    counts = ties.groupBy("__m", "__row", "__task").agg(F.count("*").alias("__k"))
+    ahead = F.coalesce(F.sum("__k").over(Window.partitionBy("__m").orderBy("__row", "__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("__ahead", ahead).select(F.col("__m").alias("__m2"), F.col("__row").alias("__row2"), F.col("__task").alias("__task2"), "__ahead")
+    numbered = ties.withColumn("__i", F.row_number().over(Window.partitionBy("__m", "__row", "__task").orderBy("__order")))
+    numbered = numbered.join(counts, F.col("__m").eqNullSafe(F.col("__m2")) & (F.col("__row") == F.col("__row2")) & (F.col("__task") == F.col("__task2")))
+    return taken(known.where(~tied), part).unionByName(taken(numbered, F.when(F.col("__ahead") + F.col("__i") <= F.col("__fit"), 1).otherwise(0)))
+
+
+def _cuts(placed: DataFrame, sums: DataFrame, rests: dict[tuple, int]) -> dict[tuple, tuple]:
+    """Where the part of a pass ends in each pattern: (bucket, order, size, fit).
+
+    Rows of earlier buckets are in it, those of later ones aren't; of the bucket's rows those before (order, size) are, and `fit` of
+    those with just this order and size. order is null if the whole bucket is in it."""
+    spark = placed.sparkSession
+    rest = spark.createDataFrame([(list(p), r) for p, r in rests.items() if r], "__m array<string>, __rest long")
+    sums = sums.join(F.broadcast(rest), F.col("__members").eqNullSafe(F.col("__m")))
+    run = Window.partitionBy("__m").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.withColumn("__end", F.sum("__n").over(run)).where(F.col("__end") > F.col("__rest"))
+    first = ends.groupBy("__m", "__rest").agg(F.min(F.struct("__bucket", "__end", "__n")).alias("f"))
+    first = checkpointed(first.select("__m", "__rest", F.col("f.__bucket").alias("__b"), (F.col("f.__end") - F.col("f.__n")).alias("__offset")))  # a row for each pattern
+    cut = {tuple(r["__m"]): (r["__b"], None, None, 0) for r in first.collect()}
+    inside = placed.join(F.broadcast(first), F.col("__members").eqNullSafe(F.col("__m")) & (F.col("__bucket") == F.col("__b")))
+    each = inside.groupBy("__m", "__rest", "__b", "__offset", "__order", "__size").agg(F.count("*").alias("__n"))
+    held = F.sum(F.col("__size") * F.col("__n")).over(Window.partitionBy("__m").orderBy("__order", "__size").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("__before", F.col("__offset") + F.coalesce(held, F.lit(0)))
+    over = each.where(2 * (F.col("__before") + (F.col("__n") - 1) * F.col("__size")) + F.col("__size") > 2 * F.col("__rest"))
+    least = over.groupBy("__m", "__rest", "__b").agg(F.min(F.struct("__order", "__size", "__before")).alias("f"))
+    for r in least.select("__m", "__rest", "__b", "f.*").collect():  # a row for each pattern at most
+        room = 2 * (r["__rest"] - r["__before"]) - r["__size"]
+        cut[tuple(r["__m"])] = (r["__b"], r["__order"], r["__size"], room // (2 * r["__size"]) + 1 if room >= 0 and r["__size"] else 0)
+    return cut
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of each document."""
-    slim = docs.select("doc_id", "source", words("text").alias("size"))
+    slim = checkpointed(docs.select("doc_id", "source", words("text").alias("size")))  # texts are read once
     mixed = mix(slim, F.col("size"), F.array("source"))
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__taken")).alias("taken"))
 
 
+@apart
 def mixed(docs: DataFrame) -> DataFrame:
     """docs, each row as often as the mix takes it, all its columns."""
     placed = mix(docs, words("text"), F.array("source"))

@@ -96,3 +96,27 @@ def test_overlapping_sources(spark):
     out = mixing.mix(df, mixing.words("text"), F.col("sources"), {"a": 1, "b": 1})
     assert sum(r["__taken"] * r["__size"] for r in out.collect()) == 1000
     assert Counter(r["__taken"] for r in out.collect()) == {1: 100}
+
+
+def test_any_column_names(docs, underscored):
+    out = mixing.mixed(underscored)
+    assert out.columns == underscored.columns and table(out, *docs.columns) == table(mixing.mixed(docs))
+
+
+def test_rows_under_one_id(spark):
+    """A third of a source's rows share an id and a size, equal rows among them; the place lies within them."""
+    rows = [(None, f"w{k % 7} x y z", "a") for k in range(400)] + [(k, "one two three four", "a") for k in range(50)] + [(k, "a b c d", "b") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    for seed in range(6):
+        out = mixing.mix(df, mixing.words("text"), F.array("source"), seed=str(seed)).collect()
+        taken = Counter()
+        for r in out:
+            taken[r["source"]] += r["__size"] * r["__taken"]
+        assert len(out) == len(rows) and all(abs(taken[s] - t) <= 2 for s, t in {(r["source"], r["__target"]) for r in out})
+    again = mixing.mixed(df.repartition(2))
+    assert table(again) == table(mixing.mixed(df)) and mixing.mixed(df).count() == 750
+
+
+def test_documents_are_not_shuffled(docs):
+    plan = mixing.mixed(docs.where("doc_id < 900"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(source" not in plan and "SortMergeJoin" not in plan and "Window" not in plan
