@@ -6,8 +6,9 @@ of 0 to N - 1 then gives each row its place; shard and slot are its remainder an
 shards differ by a row at most and slots have no gap. Everything is an expression of DataFrame functions.
 
 Defined cases: equal rows of key columns are counted before the shuffle and numbered one after another, so a key with a
-third of all rows is one row until the numbers are spread out again; nulls are values like any other; an empty table
-gives an empty result; columns beyond the key are ignored by place()."""
+third of all rows is one row until the numbers are spread out again, in ranges of bounded length that are dealt out first; nulls
+are values like any other; an empty table gives an empty result; columns beyond the key are ignored by place(), and carried by
+shuffled(), whatever they are named (but `shard` and `slot`, which are its own)."""
 
 from __future__ import annotations
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkweave.llm.common import apart, checkpointed, spread
+
 ROUNDS = 4
 BUCKETS = 4096
 WALKS = 64
@@ -53,9 +56,10 @@ def walked(x: Column, n: int, seed: str) -> Column:
 
 def numbered(rows: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
     """The key columns of every row with row_no, dense from 0, and the number of rows."""
-    counted = rows.groupBy(*key).agg(F.count("*").alias("__n"))
+    counted = rows.groupBy(*key).agg(F.count("*").cast("long").alias("__n"))
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in key])
-    counted = counted.withColumn("__bucket", (F.conv(F.substring(F.md5(text.cast("binary")), 1, 3), 16, 10)).cast("int"))
+    # written once, a row for each key: the texts aren't read again for the numbers
+    counted = checkpointed(counted.withColumn("__bucket", (F.conv(F.substring(F.md5(text.cast("binary")), 1, 3), 16, 10)).cast("int")))
     held = counted.groupBy("__bucket").agg(F.sum("__n").alias("n")).collect()  # BUCKETS rows at most
     sums, total = {}, 0
     for bucket, n in sorted(held):
@@ -64,8 +68,8 @@ def numbered(rows: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
         return rows.select(*key, F.lit(0).cast("long").alias("row_no")).limit(0), 0
     first = F.element_at(F.expr(f"array({','.join(f'{sums.get(k, 0)}L' for k in range(BUCKETS))})"), F.col("__bucket") + 1)
     before = F.sum("__n").over(Window.partitionBy("__bucket").orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))
-    spread = counted.withColumn("__at", F.coalesce(before, F.lit(0).cast("long")) + first)
-    return spread.select(*key, F.explode(F.sequence(F.col("__at"), F.col("__at") + F.col("__n") - 1)).alias("row_no")), total
+    placed = counted.withColumn("__at", F.coalesce(before, F.lit(0).cast("long")) + first)
+    return spread(placed, F.col("__at"), F.col("__n"), "row_no").select(*key, "row_no"), total
 
 
 def place(rows: DataFrame, key: list[str], shards: int, seed: str = "linkweave") -> DataFrame:
@@ -85,16 +89,18 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: str = "linkweave")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@apart
 def shuffled(docs: DataFrame, shards: int = 40, seed: str = "linkweave") -> DataFrame:
     """docs with shard and slot, for writing; rows that agree in id, size and checksum are told apart by their number."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.drop("shard", "slot")
     key = ["__id", "__size", "__crc"]
     keyed = docs.withColumns({"__id": F.col("doc_id"), "__size": F.octet_length(text).cast("long"), "__crc": F.crc32(text.cast("binary"))})
     each = Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))
     placed = place(keyed.select(*key), key, shards, seed)
     placed = placed.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy("slot", "shard")))
     joined = keyed.withColumn("__k", F.row_number().over(each)).alias("a").join(placed.alias("b"), F.expr("a.__id <=> b.__id AND a.__size = b.__size AND a.__crc = b.__crc AND a.__k = b.__k"))
-    return joined.select(*[F.col(f"a.`{c}`") for c in docs.columns], "shard", "slot")
+    return joined.select(*[F.col(f"a.`{c}`") for c in docs.columns], "b.shard", "b.slot")
 
 
 #: The same by SQL, for documents; CRC-32 byte by byte.

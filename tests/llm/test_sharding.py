@@ -54,3 +54,16 @@ def test_shuffled_keeps_rows(docs, rows):
 def test_no_python_in_the_plan(docs):
     plan = sharding.shard_documents(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "MapInArrow" not in plan and "SinglePartition" not in plan
+
+
+def test_hot_rows_are_spread_in_ranges(spark, nothing, monkeypatch):
+    from linkweave.llm import common
+
+    monkeypatch.setattr(common, "SPREAD", 64)
+    rows = [(7, "same", None, None, None)] * 1000 + [(k, "x", None, None, None) for k in range(50)]
+    check(sharding.shard_documents(spark.createDataFrame(rows, nothing.schema)).collect(), rows)
+
+
+def test_any_column_names(docs, underscored):
+    out = sharding.shuffled(underscored.withColumn("shard", F.lit("mine")), 4)
+    assert out.columns == [*underscored.columns, "shard", "slot"] and table(out, *docs.columns) == table(docs)
