@@ -1,8 +1,7 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by bit-sliced comparison.
 
-Every distinct fingerprint is compared with all others that agree with it on at least one block of
-bits (with r + 1 blocks, r differing bits leave one block untouched, so no link is lost). Inside such
-a bucket, 64 fingerprints make one vertical block: word p holds bit p of each. Distances to a query
+Every distinct fingerprint is compared with all others that agree with it on some choice of blocks of bits (see
+block_masks; r differing bits leave enough blocks untouched, so no link is lost). Inside such a bucket, 64 fingerprints make one vertical block: word p holds bit p of each. Distances to a query
 grow in carry-save counters, and a block is abandoned once all its lanes are beyond the radius.
 
 Defined cases: a null text is as an empty one; no word gives fingerprint 0, which links like any other;
@@ -13,6 +12,7 @@ as they came in. Other columns are ignored. An empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.llm.common import checkpointed, components, frugal, labelled, partitions, slices, whole_groups
+from linkweave.llm.common import apart, checkpointed, components, frugal, labelled, partitions, slices, whole_groups
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = 64
@@ -161,17 +161,37 @@ def _linked(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int, c
     return child, label[child]
 
 
-def links(nodes: DataFrame, radius: int = 4, tile: int = 16384) -> DataFrame:
-    """(a, b) of nodes whose fingerprints differ in radius bits or fewer: spanning links, a row for each node and bucket at most.
+#: Distinct fingerprints that one key of a block has on average, at most.
+CROWD = 2048
+#: Keys that are cut into tiles, at most: they are broadcast.
+MOST_CUT = 1 << 17
 
-    nodes: (node long, fp long), fingerprints distinct. A bucket of over `tile` rows is cut into tiles,
-    and every two tiles meet in a task of their own. tile grows with the table, so that there are at most
-    2048 cut buckets for each block, whose counts are broadcast."""
-    cuts = [round(k * 64 / (radius + 1)) for k in range(radius + 2)]
-    keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)])
-    keyed = nodes.select("node", "fp", F.posexplode(keys).alias("block", "key"))
+
+def block_masks(n: int, radius: int) -> list[int]:
+    """Bits that have to agree for two fingerprints to meet, in one of these ways at least.
+
+    The 64 bits are cut into radius + k blocks. Differing bits touch `radius` blocks at most, so k of them agree, and every choice
+    of k blocks is a key. k is the least one that leaves CROWD of n fingerprints to a key: 5 keys of 13 bits for radius 4 up to 8 million,
+    15 of 21 bits up to 4 thousand million, then 35 of 27 bits. No choice loses a link."""
+    k = 1
+    while n > CROWD << (64 * k // (radius + k)) and k < 4:
+        k += 1
+    cuts = [round(b * 64 / (radius + k)) for b in range(radius + k + 1)]
+    blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    return [sum(c) for c in combinations(blocks, k)]
+
+
+def links(nodes: DataFrame, radius: int = 4, tile: int = 16384, masks: list[int] | None = None) -> DataFrame:
+    """(a, b) of nodes whose fingerprints differ in radius bits or fewer: spanning links, a row for each node and key at most.
+
+    nodes: (node long, fp long), fingerprints distinct. A key of over `tile` rows is cut into tiles, and every two tiles meet in
+    a task of their own. Only where over MOST_CUT keys were to be cut, which takes over MOST_CUT * tile rows, does tile grow."""
     total = nodes.count()
-    tile = max(tile, total // 2048)
+    masks = masks or block_masks(total, radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])
+    keyed = nodes.select("node", "fp", F.posexplode(keys).alias("block", "key"))
+    tile = max(tile, total * len(masks) // MOST_CUT)
     large = keyed.groupBy("block", "key").count().where(F.col("count") > tile).select("block", "key", (F.col("count") / tile + 1).cast("long").alias("tiles"))
     keyed = keyed.join(F.broadcast(large), ["block", "key"], "left")
     mine = F.when(F.col("tiles").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("tiles")))
@@ -227,6 +247,7 @@ def one_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return picked(docs, stay).select(*docs.columns)
 
 
+@apart
 def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, ids_once: bool = True) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id; a row with a null id where no other row of the
     component has one. ids_once: of the components that one id represents with several texts, only the first by text hash stays."""

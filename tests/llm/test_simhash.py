@@ -1,9 +1,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 import xxhash
 
-from linkweave.llm import simhash
+from linkweave.llm import simhash, similarity
 from linkweave.llm.common import components, labelled
 from tests.llm.conftest import corpus, table
 
@@ -65,6 +66,37 @@ def test_buckets_cut_in_tiles_lose_no_link(spark):
     assert len(set(zip(groups.tolist(), mine, strict=True))) == len(set(groups.tolist())) == len(set(mine))
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_longer_keys_lose_no_link(spark, k):
+    n = {1: 1, 2: 1 << 24, 3: 1 << 33}[k]
+    masks = simhash.block_masks(n, 4)
+    assert len(masks) == {1: 5, 2: 15, 3: 35}[k]
+    rng = np.random.default_rng(k)
+    fps = rng.integers(0, 2**64, 60, dtype=np.uint64)[rng.integers(0, 60, 600)]
+    for _ in range(4):
+        fps ^= np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64)
+    fps = np.unique(fps)
+    signed = fps.view(np.int64).tolist()
+    nodes = spark.createDataFrame([(x, x) for x in signed], "node long, fp long")
+    found = {r[0]: r[1] for r in components(simhash.links(nodes, 4, masks=masks)).collect()}
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps) <= 4)
+    groups, mine = labelled(len(fps), a, b), [found.get(x, x) for x in signed]
+    assert len(set(zip(groups.tolist(), mine, strict=True))) == len(set(groups.tolist())) == len(set(mine))
+
+
+def test_any_column_names(docs, underscored):
+    for run in (simhash.representatives, similarity.representatives):
+        out = run(underscored)
+        assert out.columns == underscored.columns and table(out, *docs.columns) == table(run(docs))
+
+
+def test_unrelated_rows_without_an_id_or_under_one_stay(spark):
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q r"), (1, "s t u v w x"), (1, "y z a c e g"), (2, "s t u v w x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(simhash.representatives(df, ids_once=False)) == ordered(rows[:5])
+    assert table(similarity.representatives(df)) == ordered(rows[:5])
+
+
 def test_components_of_long_chains(spark):
     order = np.random.default_rng(7).permutation(300).tolist()
     links = spark.createDataFrame([(order[k], order[k + 1]) for k in range(299) if k != 150], "a long, b long")
