@@ -6,8 +6,9 @@ A line with a word fails if one of these holds (shares of its characters are of
   shouting     5 or more words, over half of the letters' words are upper case throughout
   repeating    20 or more words, under a fifth of them different
   boilerplate  it has one of BOILERPLATE and under 12 words
-  unpunctuated 10 or more words, and neither it nor any of its words ends in one of `.!?:;"')]` and such
-Lines without a word are kept as they are. A document is kept if the base rules pass and the lines that stay hold
+  unpunctuated 10 or more words in a stretch of lines that no sentence closes: consecutive lines with words, none of which has a word
+               that ends in one of ENDS, and after them no line that has one within LONGEST words of the stretch
+Lines without a word are kept as they are, and end a stretch. So hard-wrapped prose, whose sentences end some lines further on, passes. A document is kept if the base rules pass and the lines that stay hold
 at least `least_share` of the characters in words.
 
 Defined cases: a null or wordless text has no word and fails; a document is judged for itself, so ties, repeated rows and
@@ -26,10 +27,18 @@ from pyspark.sql import functions as F
 from linkweave.llm.common import frugal, slices
 
 SYMBOLS = b"#*$%&|<>"
-# Phrases of page furniture, in lower case.
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "subscribe to our newsletter", "enable javascript", "click here to", "sign in to", "log in to")
+# Phrases of page furniture, in lower case, in the languages of the corpus.
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "subscribe to our newsletter", "enable javascript", "click here to", "sign in to", "log in to",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookie-richtlinie", "newsletter abonnieren", "javascript aktivieren", "klicken sie hier", "jetzt anmelden",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos de uso", "suscríbete a nuestro boletín", "activa javascript", "haz clic aquí", "inicia sesión",
+    "tous droits réservés", "politique de confidentialité", "politique de cookies", "conditions d'utilisation", "abonnez-vous à notre", "activez javascript", "cliquez ici", "se connecter à",
+)
 SEPARATORS = {b"|", b">", b"<", b"\xc2\xbb", b"\xe2\x80\xba", b"\xc2\xb7", b"\xe2\x80\xa2"}
-ENDS = tuple(x.encode() for x in ".!?:;…\"'”’)]»。！？")
+# What sentences end in, in Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Chinese, Japanese, Armenian, Ethiopic, Khmer, Myanmar and Tibetan writing, and closing marks after that.
+ENDS_IN = ".!?:;…\"'”’)]»׃؟۔؛।॥。！？．｡」』）։።፧፨។៕၊။།"
+ENDS = tuple(x.encode() for x in ENDS_IN)
+LEAST, LONGEST = 10, 100
 JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bad_lines long, kept_word_chars long, base_failed boolean, kept boolean"
 
 
@@ -50,9 +59,31 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
             return True
     if n >= 20 and 5 * len(set(words)) < n:
         return True
-    if n < 12 and any(x in line.lower().decode("utf-8", "replace") for x in BOILERPLATE):
-        return True
-    return n >= 10 and not any(w.endswith(ENDS) for w in words)
+    if n >= 12:
+        return False
+    lower = line.decode("utf-8", "replace").lower()
+    return any(x in lower for x in BOILERPLATE)
+
+
+def unclosed(lines: list[list[bytes]]) -> list[bool]:
+    """For the words of each line: whether it is of LEAST words or more, in a stretch that no sentence closes."""
+    out = [False] * len(lines)
+    begin, size = 0, 0
+
+    def end(k: int) -> None:
+        for i in range(begin, k):
+            out[i] = len(lines[i]) >= LEAST
+
+    for k, words in enumerate(lines):
+        closes = any(w.endswith(ENDS) for w in words)
+        if words and not closes:
+            size += len(words)
+            continue
+        if not words or size > LONGEST:
+            end(k)
+        begin, size = k + 1, 0
+    end(len(lines))
+    return out
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:
@@ -78,13 +109,13 @@ def judge_text(text: str | None, least_share: float = 0.6, clean: bool = False)
     seen: set[bytes] = set()
     dup = bad = lost = 0
     stay: list[bytes] = []
-    for line in data.split(b"\n"):
-        own = line.split()
-        fails = False
+    lines = data.split(b"\n")
+    worded = [x.split() for x in lines]
+    for line, own, fails in zip(lines, worded, unclosed(worded), strict=True):
         if own:
             dup += line in seen
             seen.add(line)
-            fails = line_fails(line, own)
+            fails = fails or line_fails(line, own)
             if fails:
                 bad += 1
                 lost += _chars(b"".join(own))
@@ -125,10 +156,15 @@ def clean(docs: DataFrame, least_share: float = 0.6) -> DataFrame:
 
 
 #: The same by SQL, for documents. Each rule of line_fails is one line.
-ORACLE = r"""
+ORACLE = (
+    r"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM docs),
-worded AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines),
+split AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines),
+marked AS (SELECT *, len(w) = 0 AS blank, len(list_filter(w, lambda x: contains('ENDS_IN', x[-1]))) > 0 AS closes FROM split),
+stretched AS (SELECT *, coalesce(sum((blank OR closes)::INT) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM marked),
+worded AS (SELECT *, NOT closes AND (coalesce(bool_or(blank) OVER (PARTITION BY r, s), false) OR NOT bool_or(closes) OVER (PARTITION BY r, s)
+  OR sum(CASE WHEN blank OR closes THEN 0 ELSE len(w) END) OVER (PARTITION BY r, s) > 100) AS loose FROM stretched),
 real_lines AS (
   SELECT *, len(w) AS n, array_to_string(w, '') AS joined, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS dup,
     list_filter(w, lambda x: lower(x) <> upper(x)) AS lettered
@@ -139,8 +175,8 @@ judged AS (
     OR 10 * len(regexp_extract_all(joined, '[#*$%&|<>]')) > strlen(joined)
     OR (n >= 5 AND 2 * len(list_filter(lettered, lambda x: x = upper(x))) > len(lettered) AND len(lettered) > 0)
     OR (n >= 20 AND 5 * len(list_distinct(w)) < n)
-    OR (n < 12 AND regexp_matches(lower(line), 'all rights reserved|cookie policy|privacy policy|terms of service|terms of use|subscribe to our newsletter|enable javascript|click here to|sign in to|log in to'))
-    OR (n >= 10 AND len(list_filter(w, lambda x: regexp_matches(x, '[.!?:;…"''”’)\]»。！？]$'))) = 0) AS fails
+    OR (n < 12 AND regexp_matches(lower(line), 'BOILERPLATE'))
+    OR (n >= 10 AND loose) AS fails
   FROM real_lines),
 by_line AS (SELECT r, sum(length(joined))::BIGINT AS word_chars, sum(n)::BIGINT AS n_words, count(*) FILTER (dup) AS n_dup_lines,
   count(*) FILTER (fails) AS n_bad_lines, coalesce(sum(length(joined)) FILTER (NOT fails), 0)::BIGINT AS kept_word_chars FROM judged GROUP BY r),
@@ -158,4 +194,6 @@ failed AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines, kept_word_chars, base_failed,
   NOT base_failed AND kept_word_chars >= 0.6 * word_chars AS kept
 FROM failed
-"""
+""".replace("ENDS_IN", ENDS_IN.replace("'", "''"))
+    .replace("BOILERPLATE", "|".join(BOILERPLATE).replace("'", "''"))
+)
