@@ -8,8 +8,9 @@ prediction is rejected where the expected share of errors among those accepted w
 
 As the model is linear, embedding times softmax weights is one small table (BUCKETS x languages), which is what tasks get.
 
-Bounds (parameters): SAMPLE texts a language, of TEXT_BYTES bytes at most each, and MOST_LANGUAGES languages; these texts alone
-reach the driver. Predictions read whole texts.
+Bounds (parameters): SAMPLE texts a language and MOST_LANGUAGES languages; these texts alone reach the driver. Of the texts drawn,
+those of up to TEXT_CHARS characters come first; a longer one, as where a language has no others, is learnt from by
+its first TEXT_CHARS characters. Predictions read whole texts.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without any labelled text every prediction is `und`;
 ties go to the language first in code points; repeated rows and null ids are predicted like any other row; other columns
@@ -29,11 +30,12 @@ from pyspark.sql.window import Window
 
 from linkweave.llm.common import frugal, slices
 
-SAMPLE, TEXT_BYTES, MOST_LANGUAGES = 600, 16384, 400
+SAMPLE, TEXT_CHARS, MOST_LANGUAGES = 600, 16384, 400
 BUCKETS, DIMENSIONS, ORDERS = 1 << 15, 16, (3, 4, 5)
 EPOCHS, BATCH, RATE, ERROR_RATE = 8, 16, 0.5, 0.01
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_BREAK = re.compile(r"[\t-\r ]")
+PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -70,18 +72,20 @@ class Model:
     threshold: float = 0.0
 
     def logits(self, text: str) -> np.ndarray:
-        """Averages over the whole text, piece by piece so that memory stays bounded."""
-        total, n = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text), 1 << 20):
-            rows = subwords(text[at : at + (1 << 20)])
+        """Averages over the whole text, in pieces of PIECE characters and on to the end of a word, so that memory stays bounded and no word is cut."""
+        total, n, at = np.zeros(len(self.languages)), 0, 0
+        while at < len(text):
+            end = _BREAK.search(text, at + PIECE)
+            rows = subwords(text[at : end.start() if end else len(text)])
             counts = np.bincount(rows, minlength=BUCKETS)
             total += counts @ self.table
             n += len(rows)
+            at = end.end() if end else len(text)
         return total / max(n, 1) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated score, and whether the prediction is rejected."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UND, 0.0, True
         p = softmax(self.logits(text) / self.temperature)
         k = int(p.argmax())
@@ -146,17 +150,18 @@ def fold(doc_id: Column | str) -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """SAMPLE labelled texts of each language, chosen by a hash, from the folds that may be learnt from; equal texts count once.
+    """SAMPLE labelled texts of each language (short ones first, see above), chosen by a hash, from the folds that may be learnt from; equal texts count once.
 
     Counts by language give the share of each to draw; so no more than is about to be drawn is shuffled or sent."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where((fold("doc_id") != 2) & (F.octet_length("text") <= TEXT_BYTES) & F.col("text").rlike(r"\p{L}"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where((fold("doc_id") != 2) & F.col("text").rlike(r"\p{L}"))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
         return []
     # a fifth more, and then some, than is asked for: a hash seldom gives the exact share
     share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, (1.2 * SAMPLE + 50) / r[1]))])
     drawn = known.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")) * (1 << 30))
-    ranked = drawn.select("text", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text", "doc_id"), "doc_id")).alias("k")).where(F.col("k") <= SAMPLE)
+    short = drawn.select(F.left("text", F.lit(TEXT_CHARS)).alias("text"), "lang", (F.length("text") > TEXT_CHARS).alias("long"), F.xxhash64("text", "doc_id").alias("h"), "doc_id")
+    ranked = short.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "doc_id"))).where(F.col("k") <= SAMPLE)
     return sorted({(r[0], r[1]) for r in ranked.select("text", "lang").toLocalIterator()})
 
 

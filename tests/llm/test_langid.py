@@ -69,3 +69,47 @@ def test_sample_is_bounded_and_fair(spark, monkeypatch):
     found = langid.sample(spark.createDataFrame(rows(), DOCS))
     learnt = {r[1] for r in rows() if zlib.crc32(str(r[0]).encode()) % 4 != 2}
     assert len(found) == 30 and all(t in learnt for t, _ in found)
+
+
+def plain_logits(model, text):
+    """Word by word and gram by gram, without numpy's arrays."""
+    total, n = [0.0] * len(model.languages), 0
+    for word in text.lower().encode().translate(bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))).split(b" "):
+        data = b" " + word + b" "
+        for order in langid.ORDERS:
+            for k in range(len(data) - order + 1):
+                if b" " in data[k + 1 : k + order - 1]:
+                    continue
+                h = order * 2654435761 & 0xFFFFFFFF
+                for c in data[k : k + order]:
+                    h = (h ^ c) * 16777619 & 0xFFFFFFFF
+                h ^= h >> 15
+                row = model.table[h % langid.BUCKETS]
+                total = [a + float(b) for a, b in zip(total, row, strict=True)]
+                n += 1
+    return [a / max(n, 1) + float(b) for a, b in zip(total, model.bias, strict=True)]
+
+
+def test_against_plain_version(monkeypatch):
+    model = langid.fit([(r[1], r[2]) for r in rows(200)])
+    texts = ["abc", "a bc\td", "Héllo wörld abc", "ÀÉ ijkl mnop", "x " * 30 + "abcdefgh", " ijk  lmn ", sentence(random.Random(3), 200)]
+    for piece in (1 << 20, 16):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        for t in texts:
+            want = plain_logits(model, t)
+            assert max(abs(a - b) for a, b in zip(model.logits(t), want, strict=True)) < 1e-4, t
+            assert model.predict(t)[0] == model.languages[max(range(len(want)), key=lambda k: want[k])]
+
+
+def test_letters_alone_count():
+    model = langid.fit([(r[1], r[2]) for r in rows(100)])
+    for t in ("½ ² Ⅷ ①", "१२३", "_ __", "\u0301\u0302", "12.5 €", "😀"):
+        assert model.predict(t)[0] == "und", t
+    for t in ("ª", "ʰ", "1 é", "字", "ا"):
+        assert model.predict(t)[0] != "und", t
+
+
+def test_a_language_of_long_texts_is_learnt(spark):
+    data = [(k, t, lang, s, n) for k, t, lang, s, n in rows(200)] + [(1000 + k, sentence(random.Random(k), 5000, "qrstuvwx"), "dd", None, None) for k in range(20)]
+    got = langid.identify(spark.createDataFrame(data, DOCS)).where("doc_id >= 1000").collect()
+    assert all(r["lang_pred"] == "dd" for r in got)
