@@ -10,13 +10,16 @@ all windows is a row for each task there; the join back is an ordinary equi-join
 Defined cases: a null text has no line and stays null; a text with fewer than three lines has no window; windows of three
 blank lines are none; ids may be null (first in order) or repeated: rows that agree in id and text count as one
 document and get one result each, rows that agree in id alone are told apart by the text's hash; other columns are carried
-along; an empty table gives an empty result. Texts are read whole."""
+along, whatever they are named (but deduplicated()'s own n_lines, n_removed and n_spans, which take the place of columns so named;
+clean() keeps those); an empty table gives an empty result. Texts are read whole."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.llm.common import apart
+
 LINES = 3
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -55,6 +58,7 @@ def _gaps(covered: Column, n: Column) -> Column:
     return F.filter(gaps, lambda g: g["hi"] > g["lo"])
 
 
+@apart
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with text after removal, and n_lines, n_removed, n_spans (int)."""
     names = docs.columns
@@ -79,6 +83,7 @@ def report(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", "n_spans", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
 
 
+@apart
 def clean(docs: DataFrame) -> DataFrame:
     """docs, all their columns, after removal (n_chars too, if there is one); without documents that lost their last word."""
     done = deduplicated(docs)

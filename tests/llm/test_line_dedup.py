@@ -72,3 +72,11 @@ def test_sql_agrees(spark, rows, docs):
 def test_no_python_in_the_plan(docs):
     plan = line_dedup.report(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "MapInArrow" not in plan and "Cartesian" not in plan
+
+
+def test_any_column_names(docs, underscored):
+    for run in (line_dedup.clean, line_dedup.deduplicated):
+        out, plain = run(underscored), run(docs)
+        assert table(out, *plain.columns) == table(plain)
+        assert set(underscored.columns) <= set(out.columns)
+        assert all(r["__hash"] == (f"__hash{r['doc_id']}" if r["doc_id"] is not None else None) for r in out.collect())

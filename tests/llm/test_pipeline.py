@@ -12,7 +12,8 @@ from linkweave.llm import mixing, packing, quality
 from tests.llm.conftest import DOCS
 from tests.llm.test_line_dedup import brute as line_brute
 from tests.llm.test_line_dedup import unique
-from tests.llm.test_simhash import brute as simhash_brute
+from tests.llm.test_simhash import ordered
+from tests.llm.test_similarity import brute as similarity_brute
 
 
 def plain(rows):
@@ -28,17 +29,12 @@ def plain(rows):
         text, _, gone, _ = kept[d, t]
         if not gone or text.encode().split():
             after.append((d, text, lang, source, len(text)))
-    groups = simhash_brute(after)
-    stay, seen = [], set()
-    for r, (d, _, c) in zip(after, groups, strict=True):
-        if d == c and d not in seen:
-            seen.add(d)
-            stay.append(r)
+    stay = list(similarity_brute(after))
     return stage, after, stay
 
 
 def test_stages(spark, rows, tmp_path):
-    mine = [r for r in unique(rows) if r[0] is not None]
+    mine = unique(rows)
     docs = spark.createDataFrame(mine, DOCS)
     want = plain(mine)
     columns = docs.columns
@@ -49,7 +45,7 @@ def test_stages(spark, rows, tmp_path):
         docs = spark.read.parquet(path)
         if k < 3:
             assert docs.columns == columns
-            assert sorted(map(tuple, docs.collect())) == sorted(want[k])
+            assert ordered(map(tuple, docs.collect())) == ordered(want[k])
         elif k == 3:
             assert docs.columns == columns
             sized = spark.createDataFrame(want[2], DOCS)
