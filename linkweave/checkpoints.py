@@ -1,21 +1,33 @@
-"""Results that several later steps read, written once."""
+"""Results that several later steps read, written once, and the folder for them."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in the folder that all executors share (spark.checkpoint.dir).
+def shared(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir).
 
-    A lost executor costs nothing that was written. Only on a local master, as in tests, is a folder made where the setting is
-    missing: on a cluster executors couldn't read each other's files in it, so that is refused."""
-    context = df.sparkSession.sparkContext
+    Only on a local master, as in tests, is a folder made where the setting is missing: on a cluster executors couldn't read each
+    other's files in it, so that is refused."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and context.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkweave-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, computed now and kept in the shared folder: a lost executor costs nothing that was written."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -53,6 +53,15 @@ def feature_tags(strings: Column | str, callees: Column | str, callers: Column |
     return F.array_compact(F.array(*[F.when(rule, tag) for tag, rule in rules]))
 
 
+#: The type of a feature summary.
+SUMMARY = (
+    "struct<function_name_debug_label:string,architecture:string,lua_version:string,basic_block_count:int,pcode_instruction_count:int,top_pcode_opcodes:array<struct<name:string,count:int>>,"
+    "strings:array<string>,string_count:int,callees:struct<total_count:int,visible_count:int,anonymous_count:int,visible_names:array<string>>,"
+    "callers:struct<total_count:int,visible_count:int,anonymous_count:int,visible_names:array<string>>,struct_offsets:array<int>,struct_offset_count:int,"
+    "compare_constants:struct<offset_count:int,sample:array<struct<offset:string,value:string>>>,feature_tags:array<string>>"
+)
+
+
 def feature_summary(present: Column) -> Column:
     """Summary struct of the feature columns in scope; null where `present` is false."""
     summary = F.struct(

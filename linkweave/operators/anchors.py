@@ -52,6 +52,6 @@ def anchored_neighbours(neighbours: DataFrame, cases: DataFrame, seeds: DataFram
         known = names.select("name", F.lit(True).alias("__known"))
         rows = rows.join(known, "name", "left")
         anchor = F.coalesce(anchor, F.when(F.col("__known") & ~has_prefix("name", policy.exclude_prefixes), F.col("name")))
-    source = F.when(F.col("reference_function_name").isNotNull(), "seed_anchor").otherwise("visible_reference_name")
+    source = F.when(F.col("reference_function_name").isNotNull(), "seed_anchor").otherwise("visible_reference_name_anchor")
     found = rows.select("case_id", "relation", "pos", F.col("name").alias("query_name"), anchor.alias("anchor"), source.alias("source")).where("anchor is not null")
     return _first_by(found, "anchor")

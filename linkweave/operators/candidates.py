@@ -27,9 +27,8 @@ def first_of_list(cases: DataFrame, candidates: DataFrame) -> DataFrame:
     return cases.select("case_id").join(first, "case_id", "left").select("case_id", F.coalesce("retrieval_top1", F.lit("")).alias("retrieval_top1"))
 
 
-def expansion(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: DataFrame, retrieved: DataFrame, policy: Policy) -> DataFrame:
-    """Names that call an anchored callee or are called by an anchored caller, with the support of each;
-    every level at which an edge is seen counts once. pairs: as of operators.store.pair_levels()."""
+def _support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """case_id, name, edge_relation, anchor, opt_levels: each edge between a reference name and an anchor of a case, on the anchor's side."""
     env = ["lua_version", "architecture"]
     asked = anchors.join(cases.select("case_id", *env), "case_id").select("case_id", *env, "relation", "anchor")
 
@@ -39,13 +38,24 @@ def expansion(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: Dat
         found = asked.where(F.col("relation") == relation).join(named, [*env, "anchor"])
         return found.select("case_id", "name", F.lit(edge_relation).alias("edge_relation"), "anchor", "opt_levels")
 
-    support = side("callee", "candidate_calls_anchor", "dst_name", "src_name").unionByName(side("caller", "anchor_calls_candidate", "src_name", "dst_name"))
+    return side("callee", "candidate_calls_anchor", "dst_name", "src_name").unionByName(side("caller", "anchor_calls_candidate", "src_name", "dst_name"))
+
+
+def expansion(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: DataFrame, retrieved: DataFrame, policy: Policy) -> DataFrame:
+    """Names that call an anchored callee or are called by an anchored caller, with the support of each;
+    every level at which an edge is seen counts once. pairs: as of operators.store.pair_levels()."""
     primary = F.array_contains("opt_levels", policy.primary_opt).cast("int")
-    lines = F.transform("opt_levels", lambda o: F.struct(F.col("edge_relation").alias("edge_relation"), F.col("anchor").alias("anchor"), o.alias("opt_level")))
-    grown = support.groupBy("case_id", "name").agg(F.sum(primary).alias("primary_support"), F.sum(F.size("opt_levels") - primary).alias("auxiliary_support"), F.slice(F.array_sort(F.flatten(F.collect_list(lines))), 1, 50).alias("supporting_edges"))
+    grown = _support(cases, anchors, pairs, names).groupBy("case_id", "name").agg(F.sum(primary).alias("primary_support"), F.sum(F.size("opt_levels") - primary).alias("auxiliary_support"))
     return grown.join(retrieved.select("case_id", "name").distinct(), ["case_id", "name"], "left_anti")
 
 
+def supporting_edges(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, top: DataFrame, most: int = 50) -> DataFrame:
+    """case_id, name, supporting_edges: the first edges, a row for each level, that speak for the expanded candidates that stayed; of no others."""
+    found = _support(cases, anchors, pairs, top.select("name").distinct()).join(top.select("case_id", "name"), ["case_id", "name"], "left_semi")
+    lines = F.transform("opt_levels", lambda o: F.struct(F.col("edge_relation").alias("edge_relation"), F.col("anchor").alias("anchor"), o.alias("opt_level")))
+    return found.groupBy("case_id", "name").agg(F.slice(F.array_sort(F.flatten(F.collect_list(lines))), 1, most).alias("supporting_edges"))
+
+
 def expansion_top(expanded: DataFrame, policy: Policy) -> DataFrame:
     """C4: the best expansion_limit of each case, with their place."""
     order = Window.partitionBy("case_id").orderBy(F.desc("primary_support"), F.desc("auxiliary_support"), F.desc("name"))

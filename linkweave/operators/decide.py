@@ -69,8 +69,10 @@ def case_results(cases: DataFrame, ranked: DataFrame, anchors: DataFrame, policy
 
 
 def conflicts(results: DataFrame) -> DataFrame:
-    """Accepted results that share file and prediction all become conflicts."""
-    scope = Window.partitionBy("query_file", "predicted_function_name")
-    clash = (F.col("status") == "accepted") & (F.count_if(F.col("status") == "accepted").over(scope) > 1)
-    marked = results.withColumn("__clash", clash)
-    return marked.withColumn("status", F.when(F.col("__clash"), "conflict").otherwise(F.col("status"))).withColumn("status_reasons", F.when(F.col("__clash"), F.array(F.lit("duplicate_accepted_mapping_in_query_scope"))).otherwise(F.col("status_reasons"))).drop("__clash")
+    """Accepted results that share file and prediction all become conflicts. Only accepted ones are counted, before anything is joined."""
+    scope = ["query_file", "predicted_function_name"]
+    taken = results.where((F.col("status") == "accepted") & truthy("predicted_function_name"))
+    shared = taken.groupBy(*scope).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("query_file").alias("__file"), F.col("predicted_function_name").alias("__name"))
+    joined = results.join(shared, F.col("query_file").eqNullSafe(F.col("__file")) & (F.col("predicted_function_name") == F.col("__name")) & (F.col("status") == "accepted"), "left")
+    clash = F.col("__name").isNotNull()
+    return joined.withColumn("status", F.when(clash, "conflict").otherwise(F.col("status"))).withColumn("status_reasons", F.when(clash, F.array(F.lit("duplicate_accepted_mapping_in_query_scope"))).otherwise(F.col("status_reasons"))).drop("__file", "__name")

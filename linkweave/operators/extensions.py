@@ -1,9 +1,8 @@
-"""Documented by the blueprint, not part of its inventory of implemented operators.
-
-Left out: X9, X3's mutual bonus, X6's llm_evidence and X7's custom_suspected."""
+"""Documented by the blueprint, not part of its inventory of implemented operators (X1 to X8 and X10; X9 is in operators.store)."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -15,15 +14,23 @@ from linkweave.functions.names import truthy
 from linkweave.policy import Policy
 
 
-def validation_issues(functions: DataFrame, edges: DataFrame, candidates: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Rule and number of rows that break it: repeated ids, loose ends of edges, repeated candidates, scores outside 0 to 1, anchors that are not accepted."""
-    twice = functions.groupBy("function_id").count().where("count > 1").agg(F.count("*").alias("rows")).select(F.lit("function_id_unique").alias("rule"), "rows")
+def validation_issues(functions: DataFrame, edges: DataFrame, candidates: DataFrame, mappings: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Rule and number of rows that break it: repeated ids, loose ends of edges, repeated candidates, scores and confidences outside 0 to 1, anchors
+    that are not accepted, and documents (name, schema_version) without a version."""
+    outside = lambda rows, c: rows.where(~F.col(c).between(0.0, 1.0))
     ids = functions.select("function_id").distinct()
-    ends = edges.select(F.explode(F.array("src_id", "dst_id")).alias("function_id")).join(ids, "function_id", "left_anti").agg(F.count("*").alias("rows")).select(F.lit("edge_ends_exist").alias("rule"), "rows")
-    names = candidates.groupBy("case_id", "name").count().where("count > 1").agg(F.count("*").alias("rows")).select(F.lit("candidate_names_unique").alias("rule"), "rows")
-    scores = candidates.where(~F.col("prior").between(0.0, 1.0)).agg(F.count("*").alias("rows")).select(F.lit("score_in_range").alias("rule"), "rows")
-    status = mappings.where(~F.col("status").eqNullSafe("accepted")).agg(F.count("*").alias("rows")).select(F.lit("anchors_accepted").alias("rule"), "rows")
-    return twice.unionByName(ends).unionByName(names).unionByName(scores).unionByName(status)
+    broken = {
+        "function_id_unique": functions.groupBy("function_id").count().where("count > 1"),
+        "edge_ends_exist": edges.select(F.explode(F.array("src_id", "dst_id")).alias("function_id")).join(ids, "function_id", "left_anti"),
+        "candidate_names_unique": candidates.groupBy("case_id", "name").count().where("count > 1"),
+        "score_in_range": outside(candidates, "prior"),
+        "anchors_accepted": mappings.where(~F.col("status").eqNullSafe("accepted")),
+    }
+    if "confidence" in mappings.columns:
+        broken["confidence_in_range"] = outside(mappings, "confidence")
+    if documents is not None:
+        broken["schema_version_given"] = documents.where(~truthy("schema_version"))
+    return functools.reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("rows")).select(F.lit(rule).alias("rule"), "rows") for rule, rows in broken.items()])
 
 
 def anchor_selection(candidates: DataFrame, score: float = 0.9, margin: float = 0.05) -> DataFrame:
@@ -35,8 +42,8 @@ def anchor_selection(candidates: DataFrame, score: float = 0.9, margin: float =
 
 
 def strict_policy(**changes: object) -> Policy:
-    """Heavier weights."""
-    return Policy(**({"primary_bonus": 0.05, "auxiliary_bonus": 0.05, "missing_penalty": 0.1} | changes))
+    """Heavier weights, and a bonus for each anchor that a candidate both calls and is called by."""
+    return Policy(**({"primary_bonus": 0.05, "auxiliary_bonus": 0.05, "missing_penalty": 0.1, "mutual_bonus": 0.03} | changes))
 
 
 def conflicts_by_margin(results: DataFrame, policy: Policy) -> DataFrame:
@@ -65,14 +72,48 @@ def propagate(step: Callable[[DataFrame], DataFrame], seeds: DataFrame) -> tuple
             return known, rounds
 
 
-def mapping_export(results: DataFrame) -> DataFrame:
-    """A JSON mapping for each case; cases without candidates are `rejected`."""
-    status = F.when(F.array_contains("status_reasons", "no_candidates"), "rejected").otherwise(F.col("status"))
-    return results.select("case_id", status.alias("status"), F.to_json(F.struct("query_file", "query_func", F.col("predicted_function_name").alias("reference_function_name"), F.col("top_score").alias("confidence"), status.alias("status"), "status_reasons")).alias("mapping"))
-
+def mapping_export(results: DataFrame, ranked: DataFrame | None = None, advice: DataFrame | None = None) -> DataFrame:
+    """case_id, status and mapping, a JSON document for each case: the final candidate, its scores and evidence, the cases that it is in conflict
+    with, and what a language model said of it (llm_evidence; it changes nothing else). Cases without candidates are `rejected`.
 
-def review_triggers(results: DataFrame, policy: Policy) -> DataFrame:
-    """Cases that a model should look at, and why."""
+    ranked gives scores and evidence; advice (case_id, analysis: JSON text) is as of operators.analyst.ask()."""
+    status = F.when(F.array_contains("status_reasons", "no_candidates"), "rejected").otherwise(F.col("status"))
+    rows = results.withColumn("__status", status)
+    clash = rows.where("status = 'conflict'").select("query_file", "predicted_function_name", F.col("query_func").alias("__other"))
+    # a conflict's group is as large as the cases that were accepted for one name of one file
+    others = clash.groupBy("query_file", "predicted_function_name").agg(F.array_sort(F.collect_list("__other")).alias("__others"))
+    rows = rows.join(others, ["query_file", "predicted_function_name"], "left")
+    conflicts = F.when(F.col("status") == "conflict", F.array_remove("__others", F.col("query_func"))).otherwise(F.array().cast("array<string>"))
+    if ranked is not None:
+        best = ranked.where("final_rank = 1").select("case_id", F.struct(F.col("prior").alias("retrieval_prior"), "graph_score", "final_score").alias("__scores"), F.col("evidence").alias("__evidence"))
+        rows = rows.join(best, "case_id", "left")
+    if advice is not None:
+        rows = rows.join(advice.select("case_id", F.col("analysis").alias("__advice")), "case_id", "left")
+    get = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    mapping = F.struct(
+        F.col("query_func").alias("query_function_id"), "query_file", F.struct(F.col("predicted_function_name").alias("reference_function_name")).alias("final_candidate"), F.col("__status").alias("status"), F.col("top_score").alias("confidence"),
+        get("__scores", "struct<retrieval_prior:double,graph_score:double,final_score:double>").alias("scores"), F.coalesce(get("__evidence", "array<string>"), F.array().cast("array<string>")).alias("evidence"), "status_reasons",
+        conflicts.alias("conflicts"), F.try_parse_json(get("__advice", "string")).alias("llm_evidence"),
+    )
+    return rows.select("case_id", F.col("__status").alias("status"), F.to_json(mapping, {"ignoreNullFields": "false"}).alias("mapping"))
+
+
+def unanchored_neighbours(neighbours: DataFrame, anchors: DataFrame) -> DataFrame:
+    """case_id and custom_suspected: whether a case calls, or is called by, a named function that no anchor stands for."""
+    known = anchors.select("case_id", "relation", F.col("query_name").alias("name")).distinct()
+    loose = neighbours.where(truthy("name")).join(known, ["case_id", "relation", "name"], "left_anti")
+    return loose.select("case_id").distinct().withColumn("custom_suspected", F.lit(True))
+
+
+def review_triggers(results: DataFrame, policy: Policy, custom: DataFrame | None = None) -> DataFrame:
+    """case_id and triggers: why a model should look at a case: it is deferred, other accepted cases claim its name (conflict_count over 0), its margin is
+    small, or it is suspected to be a function of the query's own (custom: unanchored_neighbours())."""
+    claims = results.where(F.col("status").isin("accepted", "conflict")).groupBy("query_file", "predicted_function_name").agg(F.count("*").alias("__claims"))
+    rows = results.join(claims, ["query_file", "predicted_function_name"], "left").withColumn("conflict_count", F.when(F.col("status").isin("accepted", "conflict"), F.col("__claims") - 1).otherwise(0))
+    if custom is not None:
+        rows = rows.join(custom, "case_id", "left")
+    suspected = F.coalesce(F.col("custom_suspected"), F.lit(False)) if "custom_suspected" in rows.columns else F.lit(False)
     margin = F.col("top_score") - F.coalesce("second_score", F.lit(0.0))
-    why = F.array_compact(F.array(F.when(F.col("status") == "deferred", "deferred"), F.when(F.col("status") == "conflict", "conflict"), F.when(margin < policy.accept_margin, "low_margin")))
-    return results.select("case_id", why.alias("triggers")).where(F.size("triggers") > 0)
+    rules = (("deferred", F.col("status") == "deferred"), ("conflict", F.col("conflict_count") > 0), ("low_margin", margin < policy.accept_margin), ("custom_suspected", suspected))
+    why = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules]))
+    return rows.select("case_id", why.alias("triggers")).where(F.size("triggers") > 0)

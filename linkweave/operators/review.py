@@ -24,7 +24,8 @@ ACTIONS = {
     "mapping_conflict": "Resolve one-to-one mapping conflict before accepting either candidate.",
     "manual_review": "Keep deferred and inspect manually.",
 }
-PAYLOAD_VERSION, DOCUMENT_VERSION = "0.2", "0.1"
+PAYLOAD_VERSION = "0.2"
+# Fixed value: the classes of an answer.
 CLASSES = "prefer_candidate | remain_deferred | need_more_anchors | possible_custom"
 
 
@@ -61,6 +62,17 @@ def compact_candidates(ranked: DataFrame, n: int) -> DataFrame:
     return ranked.where(F.col("final_rank") <= n).groupBy("case_id").agg(F.array_sort(F.collect_list(one)).alias("top_candidates"))
 
 
+ITEMS = "array<struct<query_neighbor_name:string,reference_function_name:string,source:string>>"
+
+
+def anchor_items(anchors: DataFrame, most: int = 30) -> DataFrame:
+    """case_id, callee_anchors, caller_anchors: the first anchors of each side, each with the neighbour's own name and where its mapping is from."""
+    item = F.struct("pos", F.col("query_name").alias("query_neighbor_name"), F.col("anchor").alias("reference_function_name"), "source")
+    listed = lambda r: F.slice(F.array_sort(F.collect_list(F.when(F.col("relation") == r, item))), 1, most)
+    plain = lambda x: F.struct(x["query_neighbor_name"].alias("query_neighbor_name"), x["reference_function_name"].alias("reference_function_name"), x["source"].alias("source"))
+    return anchors.groupBy("case_id").agg(*[F.transform(listed(r), plain).alias(f"{r}_anchors") for r in ("callee", "caller")])
+
+
 def to_review(results: DataFrame) -> DataFrame:
     """What was deferred or is in conflict."""
     return results.where(F.col("status").isin("deferred", "conflict"))
@@ -68,10 +80,10 @@ def to_review(results: DataFrame) -> DataFrame:
 
 def review_cases(results: DataFrame, ranked: DataFrame, anchors: DataFrame, features: DataFrame, n: int = 5) -> DataFrame:
     """A record for each case to review. features: first rows of (query_file, query_func), with their environment as written."""
-    sides = anchors.groupBy("case_id").agg(*[F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("relation") == r, F.struct("pos", "anchor")))), 1, 30), lambda x: x["anchor"]).alias(f"{r}_anchors") for r in ("callee", "caller")])
+    sides = anchor_items(anchors)
     summary = features.select("query_file", "query_func", feature_summary(F.lit(True)).alias("query_feature_summary"))
     rows = to_review(results).join(compact_candidates(ranked, n), "case_id", "left").join(sides, "case_id", "left").join(summary, ["query_file", "query_func"], "left")
-    empty = F.array().cast("array<string>")
+    empty = F.array().cast(ITEMS)
     rows = rows.withColumn("review_category", category("status_reasons"))
     counts = F.struct(F.col("callee_anchor_count").alias("callee"), F.col("caller_anchor_count").alias("caller"))
     payload = F.struct(
@@ -79,7 +91,7 @@ def review_cases(results: DataFrame, ranked: DataFrame, anchors: DataFrame, feat
         F.lit("query_func and expected_function may be debug labels; judge by features, retrieval and graph evidence alone.").alias("label_leakage_warning"),
         F.col("query_func").alias("query_function"), "query_feature_summary", F.col("status_reasons").alias("deferred_reasons"), F.col("top_candidates").alias("candidate_summaries"),
         F.struct("callee_anchor_count", "caller_anchor_count", "top_tied_candidates").alias("graph_anchor_summary"),
-        F.struct(F.lit(CLASSES).alias("classification"), F.lit("string or null").alias("recommended_candidate"), F.lit("0.0-1.0").alias("confidence"), F.array(F.lit("short evidence bullets")).alias("reasoning_summary"), F.array(F.lit("short risk bullets")).alias("risks")).alias("answer_format"),
+        F.struct(F.lit(CLASSES).alias("classification"), F.lit("name of a candidate, or null").alias("recommended_candidate"), F.lit("from 0.0 to 1.0").alias("confidence"), F.array(F.lit("what speaks for it")).alias("reasoning_summary"), F.array(F.lit("what may be wrong")).alias("risks")).alias("answer_format"),
     )
     return rows.select(
         "case_id", "query_file", "query_func", "architecture", "expected_function", F.col("predicted_function_name").alias("current_top_prediction"), "expected_final_rank", "status", "review_category",

@@ -58,14 +58,31 @@ def query_adjacency(query_edges: DataFrame) -> DataFrame:
     return kept.select("src", "dst").distinct()
 
 
+def query_graph(query_edges: DataFrame, lua_version: str, architecture: str, opt_level: str, strip_mode: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """X9, an extension: a query graph as functions and edges of a store, with the role `query` and edges of any type. What asks for the
+    role `reference` doesn't see them."""
+    env = {"lua_version": lua_version, "architecture": architecture, "opt_level": opt_level, "strip_mode": strip_mode}
+    kept = query_edges.where(truthy("src") & truthy("dst")).select("src", "dst", F.coalesce("edge_type", F.lit("calls")).alias("edge_type")).distinct()
+    names = kept.select(F.explode(F.array("src", "dst")).alias("function_name")).distinct()
+    columns = [F.lit(env[c]).alias(c) for c in LEVELS]
+    functions = names.select(F.concat(F.lit("query::"), "function_name").alias("function_id"), "function_name", F.lit("query").alias("graph_role"), *columns, F.lit(None).cast("string").alias("entry_point"), F.lit(source).alias("source_json"))
+    ids = [F.concat(F.lit("query::"), c).alias(n) for n, c in (("src_id", "src"), ("dst_id", "dst"))]
+    return functions, kept.select(*ids, F.col("src").alias("src_name"), F.col("dst").alias("dst_name"), "edge_type", F.lit("query").alias("graph_role"), *columns, F.lit(source).alias("source_json"))
+
+
+def stored_query_edges(edges: DataFrame) -> DataFrame:
+    """The query graph of a store, as query_adjacency() and the scorer read it."""
+    return edges.where(F.col("graph_role") == "query").select(F.col("src_name").alias("src"), F.col("dst_name").alias("dst"), "edge_type")
+
+
 def reference_names(functions: DataFrame) -> DataFrame:
     """Names with the role reference, over all environments."""
     return functions.where(F.col("graph_role") == "reference").select(F.col("function_name").alias("name")).distinct()
 
 
-def pair_levels(edges: DataFrame, strip_mode: str = "nostrip") -> DataFrame:
-    """The optimisation levels at which each call is seen, sorted."""
-    rows = edges.where((F.col("graph_role") == "reference") & (F.col("strip_mode") == strip_mode))
+def pair_levels(edges: DataFrame, strip_mode: str = "nostrip", edge_types: tuple[str, ...] = ("calls",)) -> DataFrame:
+    """The optimisation levels at which each call is seen, sorted. Edges of other types (X9) count if they are asked for."""
+    rows = edges.where((F.col("graph_role") == "reference") & (F.col("strip_mode") == strip_mode) & F.col("edge_type").isin(*edge_types))
     return rows.groupBy("lua_version", "architecture", "src_name", "dst_name").agg(F.array_sort(F.collect_set("opt_level")).alias("opt_levels"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,16 +129,16 @@ def _anchors(t: Tables) -> DataFrame:
 
 
 def _expanded(t: Tables) -> DataFrame:
-    return C.expansion(t.cases, _anchors(t), store.pair_levels(t.edges), store.reference_names(t.functions), C.retrieval_candidates(t.listed), POLICY)
+    return C.expansion(t.cases, _anchors(t), t.pairs, store.reference_names(t.functions), C.retrieval_candidates(t.listed), POLICY)
 
 
 def _run(t: Tables) -> runs.Scored:
-    return runs.propagate_from_anchors(t.cases, t.neighbours, A.seed_anchors(t.mappings), t.listed, t.functions, t.edges, POLICY)
+    return runs.propagate_from_anchors(t.cases, t.neighbours, A.seed_anchors(t.mappings), t.listed, t.functions, t.pairs, POLICY)
 
 
 def _minimal(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     expected = t.cases.where("expected_function is not null").select(F.col("query_func").alias("query_id"), "expected_function")
-    return runs.score_query_graph(t.retrieval, t.query_edges, t.mappings, t.edges, expected, Policy.minimal())
+    return runs.score_query_graph(t.retrieval, t.query_edges, t.mappings, t.pairs, expected, Policy.minimal())
 
 
 SCORES = ("primary_matches", "auxiliary_matches", "missing_anchor_edges", "graph_score", "final_score")
@@ -228,7 +229,7 @@ def seeded_anchors(t: Tables) -> DataFrame:
     return _anchors(t).select("case_id", "relation", "pos", "anchor", "source")
 
 
-@query(GRAPH + """SELECT n.case_id, n.relation, n.pos, n.name AS anchor, CASE WHEN s.name IS NOT NULL THEN 'seed_anchor' ELSE 'visible_reference_name' END AS source
+@query(GRAPH + """SELECT n.case_id, n.relation, n.pos, n.name AS anchor, CASE WHEN s.name IS NOT NULL THEN 'seed_anchor' ELSE 'visible_reference_name_anchor' END AS source
 FROM neighbours n LEFT JOIN seeds s USING (name) WHERE s.name IS NOT NULL OR (n.name IN (SELECT name FROM ref_names) AND NOT starts_with(n.name, 'P1'))""")
 def mixed_anchors(t: Tables) -> DataFrame:
     """D5, with visible names."""
@@ -431,14 +432,14 @@ def name_visibility(t: Tables) -> DataFrame:
     return s.select("doc_id", "s.total_count", "s.visible_count", "s.anonymous_count", joined("s.visible_names").alias("visible_names"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS strings, n_chars % 1000 AS n, n_chars % 50 AS b, string_split(left(coalesce(text, ''), 60), ' ') AS callees FROM documents)
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '') AS strings, n_chars % 1000 AS n, n_chars % 50 AS b, string_split(coalesce(text, ''), ' ') AS callees FROM documents)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN len(strings) > 0 THEN 'string_rich' END, CASE WHEN len(list_filter(strings, lambda x: contains(x, 'chunk') OR contains(x, 'lua_integer') OR contains(x, 'lua_number'))) > 0 THEN 'binary_chunk_or_loader_related_strings' END,
   CASE WHEN n >= 500 OR b >= 40 THEN 'large_complex_function' END, CASE WHEN n <= 120 AND b <= 5 THEN 'small_api_wrapper_like_function' END, CASE WHEN len(callees) >= 8 THEN 'call_heavy' END, CASE WHEN len(strings) = 0 THEN 'no_strings' END,
   CASE WHEN len(list_filter(strings, lambda x: NOT starts_with(x, 'FUNC_') AND NOT starts_with(x, 'FUN_') AND NOT starts_with(x, 'sub_'))) <= 1 THEN 'few_visible_callers' END], lambda x: x IS NOT NULL), ';') AS tags FROM w""")
 def feature_tags(t: Tables) -> DataFrame:
-    """I4: lines as strings and callers, sizes from n_chars."""
+    """I4: lines as strings and callers, words as callees, sizes from n_chars; texts are read whole."""
     text = F.coalesce("text", F.lit(""))
-    rows = t.read("documents").select("doc_id", F.filter(F.split(text, "\n", -1), lambda x: x != "").alias("strings"), (F.col("n_chars") % 1000).cast("int").alias("n"), (F.col("n_chars") % 50).cast("int").alias("b"), F.split(F.left(text, F.lit(60)), " ", -1).alias("callees"))
+    rows = t.read("documents").select("doc_id", F.filter(F.split(text, "\n", -1), lambda x: x != "").alias("strings"), (F.col("n_chars") % 1000).cast("int").alias("n"), (F.col("n_chars") % 50).cast("int").alias("b"), F.split(text, " ", -1).alias("callees"))
     return rows.select("doc_id", joined(FF.feature_tags("strings", "callees", "strings", "n", "b")).alias("tags"))
 
 
@@ -471,23 +472,153 @@ def margin_delta(t: Tables) -> DataFrame:
 
 
 def _features(t: Tables) -> DataFrame:
-    """Feature rows of customers."""
-    c = t.cases
-    return c.select("query_file", "query_func", F.col("query_func").alias("function_name"), "architecture", "lua_version", (F.col("case_id") % 60).cast("int").alias("basic_block_count"), (F.col("case_id") % 900).cast("int").alias("pcode_instruction_count"),
-        F.create_map(F.lit("COPY"), (F.col("case_id") % 7).cast("int"), F.lit("LOAD"), (F.col("case_id") % 5).cast("int")).alias("pcode_opcode_histogram"), F.array("mode").alias("strings"), F.array(F.lit("FUN_1"), "query_func").alias("callees"),
-        F.array(F.concat(F.lit("N"), F.col("query_file").cast("string"))).alias("callers"), F.array(F.lit(8), F.lit(16)).alias("struct_offsets"), F.create_map(F.lit("8"), F.array(F.lit("1"))).alias("compare"))
+    """Feature rows of customers; every eleventh has none."""
+    c, i = t.cases.where("case_id % 11 <> 0"), F.col("case_id")
+    counts = F.array(*[F.struct(F.lit(f"OP{k:02}").alias("key"), ((i * 7 + k * k) % 13).cast("int").alias("value")) for k in range(12)])
+    many = lambda n: F.sequence(F.lit(1), F.greatest(F.lit(1), (i % n).cast("int")))
+    named = lambda letter, n: F.when(i % n == 0, F.array().cast("array<string>")).otherwise(F.transform(many(n), lambda k: F.concat(F.when(k % 3 == 0, "FUN_").otherwise(letter), k.cast("string"))))
+    compare = F.create_map(F.lit("8"), F.transform(many(10), lambda k: k.cast("string")), F.lit("16"), F.array(F.lit("x"), "mode"))
+    return c.select("query_file", "query_func", F.col("query_func").alias("function_name"), "architecture", "lua_version", (i % 60).cast("int").alias("basic_block_count"), (i % 900).cast("int").alias("pcode_instruction_count"),
+        F.map_from_entries(counts).alias("pcode_opcode_histogram"), named("s", 25).alias("strings"), named("c", 14).alias("callees"), F.array(F.concat(F.lit("N"), F.col("query_file").cast("string"))).alias("callers"),
+        F.transform(many(30), lambda k: k * 8).alias("struct_offsets"), compare.alias("compare"))
 
 
-@query(DECIDED + f"""SELECT case_id, status, {CATEGORY} AS review_category, array_to_string(reasons, ';') AS reasons, predicted AS current_top_prediction, callee_anchor_count, coalesce(least(candidate_count, 5), 0)::INT AS shown,
-  CASE WHEN case_id % 7 >= case_id % 5 THEN 'COPY' ELSE 'LOAD' END AS top_opcode, true AS has_feature FROM results WHERE status <> 'accepted'""")
+def millionths(x: str | Column) -> Column:
+    """Scores as whole numbers: two engines write doubles differently."""
+    return F.round((F.col(x) if isinstance(x, str) else x) * 1_000_000).cast("long")
+
+
+def _summary_text(s: Column) -> Column:
+    """A feature summary in one line."""
+    names = lambda x: F.concat_ws("/", x["total_count"], x["visible_count"], x["anonymous_count"], joined(x["visible_names"], ","))
+    return F.concat_ws("|", s["function_name_debug_label"], s["architecture"], s["lua_version"], s["basic_block_count"], s["pcode_instruction_count"], joined(F.transform(s["top_pcode_opcodes"], lambda x: F.concat_ws(":", x["name"], x["count"])), ","),
+        joined(s["strings"], ","), s["string_count"], names(s["callees"]), names(s["callers"]), joined(s["struct_offsets"].cast("array<string>"), ","), s["struct_offset_count"],
+        s["compare_constants"]["offset_count"], joined(F.transform(s["compare_constants"]["sample"], lambda x: F.concat_ws("=", x["offset"], x["value"])), ","), joined(s["feature_tags"], ","))
+
+
+def _candidates_text(c: Column) -> Column:
+    """Compact candidates in one line."""
+    one = lambda x: F.concat_ws("|", x["rank"], x["function_name"], x["role_hint"]["role"], x["role_hint"]["rationale"], x["source"], millionths(x["retrieval_prior"]), millionths(x["graph_score"]), millionths(x["final_score"]),
+        x["primary_matches"], x["auxiliary_matches"], x["missing_anchor_edges"], joined(x["evidence"], ","))
+    return F.coalesce(joined(F.transform(c, one)), F.lit(""))
+
+
+# The same in SQL: feature rows, their summaries (with `opcodes` and `texts` of them) and all that a review record holds.
+REVIEW = (
+    DECIDED
+    + """,
+raw_features AS (SELECT case_id, query_file, query_func, architecture, (case_id % 60)::INT AS bb, (case_id % 900)::INT AS pc,
+    list_transform(range(12), lambda k: {'k': k, 'n': 'OP' || lpad(k::VARCHAR, 2, '0'), 'c': ((case_id * 7 + k * k) % 13)::INT}) AS ops,
+    CASE WHEN case_id % 25 = 0 THEN [] ELSE list_transform(range(1, greatest(1, case_id % 25) + 1), lambda k: CASE WHEN k % 3 = 0 THEN 'FUN_' ELSE 's' END || k) END AS strings,
+    CASE WHEN case_id % 14 = 0 THEN [] ELSE list_transform(range(1, greatest(1, case_id % 14) + 1), lambda k: CASE WHEN k % 3 = 0 THEN 'FUN_' ELSE 'c' END || k) END AS callees,
+    list_transform(range(1, greatest(1, case_id % 30) + 1), lambda k: (k * 8)::VARCHAR) AS offsets,
+    list_transform(range(1, greatest(1, case_id % 10) + 1), lambda k: '8=' || k) || ['16=x', '16=' || mode] AS pairs_
+  FROM cases WHERE case_id % 11 <> 0),
+best_ops AS (SELECT case_id, list(o.n || ':' || o.c ORDER BY o.c DESC, o.k) AS named FROM (SELECT case_id, unnest(ops) AS o FROM raw_features) GROUP BY case_id),
+shown AS (SELECT *, list_filter(callees, lambda x: NOT starts_with(x, 'FUN_')) AS visible FROM raw_features JOIN best_ops USING (case_id)),
+tagged AS (SELECT *, array_to_string(list_filter([CASE WHEN len(strings) > 0 THEN 'string_rich' END, CASE WHEN pc >= 500 OR bb >= 40 THEN 'large_complex_function' END, CASE WHEN pc <= 120 AND bb <= 5 THEN 'small_api_wrapper_like_function' END,
+  CASE WHEN len(callees) >= 8 THEN 'call_heavy' END, CASE WHEN len(strings) = 0 THEN 'no_strings' END, 'few_visible_callers'], lambda x: x IS NOT NULL), ',') AS tags FROM shown),
+summaries AS (SELECT case_id, list_transform([[10, 20], [8, 12]], lambda m: concat_ws('|', query_func, architecture, 'Lua_547', bb, pc, array_to_string(named[1:m[1]], ','), array_to_string(strings[1:m[2]], ','), len(strings),
+  concat_ws('/', len(callees), len(visible), len(callees) - len(visible), array_to_string(visible[1:12], ',')), '1/1/0/N' || query_file, array_to_string(offsets[1:20], ','), len(offsets), 2, array_to_string((list_filter(pairs_, lambda x: starts_with(x, '8='))[1:8] || list_filter(pairs_, lambda x: starts_with(x, '16=')))[1:8], ','), tags)) AS texts FROM tagged),
+best_five AS (SELECT case_id, string_agg(concat_ws('|', final_rank, name, 'Lua internal/static helper or custom candidate', 'no public Lua API prefix', candidate_source, round(prior * 1000000)::BIGINT, round(graph_score * 1000000)::BIGINT, round(final_score * 1000000)::BIGINT,
+  primary_matches, auxiliary_matches, missing_anchor_edges, array_to_string(evidence[1:5], ',')), ';' ORDER BY final_rank) AS top FROM ranked WHERE final_rank <= 5 GROUP BY case_id),
+sides AS (SELECT case_id, array_to_string((list(anchor || '=' || anchor || '=seed_anchor' ORDER BY pos) FILTER (relation = 'callee'))[1:30], ';') AS callees, array_to_string((list(anchor || '=' || anchor || '=seed_anchor' ORDER BY pos) FILTER (relation = 'caller'))[1:30], ';') AS callers FROM anchors GROUP BY case_id),
+reviewed AS (SELECT r.*, coalesce(top, '') AS top, coalesce(s.callees, '') AS callees, coalesce(s.callers, '') AS callers, texts, array_to_string(tied_names[1:20], ';') AS tied_text,
+  CASE WHEN s2 IS NOT NULL THEN round(round(s1 - s2, 6) * 1000000)::BIGINT END AS margin, """
+    + CATEGORY
+    + """ AS category
+  FROM results r LEFT JOIN best_five USING (case_id) LEFT JOIN sides s USING (case_id) LEFT JOIN summaries USING (case_id) WHERE status <> 'accepted')
+"""
+)
+ACTION = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in review.ACTIONS.items()) + " END"
+DESCRIBED = "array_to_string(list_transform(reasons, lambda x: x || '=' || CASE x " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in review.REASONS.items()) + " END), ';')"
+
+
+def _records(t: Tables) -> DataFrame:
+    return runs.review_run(_run(t), _features(t), POLICY)[0]
+
+
+@query(REVIEW + """SELECT case_id, query_file, query_func, architecture, expected_function, predicted AS current_top_prediction, expected_final_rank, status, category AS review_category, margin AS score_margin, coalesce(tied_text, '') AS tied, callee_anchor_count, caller_anchor_count,
+  coalesce(candidate_count, 0) AS total, coalesce(retrieval_candidate_count, 0) AS retrieval, coalesce(expanded_candidate_count, 0) AS expanded FROM reviewed""")
 def review_records(t: Tables) -> DataFrame:
-    """I5, I9 to I11."""
-    records = runs.review_run(_run(t), _features(t), POLICY)[0]
-    return records.select("case_id", "status", "review_category", joined(F.transform("status_reasons", lambda x: x["reason"])).alias("reasons"), "current_top_prediction", F.col("anchor_counts.callee").alias("callee_anchor_count"),
-        F.coalesce(F.size("top_candidates"), F.lit(0)).alias("shown"), F.get("query_feature_summary.top_pcode_opcodes", F.lit(0))["name"].alias("top_opcode"), F.col("query_feature_summary").isNotNull().alias("has_feature"))
+    """What a record takes over from the decision."""
+    return _records(t).select("case_id", "query_file", "query_func", "architecture", "expected_function", "current_top_prediction", "expected_final_rank", "status", "review_category", millionths("score_margin_top1_top2").alias("score_margin"),
+        joined("top_tied_candidates").alias("tied"), F.col("anchor_counts.callee").alias("callee_anchor_count"), F.col("anchor_counts.caller").alias("caller_anchor_count"), "candidate_counts.total", "candidate_counts.retrieval", "candidate_counts.expanded")
+
+
+@query(REVIEW + f"SELECT case_id, {DESCRIBED} AS reasons, {ACTION} AS recommended_action FROM reviewed")
+def review_advice(t: Tables) -> DataFrame:
+    """I9, J14."""
+    return _records(t).select("case_id", joined(F.transform("status_reasons", lambda x: F.concat_ws("=", x["reason"], x["description"]))).alias("reasons"), "recommended_action")
+
+
+@query(REVIEW + "SELECT case_id, top FROM reviewed")
+def review_candidates(t: Tables) -> DataFrame:
+    """I10, in the record; the payload's are the same."""
+    return _records(t).where("top_candidates IS NOT DISTINCT FROM llm_payload.candidate_summaries").select("case_id", _candidates_text(F.col("top_candidates")).alias("top"))
+
+
+@query(REVIEW + "SELECT case_id, callees, callers FROM reviewed")
+def review_anchors(t: Tables) -> DataFrame:
+    """Anchors with the neighbour's own name and the source of its mapping."""
+    text = lambda c: joined(F.transform(c, lambda x: F.concat_ws("=", x["query_neighbor_name"], x["reference_function_name"], x["source"])))
+    return _records(t).select("case_id", text("anchors.callees").alias("callees"), text("anchors.callers").alias("callers"))
+
+
+@query(REVIEW + "SELECT case_id, coalesce(texts[1], '') AS summary, texts IS NOT NULL AS attached FROM reviewed")
+def review_features(t: Tables) -> DataFrame:
+    """The feature summary of each record, where there is a feature row."""
+    s = F.col("query_feature_summary")
+    return _records(t).select("case_id", F.when(s.isNotNull(), _summary_text(s)).otherwise("").alias("summary"), s.isNotNull().alias("attached"))
 
 
-@query(DECIDED + "SELECT count(*) FILTER (status = 'deferred') AS deferred_cases, count(*) FILTER (status = 'conflict') AS conflict_cases, count(*) FILTER (status <> 'accepted') AS features_attached FROM results")
+PAYLOAD = "case_id, query_func, array_to_string(reasons, ';') AS reasons, top, concat_ws('/', callee_anchor_count, caller_anchor_count, tied_text) AS anchors"
+
+
+def _payload_columns(p: Column, summary: Column) -> list[Column]:
+    g = p["graph_anchor_summary"]
+    return [p["query_function"].alias("query_func"), joined(p["deferred_reasons"]).alias("reasons"), _candidates_text(p["candidate_summaries"]).alias("top"),
+        F.concat_ws("/", g["callee_anchor_count"], g["caller_anchor_count"], F.when(F.size(g["top_tied_candidates"]) > 0, joined(g["top_tied_candidates"]))).alias("anchors"), summary.alias("summary")]
+
+
+@query(REVIEW + f"SELECT {PAYLOAD}, coalesce(texts[1], '') AS summary, '0.2' AS version, '{review.CLASSES}' AS classes FROM reviewed")
+def review_payload(t: Tables) -> DataFrame:
+    """The payload for a language model."""
+    p = F.col("llm_payload")
+    s = p["query_feature_summary"]
+    return _records(t).select("case_id", *_payload_columns(p, F.when(s.isNotNull(), _summary_text(s)).otherwise("")), p["schema_version"].alias("version"), p["answer_format"]["classification"].alias("classes"))
+
+
+@query(REVIEW + f"SELECT {PAYLOAD}, coalesce(texts[2], '') AS summary, category AS review_category, {ACTION} AS advised, margin AS score_margin, coalesce(tied_text, '') AS tied, 'prompt_exported' AS status, 'dry-run' AS provider FROM reviewed")
+def prompt_dry_run(t: Tables) -> DataFrame:
+    """K1 to K3, K6: the case as it stands in each prompt, read back from the prompt's JSON."""
+    records = _records(t)
+    payload = records.select("llm_payload").schema["llm_payload"].dataType.simpleString()
+    case = f"struct<case_id:bigint,review_category:string,recommended_action_from_rules:string,score_margin_top1_top2:double,top_tied_candidates:array<string>,llm_payload:{payload}>"
+    rows = analyst.dry_run(analyst.ordered(analyst.prompts(records)))
+    c = F.from_json(F.regexp_extract("prompt", r"(?s)\nCase:\n(.*)", 1), case)
+    s = c["llm_payload"]["query_feature_summary"]
+    return rows.select(c["case_id"].alias("case_id"), *_payload_columns(c["llm_payload"], F.when(s["function_name_debug_label"].isNotNull(), _summary_text(s)).otherwise("")), c["review_category"].alias("review_category"),
+        c["recommended_action_from_rules"].alias("advised"), millionths(c["score_margin_top1_top2"]).alias("score_margin"), joined(c["top_tied_candidates"]).alias("tied"), "status", "provider")
+
+
+@query(REVIEW + """SELECT case_id, CASE WHEN case_id % 5 = 4 THEN 'error' ELSE 'completed' END AS status, CASE WHEN case_id % 5 = 4 THEN 'RuntimeError: no ' || case_id END AS error, CASE WHEN case_id % 5 IN (0, 1) THEN case_id END AS answered,
+  case_id % 5 = 4 AS has_prompt, 'stub' AS provider, 'm' AS model FROM reviewed""")
+def analyst_answers(t: Tables) -> DataFrame:
+    """K5: one call for each prompt; failed ones are rows with the prompt, and K4 reads the others."""
+    rows = analyst.ask(analyst.prompts(_records(t)), _stub_client, "stub", "m")
+    return rows.select("case_id", "status", F.when(F.col("error").isNotNull(), F.concat(F.lit("RuntimeError: "), "error")).alias("error"), F.get_json_object("analysis", "$.case").cast("long").alias("answered"), F.col("prompt").isNotNull().alias("has_prompt"), "provider", "model")
+
+
+def _stub_client(prompt: str) -> str:
+    """Answers by the case's number: JSON alone, JSON in words, words alone, broken JSON, and no answer."""
+    case = int(re.search(r'"case_id" : (\d+)', prompt)[1])
+    if case % 5 == 4:
+        raise RuntimeError(f"no {case}")
+    return (f'{{"case": {case}}}', f'It is {{"case": {case}}}, surely.', "none", f'{{"case": {case}')[case % 5]
+
+
+@query(REVIEW + "SELECT count(*) FILTER (status = 'deferred') AS deferred_cases, count(*) FILTER (status = 'conflict') AS conflict_cases, count(texts) AS features_attached FROM reviewed")
 def review_counts(t: Tables) -> DataFrame:
     """H6."""
     return runs.review_run(_run(t), _features(t), POLICY)[1]
@@ -510,22 +641,29 @@ def parse_answer(t: Tables) -> DataFrame:
     return rows.select("event_id", "props", F.get_json_object(analyst.parsed("answer"), "$.k").cast("long").alias("k"))
 
 
-@query(DECIDED + "SELECT 0::BIGINT AS completed, count(*) AS exported, 0::BIGINT AS errors FROM results WHERE status <> 'accepted'")
+@query(REVIEW + "SELECT count(*) FILTER (case_id % 5 <> 4) AS completed, 0::BIGINT AS exported, count(*) FILTER (case_id % 5 = 4) AS errors FROM reviewed")
 def analyst_summary(t: Tables) -> DataFrame:
     """H7."""
-    return analyst.run_summary(analyst.dry_run(analyst.prompts(runs.review_run(_run(t), _features(t), POLICY)[0])))
+    return analyst.run_summary(analyst.ask(analyst.prompts(_records(t)), _stub_client, "stub", "m"))
 
 
 # Extensions (X)
 
 
-@query(GRAPH + """SELECT 'function_id_unique' AS rule, 0::BIGINT AS rows UNION ALL SELECT 'edge_ends_exist', (SELECT count(*) FILTER (dst_name IN (SELECT function_name FROM ref_functions WHERE graph_role = 'reference_external')) FROM edges)
-UNION ALL SELECT 'candidate_names_unique', 0 UNION ALL SELECT 'score_in_range', (SELECT count(*) FROM listed WHERE prior > 1 OR prior < 0) UNION ALL SELECT 'anchors_accepted', (SELECT count(*) FROM part WHERE p_size > 10)""")
+@query(GRAPH + """SELECT 'function_id_unique' AS rule, (SELECT count(*) FROM ref_functions WHERE graph_role = 'reference' AND ends_with(function_name, '3')) AS rows
+UNION ALL SELECT 'edge_ends_exist', (SELECT count(*) FILTER (dst_name IN (SELECT function_name FROM ref_functions WHERE graph_role = 'reference_external')) FROM edges)
+UNION ALL SELECT 'candidate_names_unique', (SELECT count(*) FROM listed WHERE case_id % 7 = 0 AND pos = 1) UNION ALL SELECT 'score_in_range', (SELECT count(*) FROM listed WHERE prior + CASE WHEN case_id % 9 = 0 THEN 5e-1 ELSE 0 END > 1)
+UNION ALL SELECT 'anchors_accepted', (SELECT count(*) FROM part WHERE p_size > 10) UNION ALL SELECT 'confidence_in_range', (SELECT count(*) FROM part WHERE p_partkey % 10 = 0) UNION ALL SELECT 'schema_version_given', 2""")
 def dq_validation(t: Tables) -> DataFrame:
-    """X1, over the graph without its external functions."""
+    """X1, over the graph without its external functions, with bad rows of each kind."""
     functions = t.functions.where("graph_role = 'reference'").select(F.col("function_name").alias("function_id"))
+    functions = functions.unionByName(functions.where(F.col("function_id").endswith("3")))
     edges = t.edges.select(F.col("src_name").alias("src_id"), F.col("dst_name").alias("dst_id"))
-    return X.validation_issues(functions, edges, t.listed, t.mappings)
+    listed = t.listed.withColumn("prior", F.col("prior") + F.when(F.col("case_id") % 9 == 0, 0.5).otherwise(0.0))
+    listed = listed.unionByName(t.listed.where("case_id % 7 = 0 AND pos = 1").withColumn("prior", F.lit(0.5)))
+    mappings = t.mappings.withColumn("confidence", F.when(F.col("query_function_id").startswith("P") & (F.col("pos") % 10 == 0), 1.5).otherwise(1.0))
+    documents = t.spark.createDataFrame([("a", "0.1"), ("b", ""), ("c", None)], "name string, schema_version string")
+    return X.validation_issues(functions, edges, listed, mappings, documents)
 
 
 @query(GRAPH + """SELECT case_id, name, prior, CASE WHEN prior >= 69e-2 AND prior - coalesce(second, 0) >= 2e-2 THEN 'anchor_candidate' ELSE 'ambiguous' END AS decision
@@ -539,10 +677,28 @@ def anchor_select(t: Tables) -> DataFrame:
 def strict_weights(t: Tables) -> DataFrame:
     """X3."""
     policy = X.strict_policy(expansion_limit=20)
-    done = runs.propagate_from_anchors(t.cases, t.neighbours, A.seed_anchors(t.mappings), t.listed, t.functions, t.edges, policy)
+    done = runs.propagate_from_anchors(t.cases, t.neighbours, A.seed_anchors(t.mappings), t.listed, t.functions, t.pairs, policy)
     return done.ranked.select("case_id", "name", "graph_score", "final_score", "final_rank")
 
 
+@query(GRAPH + """, both_ways AS (SELECT case_id, 'callee' AS relation, pos, anchor FROM anchors WHERE relation = 'callee' UNION ALL SELECT case_id, 'caller', pos, anchor FROM anchors WHERE relation = 'callee'),
+two_ways AS (SELECT architecture, src_name, dst_name, opt_levels FROM pairs UNION ALL SELECT architecture, dst_name, src_name, opt_levels FROM pairs WHERE starts_with(dst_name, 'P') AND right(dst_name, 1) IN ('0', '2', '4', '6', '8')),
+met AS (SELECT k.case_id, k.pos, a.relation, a.anchor, opt_levels IS NOT NULL AS f, coalesce(list_contains(opt_levels, 'O0'), false) AS p FROM listed k JOIN cases c USING (case_id) JOIN both_ways a USING (case_id)
+  LEFT JOIN two_ways w ON w.architecture = c.architecture AND w.src_name = CASE a.relation WHEN 'callee' THEN k.name ELSE a.anchor END AND w.dst_name = CASE a.relation WHEN 'callee' THEN a.anchor ELSE k.name END),
+mutual AS (SELECT case_id, pos, count(*) AS n FROM (SELECT case_id, pos, anchor FROM met WHERE f GROUP BY ALL HAVING count(DISTINCT relation) = 2) GROUP BY ALL),
+added AS (SELECT case_id, pos, count(*) FILTER (p) AS primary_matches, count(*) FILTER (f AND NOT p) AS auxiliary_matches, count(*) FILTER (NOT f) AS missing_anchor_edges FROM met GROUP BY ALL)
+SELECT case_id, pos, name, coalesce(n, 0) AS mutual_edge_matches, round((coalesce(primary_matches, 0) * 5e-2 + coalesce(auxiliary_matches, 0) * 5e-2 - coalesce(missing_anchor_edges, 0) * 1e-1 + coalesce(n, 0) * 3e-2) * 1000000)::BIGINT AS graph_score
+FROM listed LEFT JOIN added USING (case_id, pos) LEFT JOIN mutual USING (case_id, pos)""")
+def mutual_edges(t: Tables) -> DataFrame:
+    """The bonus of anchors that a candidate calls and is called by; parts with an even number call their suppliers back."""
+    back = t.edges.where(F.col("dst_name").rlike("^P.*[02468]$"))
+    edges = t.edges.unionByName(back.withColumns({"src_name": F.col("dst_name"), "dst_name": F.col("src_name")}))
+    parts = t.neighbours.where("relation = 'callee'")
+    policy = X.strict_policy(expansion_enabled=False)
+    done = runs.propagate_from_anchors(t.cases, parts.unionByName(parts.withColumn("relation", F.lit("caller"))), A.seed_anchors(t.mappings), t.listed, t.functions, edges, policy)
+    return done.ranked.select("case_id", "pos", "name", "mutual_edge_matches", millionths("graph_score").alias("graph_score"))
+
+
 @query(DECIDED + """, m AS (SELECT *, round(s1 - coalesce(s2, 0e0), 6) AS margin FROM stated),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_file, predicted, status0 ORDER BY margin DESC, case_id) AS place, count(*) OVER (PARTITION BY query_file, predicted, status0) AS rivals FROM m)
 SELECT case_id, predicted AS predicted_function_name, CASE WHEN status0 = 'accepted' AND rivals > 1 AND NOT (place = 1 AND margin >= 15e-3) THEN 'deferred' ELSE status0 END AS resolved_status FROM p""")
@@ -553,28 +709,46 @@ def conflict_by_margin(t: Tables) -> DataFrame:
     return X.conflicts_by_margin(before, POLICY).select("case_id", "predicted_function_name", "resolved_status")
 
 
-@query()
+@query(DECIDED + "SELECT name AS query_key, name AS reference_function_name FROM seeds UNION SELECT query_func, predicted FROM results WHERE status = 'accepted'")
 def propagate_fixpoint(t: Tables) -> DataFrame:
-    """Rounds of propagation; rows only."""
+    """Rounds of propagation until nothing is added. Customers are nobody's neighbours here, so the second round adds nothing to what the SQL has."""
     seeds = A.seed_anchors(t.mappings)
-    step = lambda known: runs.propagate_from_anchors(t.cases, t.neighbours, known, t.listed, t.functions, t.edges, POLICY).results
+    step = lambda known: runs.propagate_from_anchors(t.cases, t.neighbours, known, t.listed, t.functions, t.pairs, POLICY).results
     return X.propagate(step, seeds)[0]
 
 
-@query(DECIDED + "SELECT case_id, CASE WHEN list_contains(reasons, 'no_candidates') THEN 'rejected' ELSE status END AS status, predicted AS reference_function_name FROM results")
+@query(REVIEW + """, every AS (SELECT *, coalesce(list_contains(reasons, 'no_candidates'), false) AS none FROM results),
+rivals AS (SELECT query_file, predicted, list(query_func ORDER BY query_func) AS names FROM results WHERE status = 'conflict' GROUP BY ALL),
+first AS (SELECT case_id, concat_ws('/', round(prior * 1000000)::BIGINT, round(graph_score * 1000000)::BIGINT, round(final_score * 1000000)::BIGINT) AS scores, array_to_string(evidence, ';') AS evidence FROM ranked WHERE final_rank = 1)
+SELECT case_id, query_func AS query_function_id, CASE WHEN none THEN 'rejected' ELSE status END AS status, predicted AS reference_function_name, round(s1 * 1000000)::BIGINT AS confidence, coalesce(scores, '') AS scores, coalesce(evidence, '') AS evidence,
+  coalesce(CASE WHEN status = 'conflict' THEN array_to_string(list_filter(names, lambda x: x <> query_func), ';') END, '') AS conflicts, CASE WHEN case_id % 2 = 0 THEN 'remain_deferred' END AS llm_class
+FROM every LEFT JOIN rivals USING (query_file, predicted) LEFT JOIN first USING (case_id)""")
 def mapping_export(t: Tables) -> DataFrame:
-    """X6."""
-    return X.mapping_export(_run(t).results).select("case_id", "status", F.get_json_object("mapping", "$.reference_function_name").alias("reference_function_name"))
-
-
-@query(DECIDED + """, w AS (SELECT case_id, list_filter([CASE WHEN status = 'deferred' THEN 'deferred' END, CASE WHEN status = 'conflict' THEN 'conflict' END, CASE WHEN s1 - coalesce(s2, 0e0) < 15e-3 THEN 'low_margin' END], lambda x: x IS NOT NULL) AS t FROM results)
+    """Fields of each mapping document, read back from its JSON."""
+    done = _run(t)
+    advice = t.cases.where("case_id % 2 = 0").select("case_id", F.lit('{"classification": "remain_deferred"}').alias("analysis"))
+    m = F.from_json("mapping", "struct<query_function_id:string,final_candidate:struct<reference_function_name:string>,status:string,confidence:double,scores:struct<retrieval_prior:double,graph_score:double,final_score:double>,evidence:array<string>,conflicts:array<string>,llm_evidence:struct<classification:string>>")
+    rows = X.mapping_export(done.results, done.ranked, advice).withColumn("m", m)
+    s = F.col("m.scores")
+    return rows.select("case_id", "m.query_function_id", "m.status", "m.final_candidate.reference_function_name", millionths("m.confidence").alias("confidence"), F.when(s.isNotNull(), F.concat_ws("/", *[millionths(s[c]) for c in ("retrieval_prior", "graph_score", "final_score")])).otherwise("").alias("scores"),
+        joined("m.evidence").alias("evidence"), joined("m.conflicts").alias("conflicts"), F.col("m.llm_evidence.classification").alias("llm_class"))
+
+
+@query(DECIDED + """, loose AS (SELECT DISTINCT case_id FROM neighbours n WHERE NOT EXISTS (SELECT 1 FROM anchors a WHERE a.case_id = n.case_id AND a.relation = n.relation AND a.anchor = n.name)),
+claims AS (SELECT query_file, predicted, count(*) AS c FROM results WHERE status <> 'deferred' GROUP BY ALL),
+w AS (SELECT case_id, list_filter([CASE WHEN status = 'deferred' THEN 'deferred' END, CASE WHEN status <> 'deferred' AND c > 1 THEN 'conflict' END, CASE WHEN s1 - coalesce(s2, 0e0) < 15e-3 THEN 'low_margin' END,
+  CASE WHEN case_id IN (SELECT case_id FROM loose) THEN 'custom_suspected' END], lambda x: x IS NOT NULL) AS t FROM results LEFT JOIN claims USING (query_file, predicted))
 SELECT case_id, array_to_string(t, ';') AS triggers FROM w WHERE len(t) > 0""")
 def review_triggers(t: Tables) -> DataFrame:
     """X7."""
-    return X.review_triggers(_run(t).results, POLICY).select("case_id", joined("triggers").alias("triggers"))
+    done = _run(t)
+    return X.review_triggers(done.results, POLICY, X.unanchored_neighbours(t.neighbours, done.anchors)).select("case_id", joined("triggers").alias("triggers"))
 
 
 @query(DECIDED + f"""SELECT case_id, CASE WHEN status = 'conflict' THEN 1 ELSE CASE {CATEGORY} WHEN 'ambiguous_candidate_tie' THEN 2 WHEN 'needs_more_graph_anchors' THEN 3 ELSE 4 END END AS review_priority FROM results WHERE status <> 'accepted'""")
 def human_report(t: Tables) -> DataFrame:
     """X8."""
     return review.human_report(runs.review_run(_run(t), _features(t), POLICY)[0]).select("case_id", "review_priority")
+
+
+from linkweave.plans import source_queries  # noqa: E402, F401  registers its own

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.checkpoints import written
@@ -14,6 +14,7 @@ from linkweave.operators import candidates as C
 from linkweave.operators import decide as D
 from linkweave.operators import metrics, review, scoring, store
 from linkweave.policy import Policy
+from linkweave.sources import readers, sinks
 
 
 @dataclass
@@ -24,14 +25,35 @@ class Scored:
     results: DataFrame
 
 
+class NoFiles(ValueError):
+    """A tree without a feature file."""
+
+
+def build_tree(spark: SparkSession, root: str, path: str, replace: bool = False, source: str = "feature_tree") -> list[str]:
+    """The store of a feature tree, written below path with its metadata; what is printed of it.
+
+    A tree without feature files, and a store that is there already unless replace is set, are refused before anything is written."""
+    files = readers.feature_paths(spark, root).count()
+    if not files:
+        raise NoFiles(f"no feature files below {root}")
+    functions, edges, counts = build_store(readers.read_features(spark, root))
+    sinks.write_store(functions, edges, path, sinks.metadata_rows(root, source), replace)
+    return sinks.store_lines(path, files, counts)
+
+
 def build_store(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Functions, edges and counts of a feature tree."""
     return store.functions(features), store.edges(features), store.build_counts(features)
 
 
+def levels(edges: DataFrame, policy: Policy) -> DataFrame:
+    """Pairs with their levels: of edges, or, where edges are such pairs already, as of a stored graph, they themselves."""
+    return edges if "opt_levels" in edges.columns else written(store.pair_levels(edges, policy.strip_mode))
+
+
 def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
     # anchors, pairs and candidates are each read several times below
-    anchors, pairs = written(anchors), written(store.pair_levels(edges, policy.strip_mode))
+    anchors, pairs = written(anchors), levels(edges, policy)
     retrieved = C.retrieval_candidates(listed)
     top = None
     if policy.expansion_enabled:
@@ -68,7 +90,7 @@ def score_query_graph(retrieval: DataFrame, query_edges: DataFrame, mappings: Da
         F.coalesce("prior", F.lit(0.0)).alias("prior"), "rank", F.lit("retrieval").alias("candidate_source"),
     )
     links = scoring.id_links(candidates, store.query_adjacency(query_edges), A.anchor_names(mappings))
-    ranked = D.rerank(scoring.score(candidates, links, store.pair_levels(edges, policy.strip_mode), policy), policy)
+    ranked = D.rerank(scoring.score(candidates, links, levels(edges, policy), policy), policy)
     best = ranked.where("final_rank = 1").select(F.col("case_id").alias("query_id"), F.col("name").alias("propagation_top1"), F.col("final_score").alias("top_score"))
     results = C.retrieval_top1(listed).join(best, "query_id").withColumn("top1_changed", F.col("retrieval_top1") != F.col("propagation_top1"))
     if expected is not None:

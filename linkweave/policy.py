@@ -14,6 +14,8 @@ class Policy:
     primary_bonus: float = 0.04
     auxiliary_bonus: float = 0.015
     missing_penalty: float = 0.002
+    #: For each anchor that a candidate both calls and is called by (an extension, off by default).
+    mutual_bonus: float = 0.0
     primary_opt: str = "O0"
     strip_mode: str = "nostrip"
     lua_version: str = "Lua_547"

@@ -46,7 +46,7 @@ def read_features(spark: SparkSession, root: str) -> DataFrame:
 
     A file that is not a JSON array raises an error. The environment is the path's; the row's own architecture and
     version, which a summary shows unchanged, are feature_architecture and feature_lua_version."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("wholetext", True).text(root).select("value", F.col("_metadata.file_path").alias("__path"))
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("__path"))
     files = _with_environment(raw, "__path", root)
     array = F.from_json("value", f"array<struct<{_struct(schemas.FEATURES)}>>")
     fits = F.ltrim(F.regexp_replace("value", r"^[\s﻿]+", "")).startswith("[")

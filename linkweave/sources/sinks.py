@@ -1,13 +1,20 @@
-"""The stored graph and JSON documents."""
+"""The stored graph, feature trees and JSON documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkweave.checkpoints import fresh
 from linkweave.sources import schemas
 
 PARTITIONS = ("lua_version", "architecture", "strip_mode")
+STORE_VERSION = "0.1"
+
+
+def metadata_rows(root: str, source: str = "feature_tree") -> dict[str, str]:
+    """The five rows that say what a store was built from, and how it is laid out."""
+    return {"schema_version": STORE_VERSION, "source": source, "input_root": root, "graph_role": "reference", "storage_model": "parquet_edge_list"}
 
 
 def write_store(functions: DataFrame, edges: DataFrame, path: str, metadata: dict[str, str] | None = None, replace: bool = False) -> None:
@@ -29,7 +36,48 @@ def write_documents(rows: DataFrame, path: str, replace: bool = False) -> None:
     rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite" if replace else "errorifexists").text(path)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Text files below root: a row (path, value) is one file. The executors write them; each then gets its name by one rename."""
+    spark = files.sparkSession
+    held = fresh(spark, "files")
+    # quoted, as a folder of the writer can't be named by a path
+    quoted = F.regexp_replace("path", "/", "|")
+    files.select(quoted.alias("path"), "value").repartition("path").write.partitionBy("path").text(held, lineSep="\n")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(held).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(hadoop.Path(held)):
+        name = folder.getPath().getName()
+        if not name.startswith("path="):
+            continue
+        target = hadoop.Path(f"{root}/{_unquoted(name.removeprefix('path='))}")
+        fs.mkdirs(target.getParent())
+        for part in fs.listStatus(folder.getPath()):
+            if part.getPath().getName().startswith("part-") and not fs.rename(part.getPath(), target):
+                raise FileExistsError(str(target))
+    fs.delete(hadoop.Path(held), True)
+
+
+def _unquoted(name: str) -> str:
+    return name.replace("%7C", "|").replace("|", "/")
+
+
+def write_features(features: DataFrame, root: str) -> None:
+    """A feature tree: one JSON array of each source_json's rows, in order of `row`. features: source_json, row, and columns of schemas.FEATURES."""
+    own = [c for c in features.columns if c not in ("source_json", "row")]
+    each = F.array_sort(F.collect_list(F.struct("row", F.to_json(F.struct(*own)).alias("f"))))
+    array = F.concat(F.lit("["), F.array_join(F.transform(each, lambda x: x["f"]), ",\n"), F.lit("]"))
+    write_files(features.groupBy(F.col("source_json").alias("path")).agg(array.alias("value")), root)
+
+
 def summary_lines(summary: DataFrame) -> list[str]:
     """Name: value lines of a one-row summary."""
     row = summary.first()
     return [f"{k}: {v}" for k, v in (row.asDict() if row else {}).items()]
+
+
+def store_lines(path: str, files: int, counts: DataFrame) -> list[str]:
+    """What building a store prints: totals, and functions by environment."""
+    rows = counts.orderBy("lua_version", "architecture", "opt_level", "strip_mode").collect()  # a row for each environment
+    total = {c: sum(r[c] for r in rows) for c in ("functions", "edges", "external_calls")}
+    head = [f"[OK] wrote store: {path}", f"Feature files : {files}", f"Functions     : {total['functions']}", f"Edges         : {total['edges']}", f"External edges: {total['external_calls']}", "By environment:"]
+    return head + [f"  {r['lua_version']:7} {r['architecture']:7} {r['opt_level']:2} {r['strip_mode']:7} functions={r['functions']}" for r in rows]

@@ -96,7 +96,7 @@ def test_seeds_skip_membership_and_prefix_tests(spark):
     w = World(spark, [("lua_a", "c", "O0"), ("lua_b", "c", "O0")], neighbours, [("1", 0, "x", 0.5)], [("lua_a", "not_known"), ("alias", "c")])
     done = w.propagate(allow_visible_names=True, exclude_prefixes=("lua_",))
     got = sorted((r["pos"], r["anchor"], r["source"]) for r in done.anchors.collect())
-    assert got == [(0, "not_known", "seed_anchor"), (5, "c", "visible_reference_name")]
+    assert got == [(0, "not_known", "seed_anchor"), (5, "c", "visible_reference_name_anchor")]
 
 
 def test_one_anchor_in_both_relations_counts_twice(spark):
@@ -169,3 +169,35 @@ def test_propagation_has_no_most_rounds(spark):
     known, rounds = X.propagate(step, spark.createDataFrame([("q0", "r0")], "query_key string, reference_function_name string"))
     assert {(r[0], r[1]) for r in known.collect()} == {(f"q{k}", f"r{k}") for k in range(14)}
     assert rounds == 14
+
+
+def test_supporting_edges_of_those_that_stay(spark):
+    w = World(spark, [("x", "a", "O0"), ("x", "a", "O2"), ("y", "a", "O0"), ("b", "x", "O3")], [("1", "callee", 0, "a"), ("1", "caller", 0, "b")], [], [("a", "a"), ("b", "b")])
+    done = w.propagate(expansion_limit=1)
+    pairs, names = store.pair_levels(w.edges), w.functions.selectExpr("function_name as name")
+    top = C.expansion_top(C.expansion(w.cases, done.anchors, pairs, names, C.retrieval_candidates(w.listed), Policy()), Policy(expansion_limit=1))
+    got = {r["name"]: [tuple(x) for x in r["supporting_edges"]] for r in C.supporting_edges(w.cases, done.anchors, pairs, top).collect()}
+    assert got == {"x": [("anchor_calls_candidate", "b", "O3"), ("candidate_calls_anchor", "a", "O0"), ("candidate_calls_anchor", "a", "O2")]}
+
+
+def test_mutual_bonus(spark):
+    w = World(spark, [("x", "a", "O0"), ("a", "x", "O2"), ("x", "b", "O0"), ("y", "a", "O0")], [("1", "callee", 0, "a"), ("1", "callee", 1, "b"), ("1", "caller", 0, "a")], [("1", 0, "x", 0.5), ("1", 1, "y", 0.5)], [("a", "a"), ("b", "b")])
+    done = propagate_from_anchors(w.cases, w.neighbours, w.seeds, w.listed, w.functions, w.edges, X.strict_policy(expansion_enabled=False))
+    assert by(done.ranked, "name", "mutual_edge_matches", "graph_score") == {"x": (1, 0.18), "y": (0, -0.15)}
+
+
+def test_triggers_and_export(spark):
+    import json
+
+    refs = [("x", "a", "O0"), ("y", "b", "O0")]
+    neighbours = [(c, "callee", 0, "a") for c in "12"] + [("3", "callee", 0, "b"), ("4", "callee", 0, "?")]
+    w = World(spark, refs, neighbours, [(c, 0, "x", 0.9) for c in "12"] + [("3", 0, "y", 0.9)], [("a", "a"), ("b", "b")])
+    done = w.propagate(expansion_enabled=False)
+    assert by(X.review_triggers(done.results, Policy(), X.unanchored_neighbours(w.neighbours, done.anchors)), "case_id", "triggers") == {"1": ["conflict"], "2": ["conflict"], "4": ["deferred", "custom_suspected"]}
+    advice = spark.createDataFrame([("3", '{"classification": "prefer_candidate"}'), ("4", None)], "case_id string, analysis string")
+    got = {r["case_id"]: json.loads(r["mapping"]) for r in X.mapping_export(done.results, done.ranked, advice).collect()}
+    assert got["1"]["conflicts"] == ["?2"] and got["3"]["conflicts"] == [] and got["4"]["status"] == "rejected" and got["4"]["scores"] is None
+    assert got["3"]["llm_evidence"] == {"classification": "prefer_candidate"} and got["1"]["llm_evidence"] is None
+    assert got["3"]["scores"] == {"retrieval_prior": 0.9, "graph_score": 0.04, "final_score": 0.94} and got["3"]["final_candidate"] == {"reference_function_name": "y"}
+    plain = {r["case_id"]: json.loads(r["mapping"]) for r in X.mapping_export(done.results).collect()}
+    assert plain["3"]["evidence"] == [] and plain["3"]["status"] == "accepted"

@@ -74,6 +74,8 @@ def test_records_and_prompts(spark):
     prompt = {r["case_id"]: json.loads(r["prompt"].split("Case:\n", 1)[1]) for r in asked.collect()}
     assert len(prompt["1"]["llm_payload"]["query_feature_summary"]["strings"]) == 12
     assert len(prompt["1"]["llm_payload"]["query_feature_summary"]["top_pcode_opcodes"]) == 8
+    assert prompt["2"]["llm_payload"]["query_feature_summary"]["strings"] == [] and prompt["2"]["llm_payload"]["query_feature_summary"]["architecture"] is None
+    assert [tuple(x) for x in got["1"]["anchors"]["callees"]] == [("a", "a", "seed_anchor")] and got["2"]["anchors"]["callees"] == []
     assert analyst.ordered(asked, 1).count() == 1
     dry = analyst.dry_run(asked)
     assert tuple(analyst.run_summary(dry).collect()[0]) == (0, 2, 0)
@@ -100,7 +102,7 @@ def test_calls_that_fail_are_rows(spark):
     assert (got["3"]["status"], got["3"]["analysis"]) == ("completed", None)
 
 
-def test_http_client():
+def test_http_client(monkeypatch):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
 
@@ -113,7 +115,7 @@ def test_http_client():
     class Server(BaseHTTPRequestHandler):
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-            seen.append((self.path, body))
+            seen.append((self.path, body, self.headers.get("Authorization")))
             fine = body.get("model") != "broken"
             self.send_response(200 if fine else 500)
             self.end_headers()
@@ -129,4 +131,8 @@ def test_http_client():
     assert seen[0][1]["options"] == {"temperature": 0.1} and seen[1][1]["response_format"] == {"type": "json_object"}
     with pytest.raises(RuntimeError, match="HTTP 500: no"):
         http.ollama("broken", url)("p")
+    assert [s[0] for s in seen[:2]] == ["/api/generate", "/chat/completions"] and seen[1][2] is None
+    monkeypatch.setenv(http.KEY_VARIABLE, "k")
+    http.chat_completions("m", url)("p")
+    assert seen[-1][2] == "Bearer k"
     server.shutdown()

@@ -6,6 +6,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from linkweave.operators import store
 from linkweave.policy import Policy
@@ -81,6 +82,58 @@ def test_not_an_array(spark, tmp_path):
         readers.read_features(spark, str(tmp_path)).collect()
 
 
+def test_files_of_many_lines(spark, tmp_path):
+    p = tmp_path / "Lua_5/x86_64/O0/nostrip/x.json"
+    p.parent.mkdir(parents=True)
+    p.write_text("\n " + json.dumps([{"function_name": "f", "callees": ["g"]}, {"function_name": "g"}], indent=2))
+    assert [(r["row"], r["function_name"], r["callees"]) for r in readers.read_features(spark, str(tmp_path)).orderBy("row").collect()] == [(0, "f", ["g"]), (1, "g", None)]
+
+
+def test_tree_to_store_and_back(spark, tree, tmp_path):
+    from linkweave.plans import runs
+
+    with pytest.raises(runs.NoFiles):
+        runs.build_tree(spark, str(tmp_path), str(tmp_path / "store"))
+    assert not (tmp_path / "store").exists()
+    path = str(tmp_path / "store")
+    lines = runs.build_tree(spark, tree, path)
+    assert lines[:2] == [f"[OK] wrote store: {path}", "Feature files : 3"] and lines[-1] == "  Lua_547 x86_64  O2 stripped functions=1"
+    assert {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()} == sinks.metadata_rows(tree)
+    with pytest.raises(PySparkException):
+        runs.build_tree(spark, tree, path)
+    root = str(tmp_path / "again")
+    rows = readers.read_features(spark, tree).select("source_json", "row", "function_name", "callees", "pcode_opcode_histogram")
+    sinks.write_features(rows, root)
+    again = readers.read_features(spark, root).select(*rows.columns)
+    key = lambda r: (r["source_json"], r["row"])
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str) and again.count() == len({key(r) for r in rows.collect()})
+
+
+def test_query_graph_in_the_store(spark, tree, tmp_path):
+    graph = spark.createDataFrame([("a", "b", "calls"), ("a", "b", None), ("b", "c", "references"), ("", "c", "calls")], "src string, dst string, edge_type string")
+    functions, edges = store.query_graph(graph, "Lua_547", "x86_64", "O0", "nostrip", "q.json")
+    features = readers.read_features(spark, tree)
+    sinks.write_store(store.functions(features).unionByName(functions), store.edges(features).unionByName(edges), str(tmp_path / "s"))
+    f, e = sinks.read_store(spark, str(tmp_path / "s"))
+    assert {tuple(r) for r in store.stored_query_edges(e).collect()} == {("a", "b", "calls"), ("b", "c", "references")}
+    assert store.reference_names(f).count() == store.reference_names(store.functions(features)).count()
+    assert {(r["src"], r["dst"]) for r in store.query_adjacency(store.stored_query_edges(e)).collect()} == {("a", "b")}
+    typed = e.withColumn("edge_type", F.when(F.col("dst_name") == "g", "references").otherwise("calls"))
+    assert {r["dst_name"] for r in store.pair_levels(typed).collect()} == {"f", "printf"}
+    assert {r["dst_name"] for r in store.pair_levels(typed, edge_types=("calls", "references")).collect()} == {"f", "g", "printf"}
+
+
+def test_no_folder_of_its_own_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from linkweave import checkpoints
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoints.shared(session)
+
+
 def test_expected_items(spark):
     assert {(r[0], r[1]) for r in readers.parse_expected(spark, ["a=b", "a=c=d"]).collect()} == {("a", "c=d")}
     with pytest.raises(ValueError):
