@@ -28,7 +28,7 @@ def score(candidates: DataFrame, links: DataFrame, pairs: DataFrame, policy: Pol
     joined = asked.join(pairs.select(*env, "src_name", "dst_name", "opt_levels"), [*env, "src_name", "dst_name"], "left")
     anchored, found = F.col("anchor").isNotNull(), F.col("opt_levels").isNotNull()
     primary = F.coalesce(anchored & F.array_contains("opt_levels", policy.primary_opt), F.lit(False))
-    kinds = joined.select(*keys, "relation", "__at", "neighbour", "anchor", "src_name", "dst_name", "opt_levels", primary.alias("p"), (anchored & found & ~primary).alias("a"), (anchored & ~found).alias("m"), (~anchored).alias("u"))
+    kinds = joined.select(*keys, "relation", "__at", "neighbour", "src_name", "dst_name", "opt_levels", primary.alias("p"), (anchored & found & ~primary).alias("a"), (anchored & ~found).alias("m"), (~anchored).alias("u"))
     edge = F.concat(F.col("src_name"), F.lit("->"), F.col("dst_name"))
     side = F.col("relation")
     text = F.when(F.col("p"), F.concat(F.lit("primary_"), side, F.lit("_anchor_match:"), edge)).when(F.col("a"), F.concat(F.lit("aux_"), side, F.lit("_anchor_match:"), edge, F.lit(":"), F.array_join("opt_levels", ",")))
@@ -36,7 +36,7 @@ def score(candidates: DataFrame, links: DataFrame, pairs: DataFrame, policy: Pol
         text = text.when(F.col("m"), F.concat(F.lit("missing_"), side, F.lit("_anchor_edge:"), edge)).when(F.col("u"), F.concat(F.lit("unanchored_query_"), side, F.lit(":"), F.col("neighbour")))
     # callees come before callers, each in order of place
     line = F.when(text.isNotNull(), F.struct((side == "caller").alias("second"), F.col("__at").alias("at"), F.col("neighbour").alias("neighbour"), text.alias("text")))
-    counted = kinds.groupBy(*keys).agg(F.count_if("p").alias("primary_matches"), F.count_if("a").alias("auxiliary_matches"), F.count_if("m").alias("missing_anchor_edges"), F.count_if("u").alias("unknown_extra_neighbors"), F.array_sort(F.collect_list(line)).alias("__lines"), *[F.collect_set(F.when((F.col("p") | F.col("a")) & (side == r), F.col("anchor"))).alias(f"__{r}s") for r in ("callee", "caller") if policy.mutual_bonus])
+    counted = kinds.groupBy(*keys).agg(F.count_if("p").alias("primary_matches"), F.count_if("a").alias("auxiliary_matches"), F.count_if("m").alias("missing_anchor_edges"), F.count_if("u").alias("unknown_extra_neighbors"), F.array_sort(F.collect_list(line)).alias("__lines"))
     evidence = F.transform(F.col("__lines"), lambda x: x["text"])
     if policy.evidence_limit is not None:
         evidence = F.slice(evidence, 1, policy.evidence_limit)
@@ -44,9 +44,6 @@ def score(candidates: DataFrame, links: DataFrame, pairs: DataFrame, policy: Pol
     zero = F.lit(0).cast("long")
     n = {c: F.coalesce(F.col(c), zero) for c in ("primary_matches", "auxiliary_matches", "missing_anchor_edges", "unknown_extra_neighbors")}
     raw = graph_score(n["primary_matches"], n["auxiliary_matches"], n["missing_anchor_edges"], policy)
-    if policy.mutual_bonus:
-        n["mutual_edge_matches"] = F.coalesce(F.size(F.array_intersect("__callees", "__callers")).cast("long"), zero)
-        raw = raw + n["mutual_edge_matches"] * F.lit(policy.mutual_bonus)
     return rows.select(
         *[F.col(c) for c in candidates.columns if c != "prior"], F.round("prior", 6).alias("prior"), *[x.alias(c) for c, x in n.items()],
         F.round(raw, 6).alias("graph_score"), F.round(F.col("prior") + raw, 6).alias("final_score"),
@@ -54,9 +51,35 @@ def score(candidates: DataFrame, links: DataFrame, pairs: DataFrame, policy: Pol
     )
 
 
-def name_links(anchors: DataFrame) -> DataFrame:
-    """links of anchors that are known by name."""
-    return anchors.select("case_id", "relation", "pos", "anchor", F.col("query_name").alias("neighbour"))
+def score_named(candidates: DataFrame, anchors: DataFrame, found: DataFrame, counted: DataFrame, policy: Policy) -> DataFrame:
+    """F2 to F7 for anchors that are known by name: the rows of score(), from what candidates.support() and agreement() have of every name.
+
+    An anchor without an edge to a candidate is a missing one, so misses are counted by subtraction: the product of candidates and
+    anchors is never made. Evidence is gathered for candidates alone, and only where it is read."""
+    sums = anchors.groupBy("case_id").agg(F.count("*").alias("__anchors"))
+    mine = candidates.select("case_id", "name").distinct()
+    edge = F.concat(F.col("src_name"), F.lit("->"), F.col("dst_name"))
+    primary = F.array_contains("opt_levels", policy.primary_opt)
+    text = F.when(primary, F.concat(F.lit("primary_"), "relation", F.lit("_anchor_match:"), edge)).otherwise(F.concat(F.lit("aux_"), "relation", F.lit("_anchor_match:"), edge, F.lit(":"), F.array_join("opt_levels", ",")))
+    line = F.struct((F.col("relation") == "caller").alias("second"), F.col("pos").alias("at"), "neighbour", text.alias("text"))
+    told = found.join(mine, ["case_id", "name"], "left_semi").groupBy("case_id", "name").agg(F.array_sort(F.collect_list(line)).alias("__lines"))
+    evidence = F.transform("__lines", lambda x: x["text"])
+    if policy.evidence_limit is not None:
+        evidence = F.slice(evidence, 1, policy.evidence_limit)
+    # joins by case and name first, then by case: the ranks' windows use the last one's shuffle
+    rows = candidates.join(counted.drop("auxiliary_support"), ["case_id", "name"], "left").join(told, ["case_id", "name"], "left").join(sums, "case_id", "left")
+    zero = F.lit(0).cast("long")
+    kinds = ["primary_matches", "auxiliary_matches", *["mutual_edge_matches"] * bool(policy.mutual_bonus)]
+    n = {c: F.coalesce(F.col(c), zero) for c in kinds}
+    n |= {"missing_anchor_edges": F.coalesce("__anchors", zero) - n["primary_matches"] - n["auxiliary_matches"], "unknown_extra_neighbors": zero}
+    raw = graph_score(n["primary_matches"], n["auxiliary_matches"], n["missing_anchor_edges"], policy)
+    if policy.mutual_bonus:
+        raw = raw + n["mutual_edge_matches"] * F.lit(policy.mutual_bonus)
+    return rows.select(
+        *[F.col(c) for c in candidates.columns if c != "prior"], F.round("prior", 6).alias("prior"), *[x.alias(c) for c, x in n.items()],
+        F.round(raw, 6).alias("graph_score"), F.round(F.col("prior") + raw, 6).alias("final_score"),
+        F.coalesce(evidence, F.array().cast("array<string>")).alias("evidence"), F.lit(False).alias("custom_suspected"),
+    )
 
 
 def id_links(queries: DataFrame, adjacency: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -52,16 +52,16 @@ def levels(edges: DataFrame, policy: Policy) -> DataFrame:
 
 
 def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
-    # anchors, pairs and candidates are each read several times below
+    # anchors and what agrees with them are each read several times below
     anchors, pairs = written(anchors), levels(edges, policy)
+    found = C.support(cases, anchors, pairs)
+    counted = written(C.agreement(found, policy))
     retrieved = C.retrieval_candidates(listed)
     top = None
     if policy.expansion_enabled:
-        top = C.expansion_top(C.expansion(cases, anchors, pairs, store.reference_names(functions), retrieved, policy), policy)
-    candidates = C.combined(retrieved, top, policy)
-    bound = written(candidates.join(cases.select("case_id", "lua_version", "architecture"), "case_id"))
-    candidates = bound.drop("lua_version", "architecture")
-    scored = scoring.score(bound, scoring.name_links(anchors), pairs, policy)
+        top = C.expansion_top(C.expansion(cases, anchors, pairs, store.reference_names(functions), retrieved, policy, counted), policy)
+    candidates = written(C.combined(retrieved, top, policy))
+    scored = scoring.score_named(candidates, anchors, found, counted, policy)
     ranked = D.rerank(scored, policy)
     return Scored(anchors, candidates, ranked, D.case_results(cases, ranked, anchors, policy))
 
