@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -226,9 +226,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("__t"), F.xxhash64(*docs.columns).alias("__r"))
 
 
-def picked(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The columns of docs and of keys for the rows of docs that keys names by (__id, __kt, __kr), each once where rows are repeated."""
+#: Hash values of keys that are broadcast, at most: 16 MB whatever the tables' sizes.
+HASHES = 1 << 20
+
+
+def _hash(*key: str) -> Column:
+    # never null: else the planner asks for that below the joins, and infers from it at length
+    return F.xxhash64(F.col(key[0]).cast("long"), *key[1:]).bitwiseAND(F.lit(HASHES - 1).cast("long")).alias("__h")
+
+
+def picked(docs: DataFrame, keys: DataFrame, few: bool = False) -> DataFrame:
+    """The columns of docs and of keys for the rows of docs that keys names by (__id, __kt, __kr), each once where rows are repeated.
+
+    few: keys may name few rows; then texts that can't be among them, as no key has their hash value, aren't shuffled."""
     marked = docs.withColumns({"__t": F.xxhash64("text"), "__r": F.xxhash64(*docs.columns)})
+    if few:
+        marked = marked.withColumn("__h", _hash("doc_id", "__t", "__r")).join(F.broadcast(keys.select(_hash("__id", "__kt", "__kr")).distinct()), "__h", "left_semi").drop("__h")
     kept = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__kt")) & (F.col("__r") == F.col("__kr")))
     again = Window.partitionBy("__id", "__kt", "__kr").orderBy("__r")
     return kept.withColumn("__k", F.row_number().over(again)).where("__k = 1")
@@ -239,12 +252,26 @@ FIRST = "struct(doc_id IS NULL AS none, doc_id, __t, __r)"
 KEY = {"__id": "k.doc_id", "__kt": "k.__t", "__kr": "k.__r"}
 
 
-def one_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def one_each(docs: DataFrame, prints: DataFrame, components: DataFrame) -> DataFrame:
     """One row of docs for each component, with all its columns.
 
-    rows: (k: FIRST of a row, component). Rows of docs that agree in id and both hashes have one text, so one component."""
-    stay = rows.groupBy("component").agg(F.min("k").alias("k")).select(*[F.col(v).alias(c) for c, v in KEY.items()])
-    return picked(docs, stay).select(*docs.columns)
+    prints: doc_id, __t, __r and node of each row of docs; components: node and its component. Rows that agree in id and both hashes have one text, so one
+    component. Only where a row has the hash value of a key that goes, or of one that several rows have, are texts shuffled to tell which; others stay where
+    they are. There are HASHES values, so the more rows go, the more are asked for, and none is taken wrongly."""
+    each = prints.groupBy("doc_id", "__t", "__r", "node").agg(F.count("*").alias("__n")).join(components, "node")
+    least = each.groupBy("component").agg(F.min(F.expr(FIRST)).alias("k"))
+    stay = checkpointed(least.select("component", *[F.col(v).alias(c) for c, v in KEY.items()]))
+    mine = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__kt")) & (F.col("__r") == F.col("__kr"))
+    doubtful = each.join(stay, "component").where(~mine | (F.col("__n") > 1)).select(_hash("doc_id", "__t", "__r")).distinct()
+    doubtful = F.broadcast(checkpointed(doubtful))  # HASHES rows at most
+    marked = docs.withColumn("__h", _hash_of(docs))
+    sure = marked.join(doubtful, "__h", "left_anti").select(*docs.columns)
+    asked = marked.join(doubtful, "__h", "left_semi").select(*docs.columns)
+    return sure.unionByName(picked(asked, stay.join(doubtful, _hash("__id", "__kt", "__kr") == F.col("__h"), "left_semi")).select(*docs.columns))
+
+
+def _hash_of(docs: DataFrame) -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"), F.xxhash64(*docs.columns)).bitwiseAND(F.lit(HASHES - 1).cast("long"))
 
 
 @apart
@@ -255,7 +282,7 @@ def representatives(docs: DataFrame, radius: int = 4, shingle: int = 4, ids_once
     nodes = prints.select("fp").distinct()
     found = components(links(nodes.select(F.col("fp").alias("node"), "fp"), radius)).select(F.col("node").alias("fp"), "component")
     names = nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
-    kept = one_each(docs, prints.join(names, "fp").select(F.expr(FIRST).alias("k"), "component"))
+    kept = one_each(docs, prints.withColumnRenamed("fp", "node"), names.withColumnRenamed("fp", "node"))
     if not ids_once:
         return kept
     taken = kept.where("doc_id IS NOT NULL").withColumn("__k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("__k = 1").drop("__k")
