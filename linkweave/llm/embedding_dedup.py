@@ -9,8 +9,9 @@ Equal vectors are one class, which goes into the index once with the number of i
 tile by tile. A tile's links become counts for each class and a spanning forest, so pairs are never written out. Lists of
 over `tile` classes are cut into tiles, every two of which meet in a task of their own.
 
-Bounds (parameters): pivots are chosen, farthest first, from SAMPLE vectors, the only ones that reach the driver; every vector
-is indexed. Their number grows with the square root of the table up to MOST_PIVOTS. Recall is measured in the tests.
+Bounds (parameters): pivots are chosen, farthest first, from a sample of twice as many vectors, SAMPLE at least, the only ones that
+reach the driver; every vector is indexed. Their number grows with the square root of the table up to MOST_PIVOTS, that is up to 10 ** 9
+different vectors, so that all lists together grow with the table's power of 1.5. Recall is measured in the tests.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows with a null
 id. Vectors of different lengths don't link; each length has a sample and pivots of its own. Rows that repeat an id and vector are one vector and get one result each; an id
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from linkweave.llm.common import checkpointed, components, frugal, labelled, partitions, whole_groups
 
-SAMPLE, MOST_PIVOTS, PREFIX, SHARED, TILE = 4096, 2048, 14, 4, 4096
+SAMPLE, MOST_PIVOTS, PREFIX, SHARED, TILE = 4096, 1 << 16, 14, 4, 4096
 
 
 def unit(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,6 +70,9 @@ def choose_pivots(x: np.ndarray, n: int, alike: float = 0.8) -> np.ndarray:
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """(rows, prefix) numbers of the nearest pivots, in order of nearness."""
+    most = max(1, (1 << 22) // max(1, len(pivots)))  # rows at a time, so that their scores take 32 MB
+    if len(x) > most:
+        return np.concatenate([nearest_pivots(x[k : k + most], pivots, prefix) for k in range(0, len(x), most)])
     score = x @ pivots.T
     prefix = min(prefix, score.shape[1])
     part = np.argpartition(-score, prefix - 1, axis=1)[:, :prefix] if prefix < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(x), 1))
@@ -115,11 +119,11 @@ def linked(x: np.ndarray, near: np.ndarray, weight: np.ndarray, ids: np.ndarray,
 
 def _pivots(usable: DataFrame, total: int, prefix: int, shared: int) -> tuple[np.ndarray, int, int] | None:
     """The pivots for vectors of one length, the rarest first, and prefix and shared for so many; None if nothing can link."""
-    seen = usable.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
+    wanted = min(MOST_PIVOTS, 1 << max(6, round(2 * total**0.5).bit_length()))
+    seen = usable.orderBy(F.xxhash64("node"), "node").limit(max(SAMPLE, 2 * wanted)).select("v").toArrow().column(0).combine_chunks()
     seen = seen if isinstance(seen, pa.Array) else pa.concat_arrays(seen.chunks) if seen.num_chunks else pa.array([], pa.list_(pa.float32()))
     _, sample = unit(seen)
-    wanted = 1 << max(6, min(MOST_PIVOTS, round(2 * total**0.5)).bit_length())
-    pivots = choose_pivots(sample, min(MOST_PIVOTS, wanted))
+    pivots = choose_pivots(sample, wanted)
     if not len(pivots):
         return None
     prefix = min(prefix, len(pivots))

@@ -85,3 +85,10 @@ def test_equal_vectors_are_one_class(spark):
     want = [(k, 20_001, 0, k == 0) for k in range(20_000)] + [(30_000, 20_001, 0, False), (30_001, 1, 0, False)]
     want += [(40_000, 20_002, 0, False)] * 3 + [(50_000 + k, 0, 50_000 + k, True) for k in range(300)]
     assert got == sorted(want, key=lambda r: [(x is None, str(x)) for x in r])
+
+
+def test_pivots_are_found_in_pieces():
+    rng = np.random.default_rng(2)
+    x, pivots = rng.normal(size=(3000, 8)), rng.normal(size=(5000, 8))
+    near = E.nearest_pivots(x, pivots, 14)
+    assert (near == np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :14]).all()
