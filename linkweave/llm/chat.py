@@ -13,6 +13,7 @@ look at all of it and the digests are sequential; its rows are streamed in order
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -33,9 +34,17 @@ _JOIN = re.compile(f"{ESCAPE}(.?)", re.S)
 _TURNS = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)<\|end\|>\n", re.S)
 
 
+def _broken(text: str) -> str:
+    return _BREAK.sub(lambda m: m[0][0] + ESCAPE + m[0][1:], text)
+
+
+#: Prefixes of a conversation are rendered again and again: short texts are remembered, 32 MB of them at most.
+_remembered = functools.lru_cache(1 << 14)(_broken)
+
+
 def escape(text: str) -> str:
     """text with no control string left; unescape() gives it back. One character is added for each match."""
-    return _BREAK.sub(lambda m: m[0][0] + ESCAPE + m[0][1:], text)
+    return _remembered(text) if len(text) <= 512 else _broken(text)
 
 
 def unescape(text: str) -> str:

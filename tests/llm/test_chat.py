@@ -63,3 +63,9 @@ def test_query_rows(spark):
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == (len(mine), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r["formatted_chars"] == len(chat.turns_template([(a, b) for *_, a, b in mine])) and not r["rewrites_history"]
     assert table(chat.digests(chat.format_conversations(turns.where("false")))) == []
+
+
+def test_conversation_of_many_turns(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} </s>") for k in range(3000)]
+    got = chat.digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()[0]
+    assert got["n_turns"] == 3000 and got["loss_chars"] == sum(len(r[3]) for r in rows if r[2] == "assistant") and not got["rewrites_history"]
