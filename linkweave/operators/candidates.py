@@ -56,7 +56,7 @@ def expansion(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: Dat
     """Reference names that call an anchored callee or are called by an anchored caller, with the support of each; every
     level at which an edge is seen counts once. pairs: as of operators.store.pair_levels(); counted: agreement(), if it is there already."""
     counted = agreement(support(cases, anchors, pairs), policy) if counted is None else counted
-    grown = counted.join(names, "name", "left_semi").select("case_id", "name", F.col("primary_matches").alias("primary_support"), "auxiliary_support")
+    grown = counted.join(names, "name", "left_semi").withColumn("primary_support", F.col("primary_matches"))
     return grown.join(retrieved.select("case_id", "name").distinct(), ["case_id", "name"], "left_anti")
 
 
@@ -75,11 +75,19 @@ def expansion_top(expanded: DataFrame, policy: Policy) -> DataFrame:
     return expanded.withColumn("place", F.row_number().over(order)).where(F.col("place") <= policy.expansion_limit)
 
 
-def combined(retrieved: DataFrame, top: DataFrame | None, policy: Policy) -> DataFrame:
-    """Retrieved candidates and, after them, expanded ones, whose rank goes on from the number of different retrieved names."""
+#: What agreement() counts, as far as scores need it.
+COUNTS = ("primary_matches", "auxiliary_matches", "mutual_edge_matches")
+
+
+def combined(retrieved: DataFrame, top: DataFrame | None, policy: Policy, counted: DataFrame | None = None) -> DataFrame:
+    """Retrieved candidates and, after them, expanded ones, whose rank goes on from the number of different retrieved names.
+
+    With counted, each row has its COUNTS too: expanded ones bring theirs along, so only the retrieved ones are looked up."""
+    counts = [c for c in COUNTS if counted is not None and c in counted.columns]
+    rows = retrieved if counted is None else retrieved.join(counted.select("case_id", "name", *counts), ["case_id", "name"], "left").select(*retrieved.columns, *counts)
     if top is None or not policy.expansion_enabled:
-        return retrieved
+        return rows
     before = retrieved.groupBy("case_id").agg(F.count_distinct("name").alias("__names"), F.max("pos").alias("__last"))
     joined = top.join(before, "case_id", "left")
-    more = joined.select("case_id", (F.coalesce("__last", F.lit(-1)) + F.col("place")).cast("int").alias("pos"), "name", F.lit(policy.expansion_prior).alias("prior"), (F.coalesce("__names", F.lit(0)) + F.col("place")).cast("int").alias("rank"), F.lit("callgraph_expansion").alias("candidate_source"))
-    return retrieved.unionByName(more)
+    more = joined.select("case_id", (F.coalesce("__last", F.lit(-1)) + F.col("place")).cast("int").alias("pos"), "name", F.lit(policy.expansion_prior).alias("prior"), (F.coalesce("__names", F.lit(0)) + F.col("place")).cast("int").alias("rank"), F.lit("callgraph_expansion").alias("candidate_source"), *counts)
+    return rows.unionByName(more)

@@ -51,23 +51,13 @@ def score(candidates: DataFrame, links: DataFrame, pairs: DataFrame, policy: Pol
     )
 
 
-def score_named(candidates: DataFrame, anchors: DataFrame, found: DataFrame, counted: DataFrame, policy: Policy) -> DataFrame:
-    """F2 to F7 for anchors that are known by name: the rows of score(), from what candidates.support() and agreement() have of every name.
+def score_named(candidates: DataFrame, anchors: DataFrame, policy: Policy) -> DataFrame:
+    """F2, F3, F7 for anchors that are known by name: the rows of score(), without evidence, of candidates with their COUNTS (candidates.combined()).
 
     An anchor without an edge to a candidate is a missing one, so misses are counted by subtraction: the product of candidates and
-    anchors is never made. Evidence is gathered for candidates alone, and only where it is read."""
+    anchors is never made."""
     sums = anchors.groupBy("case_id").agg(F.count("*").alias("__anchors"))
-    mine = candidates.select("case_id", "name").distinct()
-    edge = F.concat(F.col("src_name"), F.lit("->"), F.col("dst_name"))
-    primary = F.array_contains("opt_levels", policy.primary_opt)
-    text = F.when(primary, F.concat(F.lit("primary_"), "relation", F.lit("_anchor_match:"), edge)).otherwise(F.concat(F.lit("aux_"), "relation", F.lit("_anchor_match:"), edge, F.lit(":"), F.array_join("opt_levels", ",")))
-    line = F.struct((F.col("relation") == "caller").alias("second"), F.col("pos").alias("at"), "neighbour", text.alias("text"))
-    told = found.join(mine, ["case_id", "name"], "left_semi").groupBy("case_id", "name").agg(F.array_sort(F.collect_list(line)).alias("__lines"))
-    evidence = F.transform("__lines", lambda x: x["text"])
-    if policy.evidence_limit is not None:
-        evidence = F.slice(evidence, 1, policy.evidence_limit)
-    # joins by case and name first, then by case: the ranks' windows use the last one's shuffle
-    rows = candidates.join(counted.drop("auxiliary_support"), ["case_id", "name"], "left").join(told, ["case_id", "name"], "left").join(sums, "case_id", "left")
+    rows = candidates.join(sums, "case_id", "left")
     zero = F.lit(0).cast("long")
     kinds = ["primary_matches", "auxiliary_matches", *["mutual_edge_matches"] * bool(policy.mutual_bonus)]
     n = {c: F.coalesce(F.col(c), zero) for c in kinds}
@@ -75,11 +65,23 @@ def score_named(candidates: DataFrame, anchors: DataFrame, found: DataFrame, cou
     raw = graph_score(n["primary_matches"], n["auxiliary_matches"], n["missing_anchor_edges"], policy)
     if policy.mutual_bonus:
         raw = raw + n["mutual_edge_matches"] * F.lit(policy.mutual_bonus)
-    return rows.select(
-        *[F.col(c) for c in candidates.columns if c != "prior"], F.round("prior", 6).alias("prior"), *[x.alias(c) for c, x in n.items()],
-        F.round(raw, 6).alias("graph_score"), F.round(F.col("prior") + raw, 6).alias("final_score"),
-        F.coalesce(evidence, F.array().cast("array<string>")).alias("evidence"), F.lit(False).alias("custom_suspected"),
-    )
+    own = [c for c in candidates.columns if c != "prior" and c not in n]
+    return rows.select(*[F.col(c) for c in own], F.round("prior", 6).alias("prior"), *[x.alias(c) for c, x in n.items()], F.round(raw, 6).alias("graph_score"), F.round(F.col("prior") + raw, 6).alias("final_score"), F.lit(False).alias("custom_suspected"))
+
+
+def with_evidence(rows: DataFrame, found: DataFrame, policy: Policy) -> DataFrame:
+    """scored candidates with their evidence, callees before callers, each in order of place. found: candidates.support().
+
+    Evidence is gathered for these rows alone, so for those that are shown and not for all that were scored."""
+    edge = F.concat(F.col("src_name"), F.lit("->"), F.col("dst_name"))
+    primary = F.array_contains("opt_levels", policy.primary_opt)
+    text = F.when(primary, F.concat(F.lit("primary_"), "relation", F.lit("_anchor_match:"), edge)).otherwise(F.concat(F.lit("aux_"), "relation", F.lit("_anchor_match:"), edge, F.lit(":"), F.array_join("opt_levels", ",")))
+    line = F.struct((F.col("relation") == "caller").alias("second"), F.col("pos").alias("at"), "neighbour", text.alias("text"))
+    told = found.join(rows.select("case_id", "name").distinct(), ["case_id", "name"], "left_semi").groupBy("case_id", "name").agg(F.array_sort(F.collect_list(line)).alias("__lines"))
+    evidence = F.transform("__lines", lambda x: x["text"])
+    if policy.evidence_limit is not None:
+        evidence = F.slice(evidence, 1, policy.evidence_limit)
+    return rows.join(told, ["case_id", "name"], "left").select(*rows.columns, F.coalesce(evidence, F.array().cast("array<string>")).alias("evidence"))
 
 
 def id_links(queries: DataFrame, adjacency: DataFrame, anchors: DataFrame) -> DataFrame:

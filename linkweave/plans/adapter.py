@@ -15,7 +15,7 @@ from linkweave.operators import store
 from linkweave.operators.store import LEVELS
 from linkweave.policy import Policy
 
-POLICY = Policy(expansion_limit=20)
+POLICY = Policy()
 VERSION, STRIP = "Lua_547", "nostrip"
 
 

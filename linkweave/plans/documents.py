@@ -27,7 +27,7 @@ def _candidate(policy: Policy) -> Column:
 
 
 def _ranked(done: Scored, policy: Policy, most: int | None, name: str) -> DataFrame:
-    rows = done.ranked if most is None else done.ranked.where(F.col("final_rank") <= most)
+    rows = done.ranked if most is None else done.top(most)
     listed = F.array_sort(F.collect_list(F.struct("final_rank", _candidate(policy).alias("c"))))
     return rows.groupBy("case_id").agg(F.transform(listed, lambda x: x["c"]).alias(name))
 
@@ -86,12 +86,14 @@ def _scoring(policy: Policy) -> Column:
 
 
 def propagation_document(done: Scored, policy: Policy, suite_name: str | None = None, description: str | None = None) -> DataFrame:
+    done = done.kept()
     decision = F.struct(*[F.lit(getattr(policy, x)).alias(x) for x in ("accept_margin", "min_primary_matches", "max_tied_top_candidates")])
     header = {"suite_name": F.lit(suite_name), "description": F.lit(description), "anchor_policy": _anchors(policy), "candidate_expansion": _expansion(policy), "classification_policy": decision}
     return document(header, {"summary": metrics.status_summary(done.results)}, {"results": propagation_records(done, policy)})
 
 
 def evaluation_document(done: Scored, policy: Policy, suite_name: str | None = None, description: str | None = None) -> DataFrame:
+    done = done.kept()
     modes = metrics.summary_by_mode(done.results)
     entry = F.struct("mode", F.struct(*[c for c in modes.columns if c != "mode"]).alias("s"))
     by_mode = modes.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("modes"))

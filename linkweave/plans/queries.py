@@ -69,7 +69,7 @@ support AS (
   UNION SELECT DISTINCT a.case_id, 'anchor_calls_candidate', a.anchor, e.dst_name, e.opt_level FROM anchors a JOIN cases c USING (case_id) JOIN edges e ON e.architecture = c.architecture AND e.src_name = a.anchor WHERE a.relation = 'caller'),
 expanded AS (SELECT case_id, name, count(*) FILTER (opt_level = 'O0') AS primary_support, count(*) FILTER (opt_level <> 'O0') AS auxiliary_support FROM support
   WHERE name IN (SELECT name FROM ref_names) AND NOT EXISTS (SELECT 1 FROM listed l WHERE l.case_id = support.case_id AND l.name = support.name) GROUP BY ALL),
-placed AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY primary_support DESC, auxiliary_support DESC, name DESC) AS place FROM expanded QUALIFY place <= 20),
+placed AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY primary_support DESC, auxiliary_support DESC, name DESC) AS place FROM expanded QUALIFY place <= 80),
 candidates AS (SELECT case_id, pos, name, prior, rank, 'retrieval' AS candidate_source FROM listed
   UNION ALL SELECT p.case_id, (coalesce(b.last, -1) + place)::INT, p.name, 65e-2, (coalesce(b.names, 0) + place)::INT, 'callgraph_expansion'
   FROM placed p LEFT JOIN (SELECT case_id, count(DISTINCT name) AS names, max(pos) AS last FROM listed GROUP BY case_id) b USING (case_id))
@@ -280,7 +280,7 @@ def candidates_combined(t: Tables) -> DataFrame:
 @query(SCORED + "SELECT case_id, pos, name, prior, primary_matches, auxiliary_matches, missing_anchor_edges, graph_score, final_score FROM ranked")
 def score_candidates(t: Tables) -> DataFrame:
     """F2, F3."""
-    return _run(t).ranked.select("case_id", "pos", "name", "prior", *SCORES)
+    return _run(t).scores.select("case_id", "pos", "name", "prior", *SCORES)
 
 
 @query(GRAPH + """, links AS (SELECT n.case_id, n.relation, n.name AS neighbour, s.name AS anchor FROM neighbours n LEFT JOIN seeds s USING (name)),
@@ -306,20 +306,20 @@ def evidence_strings(t: Tables) -> DataFrame:
 @query(SCORED + "SELECT case_id, pos, primary_matches, auxiliary_matches, missing_anchor_edges, 0::BIGINT AS unknown_extra_neighbors, 4e-2 AS primary_edge_bonus, 15e-3 AS auxiliary_edge_bonus, 2e-3 AS missing_anchor_penalty FROM ranked")
 def graph_breakdown(t: Tables) -> DataFrame:
     """F7."""
-    return _run(t).ranked.select("case_id", "pos", scoring.breakdown(POLICY).alias("b")).select("case_id", "pos", "b.*")
+    return _run(t).scores.select("case_id", "pos", scoring.breakdown(POLICY).alias("b")).select("case_id", "pos", "b.*")
 
 
 @query(SCORED + "SELECT case_id, name, final_score, final_rank FROM ranked")
 def rerank(t: Tables) -> DataFrame:
     """G1 with ties to the larger name."""
-    return _run(t).ranked.select("case_id", "name", "final_score", "final_rank")
+    return _run(t).scores.select("case_id", "name", "final_score", "final_rank")
 
 
 @query(DECIDED + "SELECT case_id, predicted AS predicted_function_name, status0 AS status, array_to_string(reasons, ';') AS status_reasons FROM stated")
 def classify(t: Tables) -> DataFrame:
     """G2."""
     done = _run(t)
-    return decide.case_results(t.cases, done.ranked, done.anchors, POLICY).select("case_id", "predicted_function_name", "status", joined("status_reasons").alias("status_reasons"))
+    return decide.case_results(t.cases, done.scores, done.anchors, POLICY).select("case_id", "predicted_function_name", "status", joined("status_reasons").alias("status_reasons"))
 
 
 @query(DECIDED + "SELECT case_id, coalesce(array_to_string(tied_names[1:20], ';'), '') AS top_tied_candidates FROM decided")
@@ -343,7 +343,7 @@ def expected_rank(t: Tables) -> DataFrame:
 @query(SCORED + "SELECT case_id, final_rank, name, final_score FROM ranked WHERE final_rank <= 5")
 def top_n(t: Tables) -> DataFrame:
     """G6."""
-    return decide.top(_run(t).ranked, POLICY.output_top_candidates).select("case_id", "final_rank", "name", "final_score")
+    return decide.top(_run(t).scores, POLICY.output_top_candidates).select("case_id", "final_rank", "name", "final_score")
 
 
 @query(DECIDED + """SELECT case_id, retrieval_top1, propagation_top1, retrieval_top1_hit, propagation_top1_hit, propagation_top3_hit, propagation_top5_hit, expected_in_candidates, expected_in_retrieval_candidates, top1_changed,
@@ -466,8 +466,8 @@ def compare_sample(t: Tables) -> DataFrame:
 @query(DECIDED + "SELECT case_id, round(s1 - s2, 6) AS score_margin_top1_top2 FROM results WHERE status <> 'accepted'")
 def margin_delta(t: Tables) -> DataFrame:
     """I7."""
-    done = _run(t)
-    top = review.compact_candidates(done.ranked, POLICY.output_top_candidates)
+    done = _run(t).kept()
+    top = review.compact_candidates(done.top(POLICY.output_top_candidates), POLICY.output_top_candidates)
     return review.to_review(done.results).join(top, "case_id", "left").select("case_id", review.margin("top_candidates").alias("score_margin_top1_top2"))
 
 
@@ -676,9 +676,9 @@ def anchor_select(t: Tables) -> DataFrame:
 @query(SCORED.replace("4e-2", "5e-2").replace("15e-3", "5e-2").replace("* 2e-3", "* 1e-1") + "SELECT case_id, name, graph_score, final_score, final_rank FROM ranked")
 def strict_weights(t: Tables) -> DataFrame:
     """X3."""
-    policy = X.strict_policy(expansion_limit=20)
+    policy = X.strict_policy()
     done = runs.propagate_from_anchors(t.cases, t.neighbours, A.seed_anchors(t.mappings), t.listed, t.functions, t.pairs, policy)
-    return done.ranked.select("case_id", "name", "graph_score", "final_score", "final_rank")
+    return done.scores.select("case_id", "name", "graph_score", "final_score", "final_rank")
 
 
 @query(GRAPH + """, both_ways AS (SELECT case_id, 'callee' AS relation, pos, anchor FROM anchors WHERE relation = 'callee' UNION ALL SELECT case_id, 'caller', pos, anchor FROM anchors WHERE relation = 'callee'),
@@ -696,7 +696,7 @@ def mutual_edges(t: Tables) -> DataFrame:
     parts = t.neighbours.where("relation = 'callee'")
     policy = X.strict_policy(expansion_enabled=False)
     done = runs.propagate_from_anchors(t.cases, parts.unionByName(parts.withColumn("relation", F.lit("caller"))), A.seed_anchors(t.mappings), t.listed, t.functions, edges, policy)
-    return done.ranked.select("case_id", "pos", "name", "mutual_edge_matches", millionths("graph_score").alias("graph_score"))
+    return done.scores.select("case_id", "pos", "name", "mutual_edge_matches", millionths("graph_score").alias("graph_score"))
 
 
 @query(DECIDED + """, m AS (SELECT *, round(s1 - coalesce(s2, 0e0), 6) AS margin FROM stated),
@@ -705,7 +705,7 @@ SELECT case_id, predicted AS predicted_function_name, CASE WHEN status0 = 'accep
 def conflict_by_margin(t: Tables) -> DataFrame:
     """X4."""
     done = _run(t)
-    before = decide.case_results(t.cases, done.ranked, done.anchors, POLICY)
+    before = decide.case_results(t.cases, done.scores, done.anchors, POLICY)
     return X.conflicts_by_margin(before, POLICY).select("case_id", "predicted_function_name", "resolved_status")
 
 
@@ -725,10 +725,10 @@ SELECT case_id, query_func AS query_function_id, CASE WHEN none THEN 'rejected'
 FROM every LEFT JOIN rivals USING (query_file, predicted) LEFT JOIN first USING (case_id)""")
 def mapping_export(t: Tables) -> DataFrame:
     """Fields of each mapping document, read back from its JSON."""
-    done = _run(t)
+    done = _run(t).kept()
     advice = t.cases.where("case_id % 2 = 0").select("case_id", F.lit('{"classification": "remain_deferred"}').alias("analysis"))
     m = F.from_json("mapping", "struct<query_function_id:string,final_candidate:struct<reference_function_name:string>,status:string,confidence:double,scores:struct<retrieval_prior:double,graph_score:double,final_score:double>,evidence:array<string>,conflicts:array<string>,llm_evidence:struct<classification:string>>")
-    rows = X.mapping_export(done.results, done.ranked, advice).withColumn("m", m)
+    rows = X.mapping_export(done.results, done.top(1), advice).withColumn("m", m)
     s = F.col("m.scores")
     return rows.select("case_id", "m.query_function_id", "m.status", "m.final_candidate.reference_function_name", millionths("m.confidence").alias("confidence"), F.when(s.isNotNull(), F.concat_ws("/", *[millionths(s[c]) for c in ("retrieval_prior", "graph_score", "final_score")])).otherwise("").alias("scores"),
         joined("m.evidence").alias("evidence"), joined("m.conflicts").alias("conflicts"), F.col("m.llm_evidence.classification").alias("llm_class"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,36 @@ from linkweave.sources import readers, sinks
 
 @dataclass
 class Scored:
+    """A run: its candidates with ranks and scores (`scores`), and what is made of them when it is asked for."""
+
+    cases: DataFrame
     anchors: DataFrame
     candidates: DataFrame
-    ranked: DataFrame
-    results: DataFrame
+    #: Ranked candidates without evidence.
+    scores: DataFrame
+    #: The edges that speak for any name (candidates.support()).
+    found: DataFrame
+    policy: Policy
+    #: Whether accepted results that claim one name are conflicts.
+    exclusive: bool = False
+
+    @property
+    def ranked(self) -> DataFrame:
+        """All ranked candidates with their evidence."""
+        return scoring.with_evidence(self.scores, self.found, self.policy)
+
+    def top(self, n: int) -> DataFrame:
+        """The first n of each case with their evidence, which is gathered for them alone."""
+        return scoring.with_evidence(D.top(self.scores, n), self.found, self.policy)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        done = D.case_results(self.cases, self.scores, self.anchors, self.policy)
+        return D.conflicts(done) if self.exclusive else done
+
+    def kept(self) -> Scored:
+        """The same with its scores written, for what reads them several times."""
+        return replace(self, scores=written(self.scores))
 
 
 class NoFiles(ValueError):
@@ -52,26 +79,24 @@ def levels(edges: DataFrame, policy: Policy) -> DataFrame:
 
 
 def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
-    # anchors and what agrees with them are each read several times below
+    # anchors are read several times below
     anchors, pairs = written(anchors), levels(edges, policy)
     found = C.support(cases, anchors, pairs)
-    counted = written(C.agreement(found, policy))
+    # planned twice, for the expansion and for retrieved names, and computed once: both read one exchange
+    counted = C.agreement(found, policy)
     retrieved = C.retrieval_candidates(listed)
     top = None
     if policy.expansion_enabled:
         top = C.expansion_top(C.expansion(cases, anchors, pairs, store.reference_names(functions), retrieved, policy, counted), policy)
-    candidates = written(C.combined(retrieved, top, policy))
-    scored = scoring.score_named(candidates, anchors, found, counted, policy)
-    ranked = D.rerank(scored, policy)
-    return Scored(anchors, candidates, ranked, D.case_results(cases, ranked, anchors, policy))
+    candidates = C.combined(retrieved, top, policy, counted)
+    return Scored(cases, anchors, candidates, D.rerank(scoring.score_named(candidates, anchors, policy), policy), found, policy)
 
 
 def propagate_from_anchors(cases: DataFrame, neighbours: DataFrame, seeds: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
     """Seeds and, if allowed, visible names anchor the neighbours; every case is decided, and conflicts are marked."""
     anchors = A.anchored_neighbours(neighbours, cases, seeds, store.reference_names(functions), policy)
     done = _score_cases(cases, anchors, listed, functions, edges, policy)
-    done.results = D.conflicts(done.results)
-    return done
+    return replace(done, exclusive=True)
 
 
 def evaluate_hybrid(cases: DataFrame, neighbours: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
@@ -103,5 +128,6 @@ def score_query_graph(retrieval: DataFrame, query_edges: DataFrame, mappings: Da
 def review_run(done: Scored, features: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Review records, their summary, and the number of cases in each category."""
     rows = features.where(truthy("query_func"))
-    records = review.review_cases(done.results, done.ranked, done.anchors, rows, policy.output_top_candidates)
+    done = done.kept()
+    records = review.review_cases(done.results, done.top(policy.output_top_candidates), done.anchors, rows, policy.output_top_candidates)
     return records, review.review_summary(records), review.category_counts(done.results)

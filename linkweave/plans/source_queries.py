@@ -288,7 +288,7 @@ def propagation_document(t: Tables) -> DataFrame:
     return rows.select("at", "r.case_id", "r.query_func", "r.predicted_function_name", "r.status", joined("r.status_reasons").alias("reasons"), items.alias("callees"), "r.anchor_summary.callee_anchor_count", _line(F.col("r.top_candidates")).alias("line"))
 
 
-@query(DECIDED + """SELECT '0.1' AS schema_version, 'customers' AS suite_name, 20::INT AS expansion_limit, 15000::BIGINT AS accept_margin, count(*) AS case_count, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'deferred') AS deferred, count(*) FILTER (status = 'conflict') AS conflict,
+@query(DECIDED + """SELECT '0.1' AS schema_version, 'customers' AS suite_name, 80::INT AS expansion_limit, 15000::BIGINT AS accept_margin, count(*) AS case_count, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'deferred') AS deferred, count(*) FILTER (status = 'conflict') AS conflict,
   round(round(count(*) FILTER (top1_hit) / count(*) FILTER (expected_function <> ''), 6) * 1000000)::BIGINT AS top1 FROM results""")
 def propagation_header(t: Tables) -> DataFrame:
     """Header and summary of the document."""
