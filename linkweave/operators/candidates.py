@@ -27,15 +27,18 @@ def first_of_list(cases: DataFrame, candidates: DataFrame) -> DataFrame:
     return cases.select("case_id").join(first, "case_id", "left").select("case_id", F.coalesce("retrieval_top1", F.lit("")).alias("retrieval_top1"))
 
 
-def support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame) -> DataFrame:
+def support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, policy: Policy) -> DataFrame:
     """Each edge of the reference between some name and an anchor of a case, on the anchor's side: case_id, name, relation, pos and
-    neighbour (of the anchor), src_name, dst_name, opt_levels. Anchors are joined once with the pairs; nothing is looked up for a candidate."""
+    neighbour (of the anchor), src_name, dst_name, opt_levels, at_primary (1 or 0) and levels (how many). Anchors are joined once with the
+    pairs; nothing is looked up for a candidate."""
     env = ["lua_version", "architecture"]
+    # counted before anchors multiply the pairs; the lists themselves are carried only where they are read
+    pairs = pairs.select(*env, "src_name", "dst_name", "opt_levels", F.array_contains("opt_levels", policy.primary_opt).cast("int").alias("at_primary"), F.size("opt_levels").alias("levels"))
     asked = anchors.join(cases.select("case_id", *env), "case_id").select("case_id", *env, "relation", "anchor", "pos", F.col("query_name").alias("neighbour"))
 
     def side(relation: str, end: str, other: str) -> DataFrame:
-        found = asked.where(F.col("relation") == relation).join(pairs.select(*env, "src_name", "dst_name", "opt_levels"), [*[asked[c] == pairs[c] for c in env], F.col("anchor") == F.col(end)])
-        return found.select("case_id", F.col(other).alias("name"), "relation", "pos", "neighbour", "src_name", "dst_name", "opt_levels")
+        found = asked.where(F.col("relation") == relation).join(pairs, [*[asked[c] == pairs[c] for c in env], F.col("anchor") == F.col(end)])
+        return found.select("case_id", F.col(other).alias("name"), "relation", "pos", "neighbour", "src_name", "dst_name", "opt_levels", "at_primary", "levels")
 
     return side("callee", "dst_name", "src_name").unionByName(side("caller", "src_name", "dst_name"))
 
@@ -43,8 +46,8 @@ def support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame) -> DataFrame
 def agreement(found: DataFrame, policy: Policy) -> DataFrame:
     """Of support(): for each case and name, how many anchors agree at the primary level (primary_matches) or at others alone (auxiliary_matches), and how many
     levels besides the primary one they agree at (auxiliary_support). What scores candidates finds new ones, too."""
-    primary = F.array_contains("opt_levels", policy.primary_opt).cast("int")
-    counts = [F.sum(primary).alias("primary_matches"), F.sum(1 - primary).alias("auxiliary_matches"), F.sum(F.size("opt_levels") - primary).alias("auxiliary_support")]
+    primary = F.col("at_primary")
+    counts = [F.sum(primary).alias("primary_matches"), F.sum(1 - primary).alias("auxiliary_matches"), F.sum(F.col("levels") - primary).alias("auxiliary_support")]
     if policy.mutual_bonus:
         met = F.when(F.col("relation") == "callee", F.col("dst_name")).otherwise(F.col("src_name"))
         sides = [F.collect_set(F.when(F.col("relation") == r, met)) for r in ("callee", "caller")]
@@ -55,14 +58,15 @@ def agreement(found: DataFrame, policy: Policy) -> DataFrame:
 def expansion(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: DataFrame, retrieved: DataFrame, policy: Policy, counted: DataFrame | None = None) -> DataFrame:
     """Reference names that call an anchored callee or are called by an anchored caller, with the support of each; every
     level at which an edge is seen counts once. pairs: as of operators.store.pair_levels(); counted: agreement(), if it is there already."""
-    counted = agreement(support(cases, anchors, pairs), policy) if counted is None else counted
+    counted = agreement(support(cases, anchors, pairs, policy), policy) if counted is None else counted
     grown = counted.join(names, "name", "left_semi").withColumn("primary_support", F.col("primary_matches"))
     return grown.join(retrieved.select("case_id", "name").distinct(), ["case_id", "name"], "left_anti")
 
 
-def supporting_edges(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, top: DataFrame, most: int = 50) -> DataFrame:
-    """case_id, name, supporting_edges: the first edges, a row for each level, that speak for the expanded candidates that stayed; of no others."""
-    found = support(cases, anchors, pairs).join(top.select("case_id", "name"), ["case_id", "name"], "left_semi")
+def supporting_edges(found: DataFrame, top: DataFrame, most: int = 50) -> DataFrame:
+    """case_id, name, supporting_edges: the first edges, a row for each level, that speak for the expanded candidates that stayed; of no others.
+    found: support()."""
+    found = found.join(top.select("case_id", "name"), ["case_id", "name"], "left_semi")
     calls = F.col("relation") == "callee"
     relation, anchor = F.when(calls, "candidate_calls_anchor").otherwise("anchor_calls_candidate"), F.when(calls, F.col("dst_name")).otherwise(F.col("src_name"))
     lines = F.transform("opt_levels", lambda o: F.struct(relation.alias("edge_relation"), anchor.alias("anchor"), o.alias("opt_level")))

@@ -45,7 +45,8 @@ class Scored:
     @cached_property
     def results(self) -> DataFrame:
         done = D.case_results(self.cases, self.scores, self.anchors, self.policy)
-        return D.conflicts(done) if self.exclusive else done
+        # a row for each case, which conflicts are counted in and marked in
+        return D.conflicts(written(done)) if self.exclusive else done
 
     def kept(self) -> Scored:
         """The same with its scores written, for what reads them several times."""
@@ -81,9 +82,9 @@ def levels(edges: DataFrame, policy: Policy) -> DataFrame:
 def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
     # anchors are read several times below
     anchors, pairs = written(anchors), levels(edges, policy)
-    found = C.support(cases, anchors, pairs)
-    # planned twice, for the expansion and for retrieved names, and computed once: both read one exchange
-    counted = C.agreement(found, policy)
+    found = C.support(cases, anchors, pairs, policy)
+    # what agrees with the anchors is read for the expansion and for retrieved names
+    counted = written(C.agreement(found, policy))
     retrieved = C.retrieval_candidates(listed)
     top = None
     if policy.expansion_enabled:

@@ -176,7 +176,7 @@ def test_supporting_edges_of_those_that_stay(spark):
     done = w.propagate(expansion_limit=1)
     pairs, names = store.pair_levels(w.edges), w.functions.selectExpr("function_name as name")
     top = C.expansion_top(C.expansion(w.cases, done.anchors, pairs, names, C.retrieval_candidates(w.listed), Policy()), Policy(expansion_limit=1))
-    got = {r["name"]: [tuple(x) for x in r["supporting_edges"]] for r in C.supporting_edges(w.cases, done.anchors, pairs, top).collect()}
+    got = {r["name"]: [tuple(x) for x in r["supporting_edges"]] for r in C.supporting_edges(done.found, top).collect()}
     assert got == {"x": [("anchor_calls_candidate", "b", "O3"), ("candidate_calls_anchor", "a", "O0"), ("candidate_calls_anchor", "a", "O2")]}
 
 
