@@ -6,7 +6,6 @@ import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,7 +102,7 @@ def store_modes(t: Tables) -> DataFrame:
         try:
             runs.build_tree(t.spark, tree, path, replace)
             outcome = "written"
-        except (runs.NoFiles, PySparkException):
+        except (runs.NoFiles, FileExistsError):
             outcome = "refused"
         rows.append((step, name, outcome))
     return t.spark.createDataFrame(rows, "step int, case_name string, outcome string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +20,27 @@ def metadata_rows(root: str, source: str = "feature_tree") -> dict[str, str]:
 
 
 def write_store(functions: DataFrame, edges: DataFrame, path: str, metadata: dict[str, str] | None = None, replace: bool = False) -> None:
-    """The three tables of a store below path; an existing one is refused unless replace is set."""
-    spark, mode = functions.sparkSession, "overwrite" if replace else "errorifexists"
-    # rows of an environment are dealt by name, so that a lookup by name reads few row groups
-    functions.repartition(*PARTITIONS, "function_name").sortWithinPartitions("function_name").write.mode(mode).partitionBy(*PARTITIONS).parquet(f"{path}/functions")
-    edges.repartition(*PARTITIONS, "src_name").sortWithinPartitions("src_name", "dst_name").write.mode(mode).partitionBy(*PARTITIONS).parquet(f"{path}/edges")
-    spark.createDataFrame(sorted((metadata or {}).items()), schemas.METADATA).coalesce(1).write.mode(mode).parquet(f"{path}/metadata")
+    """The three tables of a store below path; an existing one is refused unless replace is set.
+
+    They are written beside path and moved there when all are whole: a build that fails leaves the store that was there as it was."""
+    spark = functions.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, held = hadoop.Path(path.rstrip("/")), f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target) and not replace:
+        raise FileExistsError(f"there is a store at {path}")
+    try:
+        # rows of an environment are dealt by name, so that a lookup by name reads few row groups
+        functions.repartition(*PARTITIONS, "function_name").sortWithinPartitions("function_name").write.partitionBy(*PARTITIONS).parquet(f"{held}/functions")
+        edges.repartition(*PARTITIONS, "src_name").sortWithinPartitions("src_name", "dst_name").write.partitionBy(*PARTITIONS).parquet(f"{held}/edges")
+        spark.createDataFrame(sorted((metadata or {}).items()), schemas.METADATA).coalesce(1).write.parquet(f"{held}/metadata")
+    except BaseException:
+        fs.delete(hadoop.Path(held), True)
+        raise
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(hadoop.Path(held), target):
+        raise OSError(f"the store at {held} could not be moved to {path}")
 
 
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -60,9 +60,12 @@ def test_store_round_trip_and_refusal(spark, tree, tmp_path):
     got = sinks.read_store(spark, path)
     assert got[0].count() == functions.count()
     assert got[1].select("src_id", "dst_id").exceptAll(edges.select("src_id", "dst_id")).count() == 0
-    with pytest.raises(PySparkException):
+    with pytest.raises(FileExistsError):
         sinks.write_store(functions, edges, path)
     sinks.write_store(functions, edges, path, replace=True)
+    with pytest.raises(PySparkException):  # a build that fails halfway
+        sinks.write_store(functions, edges.withColumn("dst_name", F.raise_error(F.lit("broken")).cast("string")), path, replace=True)
+    assert sinks.read_store(spark, path)[1].count() == edges.count() and [p.name for p in tmp_path.iterdir()] == ["store"]
     plan = got[1].where("architecture = 'x86_64' and src_name = 'f'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(architecture" in plan and "EqualTo(src_name,f)" in plan
 
@@ -99,7 +102,7 @@ def test_tree_to_store_and_back(spark, tree, tmp_path):
     lines = runs.build_tree(spark, tree, path)
     assert lines[:2] == [f"[OK] wrote store: {path}", "Feature files : 3"] and lines[-1] == "  Lua_547 x86_64  O2 stripped functions=1"
     assert {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()} == sinks.metadata_rows(tree)
-    with pytest.raises(PySparkException):
+    with pytest.raises(FileExistsError):
         runs.build_tree(spark, tree, path)
     root = str(tmp_path / "again")
     rows = readers.read_features(spark, tree).select("source_json", "row", "function_name", "callees", "pcode_opcode_histogram")
