@@ -31,3 +31,11 @@ def written(df: DataFrame) -> DataFrame:
     """df, computed now and kept in the shared folder: a lost executor costs nothing that was written."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """df, written as a table in the shared folder and read again: unlike written() with its size known, so that small ones are broadcast
+    without a shuffle, and with columns read as they are asked for."""
+    path = fresh(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.checkpoints import written
+from linkweave.checkpoints import tabled
 from linkweave.functions.names import truthy
 from linkweave.policy import Policy
 
@@ -60,13 +60,13 @@ def propagate(step: Callable[[DataFrame], DataFrame], seeds: DataFrame) -> tuple
     least, so it ends. The number of rounds is returned too.
 
     Each round's seeds are written to the shared checkpoint folder; a count alone reaches the driver."""
-    known = written(seeds.select("query_key", "reference_function_name").distinct())
+    known = tabled(seeds.select("query_key", "reference_function_name").distinct())
     n, rounds = known.count(), 0
     while True:
         rounds += 1
         found = step(known).where(F.col("status") == "accepted").select(F.col("query_func").alias("query_key"), F.col("predicted_function_name").alias("reference_function_name"))
         fresh = found.where(truthy("query_key")).groupBy("query_key").agg(F.min("reference_function_name").alias("reference_function_name")).join(known, "query_key", "left_anti")
-        known = written(known.unionByName(fresh))
+        known = tabled(known.unionByName(fresh))
         was, n = n, known.count()
         if n == was:
             return known, rounds

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.checkpoints import written
+from linkweave.checkpoints import tabled
 from linkweave.operators import store
 from linkweave.operators.store import LEVELS
 from linkweave.policy import Policy
@@ -29,7 +29,7 @@ def stored(view: Callable[[Tables], DataFrame]) -> cached_property:
     def read(self: Tables) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, view.__name__)
         if key not in _STORED:
-            _STORED[key] = written(view(self))
+            _STORED[key] = tabled(view(self))
         return _STORED[key]
 
     return cached_property(read)

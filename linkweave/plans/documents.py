@@ -10,7 +10,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.checkpoints import written
+from linkweave.checkpoints import tabled
 from linkweave.operators import metrics, scoring
 from linkweave.operators.review import ITEMS, anchor_items
 from linkweave.plans.runs import Scored
@@ -103,7 +103,7 @@ def evaluation_document(done: Scored, policy: Policy, suite_name: str | None = N
 
 def analysis_document(records: DataFrame, source: str, suite_name: str | None = None) -> DataFrame:
     """Deferred cases and conflicts apart, with counts of both, of the categories and of attached features."""
-    records = written(records)  # read three times
+    records = tabled(records)  # read three times
     each = records.groupBy("review_category", "status").agg(F.count("*").alias("n"), F.count_if(F.col("query_feature_summary").isNotNull()).alias("f"))
     of = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0))
     per = each.groupBy("review_category").agg(F.sum("n").alias("n"), of("deferred").alias("d"), of("conflict").alias("c"), F.sum("f").alias("f"))

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.checkpoints import written
+from linkweave.checkpoints import tabled
 from linkweave.functions.names import truthy
 from linkweave.operators import anchors as A
 from linkweave.operators import candidates as C
@@ -46,11 +46,11 @@ class Scored:
     def results(self) -> DataFrame:
         done = D.case_results(self.cases, self.scores, self.anchors, self.policy)
         # a row for each case, which conflicts are counted in and marked in
-        return D.conflicts(written(done)) if self.exclusive else done
+        return D.conflicts(tabled(done)) if self.exclusive else done
 
     def kept(self) -> Scored:
         """The same with its scores written, for what reads them several times."""
-        return replace(self, scores=written(self.scores))
+        return replace(self, scores=tabled(self.scores))
 
 
 class NoFiles(ValueError):
@@ -76,15 +76,15 @@ def build_store(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def levels(edges: DataFrame, policy: Policy) -> DataFrame:
     """Pairs with their levels: of edges, or, where edges are such pairs already, as of a stored graph, they themselves."""
-    return edges if "opt_levels" in edges.columns else written(store.pair_levels(edges, policy.strip_mode))
+    return edges if "opt_levels" in edges.columns else tabled(store.pair_levels(edges, policy.strip_mode))
 
 
 def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
     # anchors are read several times below
-    anchors, pairs = written(anchors), levels(edges, policy)
+    anchors, pairs = tabled(anchors), levels(edges, policy)
     found = C.support(cases, anchors, pairs, policy)
     # what agrees with the anchors is read for the expansion and for retrieved names
-    counted = written(C.agreement(found, policy))
+    counted = tabled(C.agreement(found, policy))
     retrieved = C.retrieval_candidates(listed)
     top = None
     if policy.expansion_enabled:
