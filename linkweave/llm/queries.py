@@ -1,4 +1,4 @@
-"""The queries of the corpus operators, op1 to op10, and their SQL. Each applies one operator to the whole of its table."""
+"""The queries of the corpus operators, op1 to op13, and their SQL. Each applies one operator to the whole of its table."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkweave.llm import chat, embedding_dedup, langid, line_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup
+from linkweave.llm import chat, embedding_dedup, langid, line_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, whitening
 from linkweave.llm.common import table
 
 #: Conversation -7: texts that look like a template's own control strings.
@@ -56,10 +57,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 4)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"), 4, 256)
+    return done.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_packing, op9_mixing, op10_simhash)
+    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_packing, op9_mixing, op10_simhash, op11_token_counts, op12_whitening)
 }
-#: Tokens, XXH64 fingerprints and trained models can't be had from SQL; tests hold op7, op8 and op10 against plain versions.
+#: Tokens, XXH64 fingerprints, trained models and eigenvectors can't be had from SQL; tests hold op7, op8, op10, op11 and op12 against plain versions.
 ORACLES = {
     "op1_chat_format": chat.ORACLE,
     "op2_quality_rules": quality.ORACLE,
