@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import chat, embedding_dedup, langid, line_dedup, mixing, packing, quality, sharding, simhash, suffix_dedup, token_counts, whitening
+from linkweave.llm import chat, embedding_dedup, langid, line_dedup, mixing, packing, prefix_trie, quality, sharding, simhash, suffix_dedup, token_counts, whitening
 from linkweave.llm.common import table
 
 #: Conversation -7: texts that look like a template's own control strings.
@@ -66,8 +66,12 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_packing, op9_mixing, op10_simhash, op11_token_counts, op12_whitening)
+    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_line_dedup, op6_suffix_dedup, op7_language_id, op8_packing, op9_mixing, op10_simhash, op11_token_counts, op12_whitening, op13_prefix_trie)
 }
 #: Tokens, XXH64 fingerprints, trained models and eigenvectors can't be had from SQL; tests hold op7, op8, op10, op11 and op12 against plain versions.
 ORACLES = {
@@ -78,4 +82,5 @@ ORACLES = {
     "op5_line_dedup": line_dedup.ORACLE,
     "op6_suffix_dedup": suffix_dedup.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
