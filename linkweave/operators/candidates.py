@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkweave.checkpoints import tabled
 from linkweave.functions.names import truthy
 from linkweave.policy import Policy
 
@@ -27,22 +28,88 @@ def first_of_list(cases: DataFrame, candidates: DataFrame) -> DataFrame:
     return cases.select("case_id").join(first, "case_id", "left").select("case_id", F.coalesce("retrieval_top1", F.lit("")).alias("retrieval_top1"))
 
 
+_EDGE = ("case_id", "name", "relation", "pos", "neighbour", "src_name", "dst_name", "opt_levels", "at_primary", "levels")
+_ENV = ["lua_version", "architecture"]
+
+
+def _leveled(pairs: DataFrame, policy: Policy) -> DataFrame:
+    # counted before anchors multiply the pairs; the lists themselves are carried only where they are read
+    return pairs.select(*_ENV, "src_name", "dst_name", "opt_levels", F.array_contains("opt_levels", policy.primary_opt).cast("int").alias("at_primary"), F.size("opt_levels").alias("levels"))
+
+
+def _asked(cases: DataFrame, anchors: DataFrame) -> DataFrame:
+    return anchors.join(cases.select("case_id", *_ENV), "case_id").select("case_id", *_ENV, "relation", "anchor", "pos", F.col("query_name").alias("neighbour"))
+
+
 def support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, policy: Policy) -> DataFrame:
     """Each edge of the reference between some name and an anchor of a case, on the anchor's side: case_id, name, relation, pos and
     neighbour (of the anchor), src_name, dst_name, opt_levels, at_primary (1 or 0) and levels (how many). Anchors are joined once with the
     pairs; nothing is looked up for a candidate."""
-    env = ["lua_version", "architecture"]
-    # counted before anchors multiply the pairs; the lists themselves are carried only where they are read
-    pairs = pairs.select(*env, "src_name", "dst_name", "opt_levels", F.array_contains("opt_levels", policy.primary_opt).cast("int").alias("at_primary"), F.size("opt_levels").alias("levels"))
-    asked = anchors.join(cases.select("case_id", *env), "case_id").select("case_id", *env, "relation", "anchor", "pos", F.col("query_name").alias("neighbour"))
+    pairs, asked = _leveled(pairs, policy), _asked(cases, anchors)
 
     def side(relation: str, end: str, other: str) -> DataFrame:
-        found = asked.where(F.col("relation") == relation).join(pairs, [*[asked[c] == pairs[c] for c in env], F.col("anchor") == F.col(end)])
-        return found.select("case_id", F.col(other).alias("name"), "relation", "pos", "neighbour", "src_name", "dst_name", "opt_levels", "at_primary", "levels")
+        found = asked.where(F.col("relation") == relation).join(pairs, [*[asked[c] == pairs[c] for c in _ENV], F.col("anchor") == F.col(end)])
+        return found.withColumn("name", F.col(other)).select(*_EDGE)
 
     return side("callee", "dst_name", "src_name").unionByName(side("caller", "src_name", "dst_name"))
 
 
+def looked_up(wanted: DataFrame, cases: DataFrame, anchors: DataFrame, pairs: DataFrame, policy: Policy) -> DataFrame:
+    """The rows of support() for the names that are wanted (case_id, name, each once) alone: names are joined with the anchors of their case, and each
+    pair is looked up. It makes a row for each name and anchor, whatever the anchors' degrees."""
+    asked = wanted.select("case_id", "name").join(_asked(cases, anchors), "case_id")
+    down = F.col("relation") == "callee"
+    asked = asked.withColumns({"src_name": F.when(down, F.col("name")).otherwise(F.col("anchor")), "dst_name": F.when(down, F.col("anchor")).otherwise(F.col("name"))})
+    return asked.join(_leveled(pairs, policy), [*_ENV, "src_name", "dst_name"]).select(*_EDGE)
+
+
+def hubs(anchors: DataFrame, cases: DataFrame, pairs: DataFrame, policy: Policy) -> DataFrame:
+    """Anchors that more than hub_degree edges meet on the side that is asked for: environment, relation, anchor."""
+    ends = F.explode(F.array(F.struct(F.lit("callee").alias("relation"), F.col("dst_name").alias("anchor")), F.struct(F.lit("caller").alias("relation"), F.col("src_name").alias("anchor")))).alias("e")
+    degree = pairs.select(*_ENV, ends).groupBy(*_ENV, "e.relation", "e.anchor").agg(F.count("*").alias("n")).where(F.col("n") > policy.hub_degree).drop("n")
+    return degree.join(_asked(cases, anchors).select(*_ENV, "relation", "anchor"), [*_ENV, "relation", "anchor"], "left_semi")
+
+
+def bounded_support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: DataFrame, retrieved: DataFrame, policy: Policy) -> DataFrame:
+    """support(), of every name that can be among the first expansion_limit of its case, and of every retrieved name; exact for each of those.
+
+    Without hubs this is support(). A hub's edges are not multiplied by the cases that it anchors. What an anchor gives a name only adds to its counts, so a
+    name that only hubs speak for is among a case's best only if it is among the best of the hubs' own sum: of each distinct set of hubs that cases have,
+    edges are added up once, and the first names of that list, in the order of the ranking, are enough: as many as the limit and the retrieved names of a case, which don't count.
+    Those, the names that other anchors speak for, and the retrieved ones are looked up at the hubs. So rows are cases times limit times hubs of a
+    case, and the hubs' edges for each distinct set."""
+    busy = tabled(hubs(anchors, cases, pairs, policy))
+    if busy.isEmpty():
+        return support(cases, anchors, pairs, policy)
+    at = [*_ENV, "relation", "anchor"]
+    placed = anchors.join(cases.select("case_id", *_ENV), "case_id")
+    far = tabled(placed.join(busy, at, "left_semi"))
+    near = support(cases, placed.join(busy, at, "left_anti").drop(*_ENV), pairs, policy)
+    # the hubs of a case, as one key
+    sets = far.groupBy("case_id", *_ENV).agg(F.array_sort(F.collect_set(F.struct("relation", "anchor"))).alias("hubs")).withColumn("hub_set", F.sha2(F.to_json(F.struct(*_ENV, "hubs")), 256))
+    sets = tabled(sets)
+    parts = sets.select("hub_set", *_ENV, "hubs").dropDuplicates(["hub_set"]).select("hub_set", *_ENV, F.explode("hubs").alias("h")).select("hub_set", *_ENV, "h.*")
+    primary = F.col("at_primary")
+    leveled = _leveled(pairs, policy)
+    lists = []
+    for relation, end, other in (("callee", "dst_name", "src_name"), ("caller", "src_name", "dst_name")):
+        own = parts.where(F.col("relation") == relation)
+        lists.append(own.join(leveled, [*[own[c] == leveled[c] for c in _ENV], F.col("anchor") == F.col(end)]).select("hub_set", F.col(other).alias("name"), "at_primary", "levels"))
+    sums = lists[0].unionByName(lists[1]).groupBy("hub_set", "name").agg(F.sum(primary).alias("primary_support"), F.sum(F.col("levels") - primary).alias("auxiliary_support")).join(names, "name", "left_semi")
+    spoken = retrieved.select("case_id", "name").distinct()
+    most = spoken.join(sets.select("case_id", "hub_set"), "case_id").groupBy("hub_set", "case_id").agg(F.count("*").alias("n")).groupBy("hub_set").agg(F.max("n").alias("n"))
+    order = Window.partitionBy("hub_set").orderBy(F.desc("primary_support"), F.desc("auxiliary_support"), F.desc("name"))
+    # no case has more retrieved names than there are in the longest list, which is what a limit that is known beforehand has to be taken from
+    longest = most.agg(F.max("n")).first()[0] or 0
+    first = sums.withColumn("place", F.row_number().over(order)).where(F.col("place") <= policy.expansion_limit + longest).select("hub_set", "name")
+    best = sets.select("case_id", "hub_set").join(first, "hub_set").select("case_id", "name")
+    met = far.select("case_id").distinct()
+    others = near.select("case_id", "name").unionByName(spoken).join(met, "case_id", "left_semi")
+    wanted = best.unionByName(others).distinct()
+    # anchors that are no hubs speak for these names already, in near
+    return near.unionByName(looked_up(wanted, cases, far.drop(*_ENV), pairs, policy))
+
+
 def agreement(found: DataFrame, policy: Policy) -> DataFrame:
     """Of support(): for each case and name, how many anchors agree at the primary level (primary_matches) or at others alone (auxiliary_matches), and how many
     levels besides the primary one they agree at (auxiliary_support). What scores candidates finds new ones, too."""

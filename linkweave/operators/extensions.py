@@ -48,11 +48,15 @@ def strict_policy(**changes: object) -> Policy:
 
 def conflicts_by_margin(results: DataFrame, policy: Policy) -> DataFrame:
     """Of accepted results with one file and prediction the one with the larger margin stays, if that margin suffices; the others are deferred."""
-    margin = F.col("top_score") - F.coalesce("second_score", F.lit(0.0))
-    scope = Window.partitionBy("query_file", "predicted_function_name", "status")
-    ranked = results.withColumn("margin", F.round(margin, 6)).withColumn("place", F.row_number().over(scope.orderBy(F.desc("margin"), "case_id"))).withColumn("rivals", F.count("*").over(scope))
-    wins = (F.col("place") == 1) & (F.col("margin") >= policy.accept_margin)
-    return ranked.withColumn("resolved_status", F.when((F.col("status") == "accepted") & (F.col("rivals") > 1) & ~wins, "deferred").otherwise(F.col("status")))
+    results = results.withColumn("margin", F.round(F.col("top_score") - F.coalesce("second_score", F.lit(0.0)), 6))
+    scope = ["query_file", "predicted_function_name"]
+    # accepted ones alone are rivals, and the best of each group is an aggregate: cases without a prediction never meet
+    rivals = results.where((F.col("status") == "accepted") & truthy("predicted_function_name")).groupBy(*scope).agg(F.count("*").alias("rivals"), F.min(F.struct((-F.col("margin")).alias("m"), "case_id")).alias("best"))
+    rivals = rivals.where("rivals > 1").select(F.col("query_file").alias("__file"), F.col("predicted_function_name").alias("__name"), "rivals", F.col("best.case_id").alias("__winner"))
+    met = F.col("query_file").eqNullSafe(F.col("__file")) & (F.col("predicted_function_name") == F.col("__name")) & (F.col("status") == "accepted")
+    wins = (F.col("case_id") == F.col("__winner")) & (F.col("margin") >= policy.accept_margin)
+    joined = results.join(rivals, met, "left")
+    return joined.withColumn("resolved_status", F.when(F.col("rivals").isNotNull() & ~wins, "deferred").otherwise(F.col("status"))).drop("__file", "__name", "__winner")
 
 
 def propagate(step: Callable[[DataFrame], DataFrame], seeds: DataFrame) -> tuple[DataFrame, int]:

@@ -24,9 +24,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
-    """Registers a function of the tables under its own name."""
+    """Registers a function of the tables under its own name, which no other has."""
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = sql
@@ -132,6 +134,13 @@ def _expanded(t: Tables) -> DataFrame:
     return C.expansion(t.cases, _anchors(t), t.pairs, store.reference_names(t.functions), C.retrieval_candidates(t.listed), POLICY)
 
 
+def _top(t: Tables) -> DataFrame:
+    """The best expanded candidates, without multiplying hubs by the cases that they anchor."""
+    anchors, names, retrieved = _anchors(t), store.reference_names(t.functions), C.retrieval_candidates(t.listed)
+    counted = C.agreement(C.bounded_support(t.cases, anchors, t.pairs, names, retrieved, POLICY), POLICY)
+    return C.expansion_top(C.expansion(t.cases, anchors, t.pairs, names, retrieved, POLICY, counted), POLICY)
+
+
 def _run(t: Tables) -> runs.Scored:
     return runs.propagate_from_anchors(t.cases, t.neighbours, A.seed_anchors(t.mappings), t.listed, t.functions, t.pairs, POLICY)
 
@@ -252,7 +261,7 @@ def retrieval_top1(t: Tables) -> DataFrame:
 @query(EXPANDED + "SELECT case_id, coalesce(n, '') AS retrieval_top1 FROM cases LEFT JOIN (SELECT case_id, arg_min(name, pos) AS n FROM candidates GROUP BY case_id) USING (case_id)")
 def first_of_list(t: Tables) -> DataFrame:
     """E3."""
-    top = C.expansion_top(_expanded(t), POLICY)
+    top = _top(t)
     return C.first_of_list(t.cases, C.combined(C.retrieval_candidates(t.listed), top, POLICY))
 
 
@@ -265,13 +274,13 @@ def expand_candidates(t: Tables) -> DataFrame:
 @query(EXPANDED + "SELECT case_id, name, primary_support, auxiliary_support, place::INT AS place FROM placed")
 def expand_topk(t: Tables) -> DataFrame:
     """C4."""
-    return C.expansion_top(_expanded(t), POLICY).select("case_id", "name", "primary_support", "auxiliary_support", "place")
+    return _top(t).select("case_id", "name", "primary_support", "auxiliary_support", "place")
 
 
 @query(EXPANDED + "SELECT case_id, pos, name, prior, rank, candidate_source FROM candidates")
 def candidates_combined(t: Tables) -> DataFrame:
     """C5."""
-    return C.combined(C.retrieval_candidates(t.listed), C.expansion_top(_expanded(t), POLICY), POLICY)
+    return C.combined(C.retrieval_candidates(t.listed), _top(t), POLICY)
 
 
 # Scores, ranks, decisions (F, G)
@@ -624,14 +633,6 @@ def review_counts(t: Tables) -> DataFrame:
     return runs.review_run(_run(t), _features(t), POLICY)[1]
 
 
-@query(DECIDED + "SELECT case_id, 'dry-run' AS provider, 'prompt_exported' AS status, true AS names_case FROM results WHERE status <> 'accepted'")
-def prompt_dry_run(t: Tables) -> DataFrame:
-    """K1 to K3, K6."""
-    records = runs.review_run(_run(t), _features(t), POLICY)[0]
-    rows = analyst.dry_run(analyst.ordered(analyst.prompts(records)))
-    return rows.select("case_id", "provider", "status", F.contains("prompt", F.concat(F.lit('"case_id" : '), F.col("case_id").cast("string"))).alias("names_case"))
-
-
 @query("SELECT event_id, props AS props, CASE WHEN event_id % 3 = 2 THEN NULL ELSE json_extract_string(props, '$.k')::BIGINT END AS k FROM events")
 def parse_answer(t: Tables) -> DataFrame:
     """K4: JSON alone, with text around it, and cut off."""

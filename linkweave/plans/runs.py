@@ -27,8 +27,10 @@ class Scored:
     candidates: DataFrame
     #: Ranked candidates without evidence.
     scores: DataFrame
-    #: The edges that speak for any name (candidates.support()).
+    #: The edges that speak for scored names (candidates.bounded_support()).
     found: DataFrame
+    #: Pairs of the reference with their levels.
+    pairs: DataFrame
     policy: Policy
     #: Whether accepted results that claim one name are conflicts.
     exclusive: bool = False
@@ -39,8 +41,9 @@ class Scored:
         return scoring.with_evidence(self.scores, self.found, self.policy)
 
     def top(self, n: int) -> DataFrame:
-        """The first n of each case with their evidence, which is gathered for them alone."""
-        return scoring.with_evidence(D.top(self.scores, n), self.found, self.policy)
+        """The first n of each case with their evidence, which is looked up for them alone."""
+        shown = D.top(self.scores, n)
+        return scoring.with_evidence(shown, C.looked_up(shown.select("case_id", "name").distinct(), self.cases, self.anchors, self.pairs, self.policy), self.policy)
 
     @cached_property
     def results(self) -> DataFrame:
@@ -82,15 +85,18 @@ def levels(edges: DataFrame, policy: Policy) -> DataFrame:
 def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
     # anchors are read several times below
     anchors, pairs = tabled(anchors), levels(edges, policy)
-    found = C.support(cases, anchors, pairs, policy)
-    # what agrees with the anchors is read for the expansion and for retrieved names
-    counted = tabled(C.agreement(found, policy))
-    retrieved = C.retrieval_candidates(listed)
+    retrieved, names = C.retrieval_candidates(listed), store.reference_names(functions)
     top = None
     if policy.expansion_enabled:
-        top = C.expansion_top(C.expansion(cases, anchors, pairs, store.reference_names(functions), retrieved, policy, counted), policy)
+        found = C.bounded_support(cases, anchors, pairs, names, retrieved, policy)
+        # what agrees with the anchors is read for the expansion and for retrieved names
+        counted = tabled(C.agreement(found, policy))
+        top = C.expansion_top(C.expansion(cases, anchors, pairs, names, retrieved, policy, counted), policy)
+    else:
+        found = C.looked_up(retrieved.select("case_id", "name").distinct(), cases, anchors, pairs, policy)
+        counted = tabled(C.agreement(found, policy))
     candidates = C.combined(retrieved, top, policy, counted)
-    return Scored(cases, anchors, candidates, D.rerank(scoring.score_named(candidates, anchors, policy), policy), found, policy)
+    return Scored(cases, anchors, candidates, D.rerank(scoring.score_named(candidates, anchors, policy), policy), found, pairs, policy)
 
 
 def propagate_from_anchors(cases: DataFrame, neighbours: DataFrame, seeds: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:

@@ -1,10 +1,8 @@
-"""Registered queries of readers, sinks, documents and clients: each writes files from the test tables, reads them back and is compared with SQL over the tables."""
+"""Registered queries of readers, sinks, and documents: each writes files from the test tables, reads them back and is compared with SQL over the tables."""
 
 from __future__ import annotations
 
 import json
-import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +14,7 @@ from linkweave.plans import documents, runs
 from linkweave.plans.adapter import POLICY, VERSION, Tables
 from linkweave.plans.queries import CATEGORY, DECIDED, FEATURES, GRAPH, HYBRID_METRICS, REVIEW, _features, _records, _run, joined, millionths, query
 from linkweave.policy import Policy
-from linkweave.sources import http, readers, sinks
+from linkweave.sources import readers, sinks
 
 #: Files that a reader has to leave out, each for one reason.
 DECOYS = ("Lua_547/x86_64/O0/part0.json", "Lua_547/mips/O0/nostrip/part0.json", "Other/x86_64/O0/nostrip/part0.json", "Lua_547/x86_64/P0/nostrip/part0.json", "Lua_547/x86_64/O0/half/part0.json", "Lua_547/x86_64/O0/nostrip/part0.txt")
@@ -237,15 +235,8 @@ def expected_items(t: Tables) -> DataFrame:
     return readers.parse_expected(t.spark, [f"C{k}=old" for k, _ in names] + [f"C{k}={n}=x" for k, n in names]).withColumnRenamed("expected", "expected_function")
 
 
-@query("""SELECT * FROM (VALUES ('a/b.json', '/r', '/r/a/b.json'), ('a', '/r/', '/r/a'), ('/a/b', '/r', '/a/b'), ('hdfs://h/a', '/r', 'hdfs://h/a')) v(path, base, resolved)""")
-def resolved_paths(t: Tables) -> DataFrame:
-    """A5."""
-    given = [("a/b.json", "/r"), ("a", "/r/"), ("/a/b", "/r"), ("hdfs://h/a", "/r")]
-    return t.spark.createDataFrame([(p, b, readers.resolve_path(p, b)) for p, b in given], "path string, base string, resolved string")
-
-
-@query(GRAPH + """SELECT n.case_id, n.relation, n.pos, n.name AS anchor FROM (SELECT *, CASE WHEN pos = 0 AND relation = 'callee' THEN name END AS own FROM neighbours) n WHERE n.name IN (SELECT name FROM ref_names)
-  AND n.name NOT IN (SELECT name FROM neighbours s WHERE s.case_id = n.case_id AND relation = 'callee' AND pos = 0)""")
+@query(GRAPH + """, firsts AS (SELECT case_id, name FROM neighbours WHERE relation = 'callee' AND pos = 0)
+SELECT n.case_id, n.relation, n.pos, n.name AS anchor FROM neighbours n SEMI JOIN ref_names r ON r.name = n.name ANTI JOIN firsts f ON f.case_id = n.case_id AND f.name = n.name""")
 def self_calls(t: Tables) -> DataFrame:
     """Cases named as their first callee, which is then no neighbour of its own."""
     first = t.neighbours.where("relation = 'callee' AND pos = 0").select("case_id", F.col("name").alias("first"))
@@ -350,45 +341,3 @@ def evaluation_report(t: Tables) -> DataFrame:
 def review_report(t: Tables) -> DataFrame:
     """A line for each deferred case."""
     return documents.review_lines(runs.review_run(_run(t), _features(t), POLICY)[0])
-
-
-# Model servers
-
-
-class _Stub(BaseHTTPRequestHandler):
-    """A model server that answers what it was asked, and refuses the model `broken`."""
-
-    def do_POST(self) -> None:
-        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
-        fine = body["model"] != "broken"
-        told = json.dumps({"path": self.path, "stream": body.get("stream"), "format": body.get("format"), "temperature": body.get("options", body)["temperature"], "answer_format": body.get("response_format", {}).get("type"), "asked": body.get("prompt") or body["messages"][-1]["content"]})
-        self.send_response(200 if fine else 503)
-        self.end_headers()
-        self.wfile.write(json.dumps({"response": told, "choices": [{"message": {"content": told}}]}).encode() if fine else b"busy")
-
-    def log_message(self, *_: object) -> None:
-        pass
-
-
-@query("""SELECT k AS call, path, stream, format, temperature, answer_format, asked, error FROM (VALUES
-(1, '/api/generate', 'false', 'json', 100000::BIGINT, NULL, 'é?', NULL), (2, '/v1/chat/completions', NULL, NULL, 0::BIGINT, 'json_object', 'é?', NULL), (3, '/v1/chat/completions', NULL, NULL, 100000::BIGINT, NULL, 'é?', NULL),
-(4, NULL, NULL, NULL, NULL, NULL, NULL, 'HTTP 503: busy')) v(k, path, stream, format, temperature, answer_format, asked, error)""")
-def model_servers(t: Tables) -> DataFrame:
-    """What the clients ask of a server beside the driver, and what a refusal says."""
-    server = HTTPServer(("127.0.0.1", 0), _Stub)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    url = f"http://127.0.0.1:{server.server_port}"
-    calls = (http.ollama("m", url), http.chat_completions("m", f"{url}/v1", 0.0, json_only=True), http.chat_completions("m", f"{url}/v1/"), http.ollama("broken", f"{url}/"))
-    rows = []
-    try:
-        for k, ask in enumerate(calls, 1):
-            try:
-                rows.append((k, ask("é?"), None))
-            except http.Refused as e:
-                rows.append((k, None, str(e)))
-    finally:
-        server.shutdown()
-        server.server_close()
-    told = F.from_json("answer", "path string, stream string, format string, temperature double, answer_format string, asked string")
-    rows = t.spark.createDataFrame(rows, "call int, answer string, error string").withColumn("a", told)
-    return rows.select("call", "a.path", "a.stream", "a.format", millionths("a.temperature").alias("temperature"), "a.answer_format", F.element_at(F.split("a.asked", "\n\n"), -1).alias("asked"), "error")

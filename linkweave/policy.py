@@ -25,6 +25,8 @@ class Policy:
     expansion_enabled: bool = True
     expansion_prior: float = 0.65
     expansion_limit: int = 80
+    #: An anchor with more edges than this on its side is a hub, whose edges are not multiplied by its cases.
+    hub_degree: int = 4096
     exclude_prefixes: tuple[str, ...] = ()
     allow_visible_names: bool = False
     output_top_candidates: int = 5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +203,40 @@ def test_triggers_and_export(spark):
     assert got["3"]["scores"] == {"retrieval_prior": 0.9, "graph_score": 0.04, "final_score": 0.94} and got["3"]["final_candidate"] == {"reference_function_name": "y"}
     plain = {r["case_id"]: json.loads(r["mapping"]) for r in X.mapping_export(done.results).collect()}
     assert plain["3"]["evidence"] == [] and plain["3"]["status"] == "accepted"
+
+
+def _random_world(spark, seed):
+    rnd = random.Random(seed)
+    names = [f"n{k}" for k in range(40)]
+    refs = {(rnd.choice(names[:12] if rnd.random() < 0.6 else names), rnd.choice(names[:4] if rnd.random() < 0.5 else names), rnd.choice(["O0", "O2", "O3"])) for _ in range(260)}
+    cases = [str(k) for k in range(25)]
+    neighbours = [(c, r, k, n) for c in cases for r in ("callee", "caller") for k, n in enumerate(dict.fromkeys(rnd.choice(names[:6] if rnd.random() < 0.7 else names) for _ in range(rnd.randint(0, 4))))]
+    listed = [(c, k, n, round(rnd.random(), 3)) for c in cases for k, n in enumerate(rnd.choice(names) for _ in range(rnd.randint(0, 4)))]
+    return World(spark, sorted(refs), neighbours, listed, [(n, n) for n in names], external=("n3", "n17"))
+
+
+@pytest.mark.parametrize(("seed", "limit", "bonus"), [(1, 2, 0.0), (2, 7, 0.03)])
+def test_hubs_change_no_result(spark, seed, limit, bonus):
+    w, tops = _random_world(spark, seed), []
+    for degree in (10**9, 6, 0):
+        done = w.propagate(expansion_limit=limit, hub_degree=degree, mutual_bonus=bonus)
+        assert degree != 6 or not C.hubs(done.anchors, done.cases, done.pairs, done.policy).isEmpty()
+        tops.append(sorted(done.ranked.select("case_id", "name", "pos", "final_rank", "primary_matches", "auxiliary_matches", "missing_anchor_edges", "final_score", F.to_json("evidence")).collect(), key=str))
+    assert tops[0] == tops[1] == tops[2] and tops[0]
+
+
+def test_a_hub_is_not_multiplied_by_its_cases(spark):
+    """A name that 20,000 others call anchors 1,000 cases: 20 million edges meet cases without a bound."""
+    callers, cases, limit = 20_000, 1_000, 80
+    pairs = spark.range(callers).select(F.lit("Lua_547").alias("lua_version"), F.lit("x86_64").alias("architecture"), F.concat(F.lit("f"), "id").alias("src_name"), F.lit("hub").alias("dst_name"), F.when(F.col("id") % 3 == 0, F.array(F.lit("O0"), F.lit("O2"))).otherwise(F.array(F.lit("O2"))).alias("opt_levels"))
+    case = spark.range(cases).select("id", F.concat(F.lit("c"), "id").alias("case_id"), F.lit("m").alias("mode"), F.lit("f").alias("query_file"), F.lit("?").alias("query_func"), F.lit("Lua_547").alias("lua_version"), F.lit("x86_64").alias("architecture"))
+    anchors = case.select("case_id", F.lit("callee").alias("relation"), F.lit("hub").alias("anchor"), F.lit(0).alias("pos"), F.lit("hub").alias("query_name"))
+    retrieved = case.select("case_id", F.concat(F.lit("f"), F.col("id") * 3).alias("name"))
+    names = spark.range(callers).select(F.concat(F.lit("f"), "id").alias("name"))
+    found = C.bounded_support(case, anchors, pairs, names, retrieved, Policy())
+    assert found.count() <= cases * (limit + 2)
+    top = C.expansion_top(C.expansion(case, anchors, pairs, names, retrieved, Policy(), C.agreement(found, Policy())), Policy())
+    best = sorted((f"f{k}" for k in range(0, callers, 3)), reverse=True)
+    got = {r.case_id: r.names for r in top.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names")).collect()}
+    assert len(got) == cases
+    assert all(got[f"c{k}"] == [n for n in best if n != f"f{k * 3}"][:limit] for k in range(cases))
