@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkweave.functions import features as FF
 from linkweave.functions.names import name_summary, role_hint
@@ -718,6 +719,45 @@ def propagate_fixpoint(t: Tables) -> DataFrame:
     return X.propagate(step, seeds)[0]
 
 
+# Customers as each other's neighbours: of every four the first has its parts, the others know one another alone.
+CHAIN = GRAPH + """,
+case_r AS (SELECT case_id, query_func, architecture, case_id // 16 AS query_file FROM cases),
+nb AS (SELECT case_id, relation, name FROM neighbours WHERE case_id % 4 = 0 UNION ALL SELECT case_id, CASE WHEN case_id % 4 = 2 THEN 'caller' ELSE 'callee' END, 'C' || (case_id - 1) FROM cases WHERE case_id % 4 > 0),
+placed AS (SELECT 'S' || s_suppkey AS name, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier),
+li AS (SELECT case_id, pos, name, prior FROM listed WHERE case_id % 4 = 0 UNION ALL SELECT case_id, n_nationkey, 'N' || n_nationkey, 5e-1 FROM cases, nation WHERE case_id % 2 = 1
+  UNION ALL SELECT case_id, s_nationkey, name, 5e-1 FROM cases JOIN placed ON place = 1 + case_id // 4 % 3 WHERE case_id % 4 = 2),
+kn1 AS MATERIALIZED (SELECT name AS key, name AS ref FROM seeds)""" + "".join(f""",
+an{k} AS (SELECT DISTINCT case_id, relation, ref AS anchor FROM nb JOIN kn{k} ON key = nb.name),
+sc{k} AS (SELECT l.case_id, l.name, l.pos, l.prior, count(anchor) AS n, count(*) FILTER (list_contains(opt_levels, 'O0')) AS p, count(opt_levels) AS met FROM li l JOIN case_r c USING (case_id) LEFT JOIN an{k} a USING (case_id) LEFT JOIN pairs q
+  ON q.architecture = c.architecture AND q.src_name = CASE relation WHEN 'callee' THEN l.name ELSE anchor END AND q.dst_name = CASE relation WHEN 'callee' THEN anchor ELSE l.name END GROUP BY ALL),
+fi{k} AS (SELECT *, round(prior + (p * 4e-2 + (met - p) * 15e-3 - (n - met) * 2e-3), 6) AS f FROM sc{k}),
+rk{k} AS (SELECT *, row_number() OVER w AS r, lead(f) OVER w AS nxt FROM fi{k} WINDOW w AS (PARTITION BY case_id ORDER BY f DESC, p DESC, prior DESC, name DESC, pos)),
+st{k} AS (SELECT query_file, query_func, name AS predicted FROM rk{k} JOIN case_r USING (case_id) WHERE r = 1 AND n > 0 AND p > 0 AND f - coalesce(nxt, 0e0) >= 15e-3),
+ac{k} AS (SELECT query_func AS key, predicted AS ref FROM st{k} QUALIFY count(*) OVER (PARTITION BY query_file, predicted) = 1),
+kn{k + 1} AS MATERIALIZED (SELECT key, ref FROM kn{k} UNION ALL SELECT key, ref FROM ac{k} ANTI JOIN kn{k} USING (key))""" for k in range(1, 6))
+
+
+def _chain(t: Tables) -> runs.Propagated:
+    k = F.col("case_id") % 4
+    cases = t.cases.withColumn("query_file", F.floor(F.col("case_id") / 16))
+    others = cases.where(k > 0).select("case_id", F.when(k == 2, "caller").otherwise("callee").alias("relation"), F.lit(0).alias("pos"), F.concat(F.lit("C"), (F.col("case_id") - 1).cast("string")).alias("name"))
+    neighbours = t.neighbours.where(k == 0).unionByName(others)
+    half = F.lit(0.5)
+    nations = t.read("nation").select(F.col("n_nationkey").cast("int").alias("pos"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("name"))
+    odd = cases.where("case_id % 2 = 1").withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(24)))).join(nations, "pos").select("case_id", "pos", "name", half.alias("prior"))
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    suppliers = t.read("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_nationkey").cast("int").alias("pos"), place.alias("place")).where("place <= 3")
+    even = cases.where(k == 2).select("case_id", (F.floor(F.col("case_id") / 4) % 3 + 1).cast("int").alias("place")).join(suppliers, "place").select("case_id", "pos", "name", half.alias("prior"))
+    listed = t.listed.where(k == 0).select("case_id", "pos", "name", "prior").unionByName(odd).unionByName(even)
+    return runs.propagate_in_rounds(cases, neighbours, A.seed_anchors(t.mappings), listed, t.functions, t.pairs, Policy(expansion_enabled=False))
+
+
+@query(CHAIN + "SELECT key AS query_key, ref AS reference_function_name FROM kn6")
+def propagate_rounds(t: Tables) -> DataFrame:
+    """Four rounds at least, of which each scores only cases with a neighbour that has just been anchored."""
+    return _chain(t).known
+
+
 @query(REVIEW + """, every AS (SELECT *, coalesce(list_contains(reasons, 'no_candidates'), false) AS none FROM results),
 rivals AS (SELECT query_file, predicted, list(query_func ORDER BY query_func) AS names FROM results WHERE status = 'conflict' GROUP BY ALL),
 first AS (SELECT case_id, concat_ws('/', round(prior * 1000000)::BIGINT, round(graph_score * 1000000)::BIGINT, round(final_score * 1000000)::BIGINT) AS scores, array_to_string(evidence, ';') AS evidence FROM ranked WHERE final_rank = 1)

@@ -106,6 +106,56 @@ def propagate_from_anchors(cases: DataFrame, neighbours: DataFrame, seeds: DataF
     return replace(done, exclusive=True)
 
 
+@dataclass
+class Propagated:
+    """The end of a propagation in rounds."""
+
+    #: query_key, reference_function_name: seeds and what was accepted.
+    known: DataFrame
+    #: The last result of every case, conflicts marked: case_id, query_file, query_func, predicted_function_name, status, status_reasons.
+    results: DataFrame
+    #: How many cases each round scored.
+    scored: list[int]
+
+
+_STATE = ["case_id", "query_file", "query_func", "predicted_function_name", "status", "status_reasons"]
+
+
+def propagate_in_rounds(cases: DataFrame, neighbours: DataFrame, seeds: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Propagated:
+    """Accepted results become anchors until a round adds none, and each round scores only what the last one can have changed.
+
+    A case's candidates and scores depend on the anchors of its own neighbours alone, so after the first round only cases with a neighbour that has just
+    been anchored are scored again, with their part of the lists; their rows replace the old ones in a slim table of results. Conflicts are counted over that
+    whole table each round, as a case that moves away can free a name for another. A key that was accepted once stays. The rounds' tables are written to the
+    shared folder; of each, a count reaches the driver. A chain of accepted cases takes as many rounds as it is long."""
+    names = store.reference_names(functions)
+    pairs = levels(edges, policy)
+
+    def scored(cases: DataFrame, neighbours: DataFrame, listed: DataFrame, known: DataFrame) -> DataFrame:
+        anchors = A.anchored_neighbours(neighbours, cases, known, names, policy)
+        return _score_cases(cases, anchors, listed, functions, pairs, policy).results.select(*_STATE)
+
+    known = tabled(seeds.select("query_key", "reference_function_name"))
+    state = tabled(scored(cases, neighbours, listed, known))
+    sizes = [state.count()]
+    while True:
+        marked = D.conflicts(state)
+        accepted = marked.where((F.col("status") == "accepted") & truthy("query_func") & truthy("predicted_function_name"))
+        fresh = accepted.groupBy(F.col("query_func").alias("query_key")).agg(F.min("predicted_function_name").alias("reference_function_name"))
+        fresh = tabled(fresh.join(known, "query_key", "left_anti"))
+        if fresh.isEmpty():
+            return Propagated(known, marked, sizes)
+        known = tabled(known.unionByName(fresh))
+        changed = tabled(neighbours.join(fresh.select(F.col("query_key").alias("name")), "name", "left_semi").select("case_id").distinct())
+        n = changed.count()
+        if not n:
+            return Propagated(known, marked, sizes)
+        sizes.append(n)
+        part = [rows.join(changed, "case_id", "left_semi") for rows in (cases, neighbours, listed)]
+        again = scored(*part, known)
+        state = tabled(state.join(changed, "case_id", "left_anti").unionByName(again))
+
+
 def evaluate_hybrid(cases: DataFrame, neighbours: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
     """Visible names alone are anchors; results are for comparison with the expected names."""
     anchors = A.visible_neighbours(neighbours, cases, store.reference_names(functions), policy)

@@ -11,7 +11,7 @@ from linkweave.operators import anchors as A
 from linkweave.operators import candidates as C
 from linkweave.operators import decide, metrics, store
 from linkweave.operators import extensions as X
-from linkweave.plans.runs import evaluate_hybrid, propagate_from_anchors
+from linkweave.plans.runs import evaluate_hybrid, propagate_from_anchors, propagate_in_rounds
 from linkweave.policy import Policy
 from tests.test_minimal import edges
 
@@ -164,6 +164,21 @@ def test_propagation_reaches_a_fixpoint(spark):
     assert rounds == 3
 
 
+def test_rounds_score_only_what_has_changed(spark):
+    """Three chains, one of which frees a name for another when it moves on, against scoring all in each round."""
+    refs = [(f"f{k}", f"f{k + 1}", "O0") for k in range(6)] + [("g", "a", "O0"), ("h", "f1", "O0"), ("h", "f5", "O0")]
+    neighbours = [(str(k), "callee", 0, f"?{k + 1}") for k in range(5)] + [("5", "callee", 0, "a0"), ("8", "callee", 0, "a"), ("9", "callee", 0, "a"), ("9", "callee", 1, "?4"), ("9", "callee", 2, "?0")]
+    listed = [(str(k), 0, f"f{k}", 0.5) for k in range(6)] + [("8", 0, "g", 0.5), ("9", 0, "g", 0.5), ("9", 1, "h", 0.49)]
+    w = World(spark, refs, neighbours, listed, [("a0", "f6"), ("a", "a")])
+    policy = Policy(expansion_enabled=False)
+    step = lambda known: propagate_from_anchors(w.cases, w.neighbours, known, w.listed, w.functions, w.edges, policy).results
+    want, _ = X.propagate(step, w.seeds)
+    done = propagate_in_rounds(w.cases, w.neighbours, w.seeds, w.listed, w.functions, w.edges, policy)
+    assert sorted(map(tuple, done.known.collect())) == sorted(map(tuple, want.select("query_key", "reference_function_name").collect()))
+    assert by(done.results, "case_id", "status", "predicted_function_name") == by(step(want), "case_id", "status", "predicted_function_name")
+    assert done.scored[0] == 8 and len(done.scored) > 5 and max(done.scored[1:]) <= 2
+
+
 def test_propagation_has_no_most_rounds(spark):
     """A chain in which each round accepts the next function."""
     chain = spark.createDataFrame([(f"q{k}", f"q{k + 1}", f"r{k + 1}") for k in range(13)], "was string, query_func string, predicted_function_name string")
