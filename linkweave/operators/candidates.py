@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from linkweave.checkpoints import tabled
 from linkweave.functions.names import truthy
+from linkweave.operators.store import Pairs, pairs_at
 from linkweave.policy import Policy
 
 
@@ -32,7 +33,8 @@ _EDGE = ("case_id", "name", "relation", "pos", "neighbour", "src_name", "dst_nam
 _ENV = ["lua_version", "architecture"]
 
 
-def _leveled(pairs: DataFrame, policy: Policy) -> DataFrame:
+def _leveled(pairs: DataFrame | Pairs, end: str, policy: Policy) -> DataFrame:
+    pairs = pairs_at(pairs, end)
     # counted before anchors multiply the pairs; the lists themselves are carried only where they are read
     return pairs.select(*_ENV, "src_name", "dst_name", "opt_levels", F.array_contains("opt_levels", policy.primary_opt).cast("int").alias("at_primary"), F.size("opt_levels").alias("levels"))
 
@@ -41,36 +43,37 @@ def _asked(cases: DataFrame, anchors: DataFrame) -> DataFrame:
     return anchors.join(cases.select("case_id", *_ENV), "case_id").select("case_id", *_ENV, "relation", "anchor", "pos", F.col("query_name").alias("neighbour"))
 
 
-def support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, policy: Policy) -> DataFrame:
+def support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame | Pairs, policy: Policy) -> DataFrame:
     """Each edge of the reference between some name and an anchor of a case, on the anchor's side: case_id, name, relation, pos and
     neighbour (of the anchor), src_name, dst_name, opt_levels, at_primary (1 or 0) and levels (how many). Anchors are joined once with the
     pairs; nothing is looked up for a candidate."""
-    pairs, asked = _leveled(pairs, policy), _asked(cases, anchors)
+    asked = _asked(cases, anchors)
 
     def side(relation: str, end: str, other: str) -> DataFrame:
-        found = asked.where(F.col("relation") == relation).join(pairs, [*[asked[c] == pairs[c] for c in _ENV], F.col("anchor") == F.col(end)])
+        own = _leveled(pairs, end, policy)
+        found = asked.where(F.col("relation") == relation).join(own, [*[asked[c] == own[c] for c in _ENV], F.col("anchor") == F.col(end)])
         return found.withColumn("name", F.col(other)).select(*_EDGE)
 
     return side("callee", "dst_name", "src_name").unionByName(side("caller", "src_name", "dst_name"))
 
 
-def looked_up(wanted: DataFrame, cases: DataFrame, anchors: DataFrame, pairs: DataFrame, policy: Policy) -> DataFrame:
+def looked_up(wanted: DataFrame, cases: DataFrame, anchors: DataFrame, pairs: DataFrame | Pairs, policy: Policy) -> DataFrame:
     """The rows of support() for the names that are wanted (case_id, name, each once) alone: names are joined with the anchors of their case, and each
     pair is looked up. It makes a row for each name and anchor, whatever the anchors' degrees."""
     asked = wanted.select("case_id", "name").join(_asked(cases, anchors), "case_id")
     down = F.col("relation") == "callee"
     asked = asked.withColumns({"src_name": F.when(down, F.col("name")).otherwise(F.col("anchor")), "dst_name": F.when(down, F.col("anchor")).otherwise(F.col("name"))})
-    return asked.join(_leveled(pairs, policy), [*_ENV, "src_name", "dst_name"]).select(*_EDGE)
+    return asked.join(_leveled(pairs, "src_name", policy), [*_ENV, "src_name", "dst_name"]).select(*_EDGE)
 
 
-def hubs(anchors: DataFrame, cases: DataFrame, pairs: DataFrame, policy: Policy) -> DataFrame:
+def hubs(anchors: DataFrame, cases: DataFrame, pairs: DataFrame | Pairs, policy: Policy) -> DataFrame:
     """Anchors that more than hub_degree edges meet on the side that is asked for: environment, relation, anchor."""
-    ends = F.explode(F.array(F.struct(F.lit("callee").alias("relation"), F.col("dst_name").alias("anchor")), F.struct(F.lit("caller").alias("relation"), F.col("src_name").alias("anchor")))).alias("e")
-    degree = pairs.select(*_ENV, ends).groupBy(*_ENV, "e.relation", "e.anchor").agg(F.count("*").alias("n")).where(F.col("n") > policy.hub_degree).drop("n")
+    sides = [pairs_at(pairs, end).groupBy(*_ENV, F.col(end).alias("anchor")).agg(F.count("*").alias("n")).withColumn("relation", F.lit(r)) for r, end in (("callee", "dst_name"), ("caller", "src_name"))]
+    degree = sides[0].unionByName(sides[1]).where(F.col("n") > policy.hub_degree).drop("n")
     return degree.join(_asked(cases, anchors).select(*_ENV, "relation", "anchor"), [*_ENV, "relation", "anchor"], "left_semi")
 
 
-def bounded_support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: DataFrame, retrieved: DataFrame, policy: Policy) -> DataFrame:
+def bounded_support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame | Pairs, names: DataFrame, retrieved: DataFrame, policy: Policy) -> DataFrame:
     """support(), of every name that can be among the first expansion_limit of its case, and of every retrieved name; exact for each of those.
 
     Without hubs this is support(). A hub's edges are not multiplied by the cases that it anchors. What an anchor gives a name only adds to its counts, so a
@@ -90,9 +93,9 @@ def bounded_support(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, name
     sets = tabled(sets)
     parts = sets.select("hub_set", *_ENV, "hubs").dropDuplicates(["hub_set"]).select("hub_set", *_ENV, F.explode("hubs").alias("h")).select("hub_set", *_ENV, "h.*")
     primary = F.col("at_primary")
-    leveled = _leveled(pairs, policy)
     lists = []
     for relation, end, other in (("callee", "dst_name", "src_name"), ("caller", "src_name", "dst_name")):
+        leveled = _leveled(pairs, end, policy)
         own = parts.where(F.col("relation") == relation)
         lists.append(own.join(leveled, [*[own[c] == leveled[c] for c in _ENV], F.col("anchor") == F.col(end)]).select("hub_set", F.col(other).alias("name"), "at_primary", "levels"))
     sums = lists[0].unionByName(lists[1]).groupBy("hub_set", "name").agg(F.sum(primary).alias("primary_support"), F.sum(F.col("levels") - primary).alias("auxiliary_support")).join(names, "name", "left_semi")
@@ -122,7 +125,7 @@ def agreement(found: DataFrame, policy: Policy) -> DataFrame:
     return found.groupBy("case_id", "name").agg(*counts)
 
 
-def expansion(cases: DataFrame, anchors: DataFrame, pairs: DataFrame, names: DataFrame, retrieved: DataFrame, policy: Policy, counted: DataFrame | None = None) -> DataFrame:
+def expansion(cases: DataFrame, anchors: DataFrame, pairs: DataFrame | Pairs, names: DataFrame, retrieved: DataFrame, policy: Policy, counted: DataFrame | None = None) -> DataFrame:
     """Reference names that call an anchored callee or are called by an anchored caller, with the support of each; every
     level at which an edge is seen counts once. pairs: as of operators.store.pair_levels(); counted: agreement(), if it is there already."""
     counted = agreement(support(cases, anchors, pairs, policy), policy) if counted is None else counted

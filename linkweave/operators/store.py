@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,6 +88,27 @@ def pair_levels(edges: DataFrame, strip_mode: str = "nostrip", edge_types: tuple
     return rows.groupBy("lua_version", "architecture", "src_name", "dst_name").agg(F.array_sort(F.collect_set("opt_level")).alias("opt_levels"))
 
 
+def all_pair_levels(edges: DataFrame) -> DataFrame:
+    """pair_levels() of calls in every strip mode, which is a column."""
+    rows = edges.where((F.col("graph_role") == "reference") & (F.col("edge_type") == "calls"))
+    return rows.groupBy("lua_version", "architecture", "strip_mode", "src_name", "dst_name").agg(F.array_sort(F.collect_set("opt_level")).alias("opt_levels"))
+
+
+@dataclass(frozen=True)
+class Pairs:
+    """Pairs with their levels, as stored twice: dealt by callee and by caller."""
+
+    by_callee: DataFrame
+    by_caller: DataFrame
+
+
+def pairs_at(pairs: DataFrame | Pairs, end: str) -> DataFrame:
+    """Pairs for a join on one end, src_name or dst_name."""
+    if isinstance(pairs, Pairs):
+        return pairs.by_callee if end == "dst_name" else pairs.by_caller
+    return pairs
+
+
 def callees_of(edges: DataFrame, name: str) -> DataFrame:
     """What a function calls."""
     return edges.where(F.col("src_name") == name).select("dst_name", *LEVELS).distinct()

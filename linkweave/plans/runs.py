@@ -30,7 +30,7 @@ class Scored:
     #: The edges that speak for scored names (candidates.bounded_support()).
     found: DataFrame
     #: Pairs of the reference with their levels.
-    pairs: DataFrame
+    pairs: DataFrame | store.Pairs
     policy: Policy
     #: Whether accepted results that claim one name are conflicts.
     exclusive: bool = False
@@ -77,12 +77,12 @@ def build_store(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return store.functions(features), store.edges(features), store.build_counts(features)
 
 
-def levels(edges: DataFrame, policy: Policy) -> DataFrame:
-    """Pairs with their levels: of edges, or, where edges are such pairs already, as of a stored graph, they themselves."""
-    return edges if "opt_levels" in edges.columns else tabled(store.pair_levels(edges, policy.strip_mode))
+def levels(edges: DataFrame | store.Pairs, policy: Policy) -> DataFrame | store.Pairs:
+    """Pairs with their levels: of edges, or, where edges are such pairs already, as of a stored graph (sources.sinks.read_pairs()), they themselves."""
+    return edges if isinstance(edges, store.Pairs) or "opt_levels" in edges.columns else tabled(store.pair_levels(edges, policy.strip_mode))
 
 
-def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
+def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame | store.Pairs, policy: Policy) -> Scored:
     # anchors are read several times below
     anchors, pairs = tabled(anchors), levels(edges, policy)
     retrieved, names = C.retrieval_candidates(listed), store.reference_names(functions)
@@ -99,7 +99,7 @@ def _score_cases(cases: DataFrame, anchors: DataFrame, listed: DataFrame, functi
     return Scored(cases, anchors, candidates, D.rerank(scoring.score_named(candidates, anchors, policy), policy), found, pairs, policy)
 
 
-def propagate_from_anchors(cases: DataFrame, neighbours: DataFrame, seeds: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
+def propagate_from_anchors(cases: DataFrame, neighbours: DataFrame, seeds: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame | store.Pairs, policy: Policy) -> Scored:
     """Seeds and, if allowed, visible names anchor the neighbours; every case is decided, and conflicts are marked."""
     anchors = A.anchored_neighbours(neighbours, cases, seeds, store.reference_names(functions), policy)
     done = _score_cases(cases, anchors, listed, functions, edges, policy)
@@ -121,7 +121,7 @@ class Propagated:
 _STATE = ["case_id", "query_file", "query_func", "predicted_function_name", "status", "status_reasons"]
 
 
-def propagate_in_rounds(cases: DataFrame, neighbours: DataFrame, seeds: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Propagated:
+def propagate_in_rounds(cases: DataFrame, neighbours: DataFrame, seeds: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame | store.Pairs, policy: Policy) -> Propagated:
     """Accepted results become anchors until a round adds none, and each round scores only what the last one can have changed.
 
     A case's candidates and scores depend on the anchors of its own neighbours alone, so after the first round only cases with a neighbour that has just
@@ -156,7 +156,7 @@ def propagate_in_rounds(cases: DataFrame, neighbours: DataFrame, seeds: DataFram
         state = tabled(state.join(changed, "case_id", "left_anti").unionByName(again))
 
 
-def evaluate_hybrid(cases: DataFrame, neighbours: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame, policy: Policy) -> Scored:
+def evaluate_hybrid(cases: DataFrame, neighbours: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame | store.Pairs, policy: Policy) -> Scored:
     """Visible names alone are anchors; results are for comparison with the expected names."""
     anchors = A.visible_neighbours(neighbours, cases, store.reference_names(functions), policy)
     return _score_cases(cases, anchors, listed, functions, edges, policy)

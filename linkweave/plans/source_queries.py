@@ -87,7 +87,7 @@ def store_metadata(t: Tables) -> DataFrame:
     """A12."""
     path, root = fresh(t.spark, "store"), _tree(t)
     runs.build_tree(t.spark, root, path)
-    return t.spark.read.parquet(f"{path}/metadata").select("key", F.when(F.col("value") == root, "the tree").otherwise(F.col("value")).alias("value"))
+    return sinks.read_metadata(t.spark, path).select("key", F.when(F.col("value") == root, "the tree").otherwise(F.col("value")).alias("value"))
 
 
 @query("SELECT * FROM (VALUES (1, 'no files', 'refused'), (2, 'new', 'written'), (3, 'there already', 'refused'), (4, 'replace', 'written')) v(step, case_name, outcome)")

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.checkpoints import fresh
+from linkweave.checkpoints import fresh, tabled
+from linkweave.operators.store import Pairs, all_pair_levels
 from linkweave.sources import schemas
 
 PARTITIONS = ("lua_version", "architecture", "strip_mode")
 STORE_VERSION = "0.1"
+COMMITS = "_commits"
+#: A store's tables of pairs, and the end by which each is in buckets.
+ENDS = {"pairs_by_callee": "dst_name", "pairs_by_caller": "src_name"}
+ENV_KEYS = ("lua_version", "architecture")
+#: Fewer buckets than shuffle partitions would have Spark shuffle them after all.
+LEAST_BUCKETS = 16
 
 
 def metadata_rows(root: str, source: str = "feature_tree") -> dict[str, str]:
@@ -19,33 +28,112 @@ def metadata_rows(root: str, source: str = "feature_tree") -> dict[str, str]:
     return {"schema_version": STORE_VERSION, "source": source, "input_root": root, "graph_role": "reference", "storage_model": "parquet_edge_list"}
 
 
-def write_store(functions: DataFrame, edges: DataFrame, path: str, metadata: dict[str, str] | None = None, replace: bool = False) -> None:
-    """The three tables of a store below path; an existing one is refused unless replace is set.
+class _Folder:
+    """A folder of a Hadoop file system."""
 
-    They are written beside path and moved there when all are whole: a build that fails leaves the store that was there as it was."""
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.path = path.rstrip("/")
+        self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self.fs = self.at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, name: str) -> JavaObject:
+        return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self.at(name))) if self.fs.exists(self.at(name)) else []
+
+    def remove(self, name: str) -> None:
+        self.fs.delete(self.at(name), True)
+
+
+def _commits(folder: _Folder) -> list[str]:
+    """Names of the store's commits, the last one last; those that are being written begin with a dot."""
+    return [n for n in folder.names(COMMITS) if not n.startswith(".")]
+
+
+def write_store(functions: DataFrame, edges: DataFrame, path: str, metadata: dict[str, str] | None = None, replace: bool = False, buckets: int | None = None) -> None:
+    """A store below path: functions, edges, metadata, and the edges' pairs twice, in buckets by caller and by callee; a store that is there is
+    refused unless replace is set.
+
+    Tables go into a folder of their own; the commit is one small file with that folder's name, which gets a number of its own by a rename, last. Readers take the
+    last commit, so they see the old store or the new one whole, whatever fails in between, and of two writers one is refused. The version
+    before the last is kept for those who read it still, older ones are removed."""
     spark = functions.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, held = hadoop.Path(path.rstrip("/")), f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target) and not replace:
+    folder, version = _Folder(spark, path), f"version-{uuid.uuid4().hex}"
+    before = _commits(folder)
+    if before and not replace:
         raise FileExistsError(f"there is a store at {path}")
+    held = f"{folder.path}/{version}"
     try:
         # rows of an environment are dealt by name, so that a lookup by name reads few row groups
         functions.repartition(*PARTITIONS, "function_name").sortWithinPartitions("function_name").write.partitionBy(*PARTITIONS).parquet(f"{held}/functions")
         edges.repartition(*PARTITIONS, "src_name").sortWithinPartitions("src_name", "dst_name").write.partitionBy(*PARTITIONS).parquet(f"{held}/edges")
+        n = buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        calls = tabled(all_pair_levels(edges))
+        for name, end in ENDS.items():
+            keys = [*ENV_KEYS, end]
+            # a task writes whole buckets: dealt as buckets are, a file each
+            dealt = calls.repartition(n, *keys)
+            dealt.write.bucketBy(n, *keys).sortBy(end).option("path", f"{held}/{name}").format("parquet").saveAsTable(_catalog_name(f"{held}/{name}"))
+            spark.sql(f"DROP TABLE {_catalog_name(f'{held}/{name}')}")  # its name alone
         spark.createDataFrame(sorted((metadata or {}).items()), schemas.METADATA).coalesce(1).write.parquet(f"{held}/metadata")
+        spark.createDataFrame([(version, n)], "version string, buckets int").coalesce(1).write.json(f"{folder.path}/{COMMITS}/.{version}")
+        number = f"{int(before[-1]) + 1 if before else 1:012d}"
+        if folder.fs.exists(folder.at(f"{COMMITS}/{number}")) or not folder.fs.rename(folder.at(f"{COMMITS}/.{version}"), folder.at(f"{COMMITS}/{number}")):
+            raise FileExistsError(f"another store was committed at {path} meanwhile")
     except BaseException:
-        fs.delete(hadoop.Path(held), True)
+        folder.remove(version)
+        folder.remove(f"{COMMITS}/.{version}")
+        if not before:
+            for name in (COMMITS, ""):
+                if not folder.names(name):
+                    folder.remove(name)
         raise
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(hadoop.Path(held), target):
-        raise OSError(f"the store at {held} could not be moved to {path}")
+    for old in before[:-1]:
+        row = spark.read.json(f"{folder.path}/{COMMITS}/{old}").first()
+        folder.remove(f"{COMMITS}/{old}")
+        folder.remove(row["version"])
+
+
+def _catalog_name(path: str) -> str:
+    """The session's name of a table in buckets; the files know nothing of it."""
+    return f"linkweave_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+
+
+def stored(spark: SparkSession, path: str) -> tuple[str, int]:
+    """The folder of the store's last commit, and in how many buckets its pairs are."""
+    folder = _Folder(spark, path)
+    commits = _commits(folder)
+    if not commits:
+        raise FileNotFoundError(f"there is no store at {path}")
+    row = spark.read.schema("version string, buckets int").json(f"{folder.path}/{COMMITS}/{commits[-1]}").first()
+    return f"{folder.path}/{row['version']}", row["buckets"]
 
 
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Functions and edges of a store."""
-    return spark.read.schema(schemas.FUNCTIONS).parquet(f"{path}/functions"), spark.read.schema(schemas.EDGES).parquet(f"{path}/edges")
+    held, _ = stored(spark, path)
+    return spark.read.schema(schemas.FUNCTIONS).parquet(f"{held}/functions"), spark.read.schema(schemas.EDGES).parquet(f"{held}/edges")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Key and value."""
+    return spark.read.schema(schemas.METADATA).parquet(f"{stored(spark, path)[0]}/metadata")
+
+
+def read_pairs(spark: SparkSession, path: str, strip_mode: str = "nostrip") -> Pairs:
+    """The pairs of a store with their levels, in buckets by callee and by caller: what is joined with them by one of these is dealt as the buckets are, and they stay.
+
+    Buckets are known to the session's catalog alone, so their tables are named in it; dropping those names leaves the files."""
+    held, n = stored(spark, path)
+    tables = []
+    for name, end in ENDS.items():
+        table = _catalog_name(f"{held}/{name}")
+        place = f"{held}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+        columns = "lua_version STRING, architecture STRING, strip_mode STRING, src_name STRING, dst_name STRING, opt_levels ARRAY<STRING>"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet CLUSTERED BY ({', '.join([*ENV_KEYS, end])}) SORTED BY ({end}) INTO {n} BUCKETS LOCATION '{place}'")
+        tables.append(spark.table(table).where(F.col("strip_mode") == strip_mode).drop("strip_mode"))
+    return Pairs(*tables)
 
 
 def write_documents(rows: DataFrame, path: str, replace: bool = False) -> None:

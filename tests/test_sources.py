@@ -92,6 +92,77 @@ def test_files_of_many_lines(spark, tmp_path):
     assert [(r["row"], r["function_name"], r["callees"]) for r in readers.read_features(spark, str(tmp_path)).orderBy("row").collect()] == [(0, "f", ["g"]), (1, "g", None)]
 
 
+def test_a_store_is_committed_by_its_last_rename(spark, tree, tmp_path, monkeypatch):
+    features = readers.read_features(spark, tree)
+    functions, edges = store.functions(features), store.edges(features)
+    path = str(tmp_path / "store")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_store(spark, path)
+    sinks.write_store(functions, edges, path, {"k": "first"})
+    commits = tmp_path / "store" / sinks.COMMITS
+    reader = sinks.read_store(spark, path)[1]
+
+    def broken(self, at):
+        if at.endswith("2"):
+            commits.joinpath("000000000002").touch()  # another writer was there first
+        return original(self, at)
+
+    original = sinks._Folder.at
+    monkeypatch.setattr(sinks._Folder, "at", broken)
+    with pytest.raises(FileExistsError, match="meanwhile"):
+        sinks.write_store(functions, edges, path, {"k": "second"}, replace=True)
+    monkeypatch.setattr(sinks._Folder, "at", original)
+    commits.joinpath("000000000002").unlink()
+    assert [r["value"] for r in sinks.read_metadata(spark, path).collect()] == ["first"]
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("version-")]) == 1
+    for k in ("third", "fourth"):
+        sinks.write_store(functions, edges.limit(2), path, {"k": k}, replace=True)
+        assert [r["value"] for r in sinks.read_metadata(spark, path).collect()] == [k]
+        # who read the version before still can
+        assert reader.count() == (edges.count() if k == "third" else 2)
+        reader = sinks.read_store(spark, path)[1]
+    assert len([p for p in (tmp_path / "store").iterdir() if p.name.startswith("version-")]) == 2
+
+
+def test_pairs_in_buckets_are_not_shuffled(spark, tree, tmp_path):
+    from linkweave.operators import candidates as C
+    from linkweave.policy import Policy
+
+    path = str(tmp_path / "store")
+    rows = [(f"f{k}", f"g{k % 7}", "calls", "reference", "Lua_547", "x86_64", o, s) for k in range(60) for o in ("O0", "O2")[: 1 + k % 2] for s in ("nostrip", "stripped")]
+    edges = spark.createDataFrame(rows, "src_name string, dst_name string, edge_type string, graph_role string, lua_version string, architecture string, opt_level string, strip_mode string")
+    functions = spark.createDataFrame([("f0", "Lua_547", "x86_64", "nostrip")], "function_name string, lua_version string, architecture string, strip_mode string")
+    sinks.write_store(functions, edges, path)
+    pairs = sinks.read_pairs(spark, path)
+    want = store.pair_levels(edges)
+    for side in (pairs.by_callee, pairs.by_caller):
+        assert sorted(map(str, side.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    cases = spark.createDataFrame([(k, "Lua_547", "x86_64") for k in range(9)], "case_id long, lua_version string, architecture string")
+    anchors = spark.createDataFrame([(k, r, f"{n}{k}", 0, "q") for k in range(9) for r, n in (("callee", "g"), ("caller", "f"))], "case_id long, relation string, anchor string, pos int, query_name string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = C.support(cases, anchors, pairs, Policy())
+        plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, found.collect())) == sorted(map(str, C.support(cases, anchors, want, Policy()).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    lines = plan.split("\n")
+    for k, line in enumerate(lines):
+        if "FileScan parquet" in line and "linkweave_" in line:
+            # upwards to the join: no exchange
+            depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+            at, above = depth(line), []
+            for up in reversed(lines[:k]):
+                if depth(up) < at:
+                    at = depth(up)
+                    above.append(up)
+                    if "Join" in up:
+                        break
+            assert not any("Exchange" in x for x in above), plan
+    assert "Bucketed: true" in plan and plan.count("FileScan parquet") >= 2
+
+
 def test_tree_to_store_and_back(spark, tree, tmp_path):
     from linkweave.plans import runs
 
@@ -101,7 +172,7 @@ def test_tree_to_store_and_back(spark, tree, tmp_path):
     path = str(tmp_path / "store")
     lines = runs.build_tree(spark, tree, path)
     assert lines[:2] == [f"[OK] wrote store: {path}", "Feature files : 3"] and lines[-1] == "  Lua_547 x86_64  O2 stripped functions=1"
-    assert {r["key"]: r["value"] for r in spark.read.parquet(f"{path}/metadata").collect()} == sinks.metadata_rows(tree)
+    assert {r["key"]: r["value"] for r in sinks.read_metadata(spark, path).collect()} == sinks.metadata_rows(tree)
     with pytest.raises(FileExistsError):
         runs.build_tree(spark, tree, path)
     root = str(tmp_path / "again")
