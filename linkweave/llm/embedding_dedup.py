@@ -9,8 +9,9 @@ Equal vectors are one class, which goes into the index once with the number of i
 tile by tile. A tile's links become counts for each class and a spanning forest, so pairs are never written out. Lists of
 over `tile` classes are cut into tiles, every two of which meet in a task of their own.
 
-Bounds (parameters): pivots are chosen, farthest first, from a sample of twice as many vectors, SAMPLE at least, the only ones that
-reach the driver; every vector is indexed. Their number grows with the square root of the table up to MOST_PIVOTS, that is up to 10 ** 9
+Bounds (parameters): pivots are chosen from a sample of twice as many vectors, SAMPLE at least, the only ones that reach the driver: the first FARTHEST of them
+farthest first, one after another, the others as the sample has them; every vector is indexed. The more pivots there are, the less do two vectors' nearest ones
+agree, so prefixes grow with the pivots (prefix_for()), and recall stays. Their number grows with the square root of the table up to MOST_PIVOTS, that is up to 10 ** 9
 different vectors, so that all lists together grow with the table's power of 1.5. Recall is measured in the tests.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows with a null
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from linkweave.llm.common import checkpointed, components, frugal, labelled, partitions, whole_groups
 
-SAMPLE, MOST_PIVOTS, PREFIX, SHARED, TILE = 4096, 1 << 16, 14, 4, 4096
+SAMPLE, MOST_PIVOTS, FARTHEST, PREFIX, SHARED, TILE = 4096, 1 << 16, 1024, 14, 4, 4096
 
 
 def unit(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,18 +54,27 @@ def _unit(flat: pa.Array, lengths: np.ndarray, width: int) -> tuple[np.ndarray,
     return rows, x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def prefix_for(pivots: int, prefix: int = PREFIX) -> int:
+    """How many nearest pivots describe a vector: two more for each doubling of the pivots beyond 2,048."""
+    return prefix + 2 * max(0, (pivots - 1).bit_length() - 11)
+
+
 def choose_pivots(x: np.ndarray, n: int, alike: float = 0.8) -> np.ndarray:
-    """Up to n rows of x, farthest first; none is closer than the cosine `alike` to one before it, while there are others."""
+    """Up to n rows of x, the first FARTHEST farthest first; none of those is closer than the cosine `alike` to one before it, while there are others.
+
+    The others are the first rows that aren't as close to one of those: no step is made for each of them."""
     if not len(x):
         return x
     chosen, nearest = [0], x @ x[0]
-    while len(chosen) < min(n, len(x)):
+    while len(chosen) < min(n, FARTHEST, len(x)):
         k = int(nearest.argmin())
         if nearest[k] >= alike and len(chosen) >= PREFIX:
             break
         chosen.append(k)
         nearest = np.maximum(nearest, x @ x[k])
         nearest[chosen] = np.inf
+    if len(chosen) == FARTHEST < n:
+        chosen += np.flatnonzero(nearest < alike)[: n - FARTHEST].tolist()
     return x[chosen]
 
 
@@ -126,7 +136,8 @@ def _pivots(usable: DataFrame, total: int, prefix: int, shared: int) -> tuple[np
     pivots = choose_pivots(sample, wanted)
     if not len(pivots):
         return None
-    prefix = min(prefix, len(pivots))
+    pivots, sample = pivots.astype(np.float32), sample.astype(np.float32)
+    prefix = min(prefix_for(len(pivots), prefix), len(pivots))
     often = np.bincount(nearest_pivots(sample, pivots, prefix).ravel(), minlength=len(pivots))
     return pivots[np.argsort(often, kind="stable")], prefix, min(shared, prefix)
 
@@ -172,7 +183,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, prefix: int = PREFI
                 at, x = _unit(values.flatten(), lengths, pivots.shape[1])
                 if not len(at):
                     continue
-                near = np.sort(nearest_pivots(x, pivots, prefix), axis=1).astype(np.int32) + np.int32(start)
+                near = np.sort(nearest_pivots(x.astype(np.float32), pivots, prefix), axis=1).astype(np.int32) + np.int32(start)
                 lists = [pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * k, pa.array(np.ascontiguousarray(near[:, :k]).ravel())) for k in (prefix, prefix - shared + 1)]
                 packed = np.concatenate([near.view(np.uint8), x.view(np.uint8)], axis=1)
                 buffers = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(at), [None, pa.py_buffer(packed.tobytes())])

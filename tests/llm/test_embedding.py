@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
 from linkweave.llm import embedding_dedup as E
 from linkweave.llm.common import labelled
@@ -49,6 +50,33 @@ def test_against_brute_force(spark):
         assert (got.kept.values == (got.index.values == got.component_id.values)).all()
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("d", [32, 64, 128])
+@pytest.mark.parametrize("n", [2048, 8192, 32768, 65536])
+def test_recall_does_not_fall_with_the_pivots(n, d):
+    """Pairs just above the threshold, in tables of up to a thousand million vectors by the number of their pivots."""
+    rng = np.random.default_rng(n + d)
+    a, z = unit(rng.normal(size=(400, d))), rng.normal(size=(400, d))
+    z, c = unit(z - (z * a).sum(1, keepdims=True) * a), rng.uniform(0.9, 0.92, size=(400, 1))
+    pivots = unit(rng.normal(size=(n, d))).astype(np.float32)
+    near = [E.nearest_pivots(x.astype(np.float32), pivots, E.prefix_for(n)) for x in (a, c * a + np.sqrt(1 - c * c) * z)]
+    met = [len(np.intersect1d(x, y)) >= E.SHARED for x, y in zip(*near, strict=True)]
+    assert np.mean(met) >= 0.97
+
+
+def test_many_pivots_are_chosen_without_a_step_each():
+    x = unit(np.random.default_rng(4).normal(size=(9000, 24)))
+    pivots = E.choose_pivots(x, 4096)
+    assert len(pivots) == len(np.unique(pivots, axis=0)) == 4096
+    close = pivots @ pivots[: E.FARTHEST].T
+    close[np.arange(E.FARTHEST), np.arange(E.FARTHEST)] = 0
+    assert close.max() < 0.8
+    assert len(E.choose_pivots(np.repeat(x[:1], 3000, 0), 2048)) == E.PREFIX
+
+
 def test_rows_that_link_with_nothing(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 1), (3, None, 0), (4, [0.0, 0.0], 0), (5, [float("nan"), 1.0], 0), (6, [float("inf"), 1.0], 0), (7, [1.0, None], 0), (8, [1.0, 0.0, 0.0], 0), (9, [], 0), (None, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (10, [1e-30, 0.0], 0)]
     df = spark.createDataFrame(rows, SCHEMA)
