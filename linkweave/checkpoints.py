@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,9 +27,32 @@ def shared(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has yet."""
-    return f"{shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+#: Applications whose folder is removed when the interpreter ends.
+_ENDING: set[str] = set()
+#: What is written while released() holds, the innermost last.
+_HELD: list[list[str]] = []
+
+
+def fresh(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A path in the shared folder that nothing has yet; what is written there goes when the interpreter ends, or before: discard() and, unless it is lasting, released()."""
+    context = spark.sparkContext
+    folder = f"{shared(spark).rstrip('/')}/linkweave-{context.applicationId}"
+    if folder not in _ENDING:
+        _ENDING.add(folder)
+        atexit.register(_remove, context, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    if _HELD and not lasting:
+        _HELD[-1].append(path)
+    return path
+
+
+def _remove(context: SparkContext, path: str) -> None:
+    if context._jsc is None:  # the session has ended: local folders alone can be reached
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+        return
+    with contextlib.suppress(Exception):  # py4j's, if the JVM has ended
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -33,9 +61,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def tabled(df: DataFrame) -> DataFrame:
+def tabled(df: DataFrame, lasting: bool = False) -> DataFrame:
     """df, written as a table in the shared folder and read again: unlike written() with its size known, so that small ones are broadcast
     without a shuffle, and with columns read as they are asked for."""
-    path = fresh(df.sparkSession, "table")
+    path = fresh(df.sparkSession, "table", lasting)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes what tabled() wrote for this table; nothing may read it any more."""
+    _remove(table.sparkSession.sparkContext, table.stored_at)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written meanwhile is removed at the end, but for tables given to the function that this yields, which returns them.
+
+    Results that aren't computed inside, or kept, can't be computed afterwards."""
+    _HELD.append([])
+
+    def keep(table: DataFrame) -> DataFrame:
+        for paths in _HELD:
+            if table.stored_at in paths:
+                paths.remove(table.stored_at)
+                if paths is not _HELD[0]:
+                    _HELD[_HELD.index(paths) - 1].append(table.stored_at)
+                break
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in _HELD.pop():
+            _remove(spark.sparkContext, path)

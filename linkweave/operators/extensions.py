@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.checkpoints import tabled
+from linkweave.checkpoints import discard, tabled
 from linkweave.functions.names import truthy
 from linkweave.policy import Policy
 
@@ -68,14 +68,20 @@ def propagate(step: Callable[[DataFrame], DataFrame], seeds: DataFrame) -> tuple
     n, rounds = known.count(), 0
     while True:
         rounds += 1
-        found = step(known).where(F.col("status") == "accepted").select(F.col("query_func").alias("query_key"), F.col("predicted_function_name").alias("reference_function_name"))
-        fresh = found.where(truthy("query_key")).groupBy("query_key").agg(F.min("reference_function_name").alias("reference_function_name")).join(known, "query_key", "left_anti")
-        known = tabled(known.unionByName(fresh))
-        was, n = n, known.count()
+        was, known, last = n, tabled(_grown(step(known), known)), known
+        discard(last)
+        n = known.count()
         if n == was:
             return known, rounds
 
 
+def _grown(results: DataFrame, known: DataFrame) -> DataFrame:
+    """The known keys and those that results accept besides."""
+    found = results.where(F.col("status") == "accepted").select(F.col("query_func").alias("query_key"), F.col("predicted_function_name").alias("reference_function_name"))
+    fresh = found.where(truthy("query_key")).groupBy("query_key").agg(F.min("reference_function_name").alias("reference_function_name")).join(known, "query_key", "left_anti")
+    return known.unionByName(fresh)
+
+
 def mapping_export(results: DataFrame, ranked: DataFrame | None = None, advice: DataFrame | None = None) -> DataFrame:
     """case_id, status and mapping, a JSON document for each case: the final candidate, its scores and evidence, the cases that it is in conflict
     with, and what a language model said of it (llm_evidence; it changes nothing else). Cases without candidates are `rejected`.

@@ -29,7 +29,7 @@ def stored(view: Callable[[Tables], DataFrame]) -> cached_property:
     def read(self: Tables) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, view.__name__)
         if key not in _STORED:
-            _STORED[key] = tabled(view(self))
+            _STORED[key] = tabled(view(self), lasting=True)
         return _STORED[key]
 
     return cached_property(read)

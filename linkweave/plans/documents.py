@@ -1,7 +1,7 @@
 """Whole result documents (A15) and the lines that a run prints of its cases.
 
-A document is one JSON text of a header, a summary and all records, as the scripts' users expect it; records are gathered into
-one row for it, so it suits suites of cases. Larger results are written by row: sources.sinks.write_documents()."""
+A document is one JSON text of a header, a summary and all records, as the scripts' users expect it. It is a table of lines whose partitions, in their order,
+are that text; sources.sinks.write_document() writes them as parts and joins those. Results without a header are written by row: sources.sinks.write_documents()."""
 
 from __future__ import annotations
 
@@ -9,8 +9,9 @@ import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from linkweave.checkpoints import tabled
+from linkweave.checkpoints import tabled, written
 from linkweave.operators import metrics, scoring
 from linkweave.operators.review import ITEMS, anchor_items
 from linkweave.plans.runs import Scored
@@ -59,17 +60,37 @@ def _text(x: Column) -> Column:
     return F.to_json(x, {"ignoreNullFields": "false", "pretty": "true"})
 
 
+_HEAD, _OPEN, _RECORD, _CLOSE = range(4)
+
+
 def document(header: dict[str, Column], parts: dict[str, DataFrame], records: dict[str, DataFrame], key: str = "case_id") -> DataFrame:
-    """One row, `value`: the header's fields, the one row of each of parts, and each of records as an array in order of key."""
-    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
-    rows = [x.select(F.lit(name).alias("name"), _text(F.struct("*")).alias("text")) for name, x in parts.items()]
-    for name, x in records.items():
-        listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.struct(*x.columns).alias("r"))), by_key), lambda e: e["r"])
-        rows.append(x.agg(_text(listed).alias("text")).select(F.lit(name).alias("name"), "text"))
-    texts = functools.reduce(DataFrame.unionByName, rows).agg(F.map_from_entries(F.collect_list(F.struct("name", "text"))).alias("m"))
+    """Rows `value` that are, one after another, a JSON document: the header's fields, the one row of each of parts, and each of records as an array in order of key.
+
+    Records are dealt out by ranges of section and key and sorted there, so the partitions in their order are the document: nothing is gathered. What stands between
+    two records belongs to the second; which one is a section's first is told by the places that they have then. sinks.write_document() makes a file of it."""
+    spark = next(iter((*records.values(), *parts.values()))).sparkSession
+    kind = next(iter(records.values())).schema[key].dataType if records else StringType()
+    none = F.lit(None).cast(kind)
+
+    def line(of: DataFrame, section: int, what: int, value: Column, at: Column = none) -> DataFrame:
+        return of.select(F.lit(section).alias("section"), F.lit(what).alias("what"), at.alias("key"), value.alias("value"))
+
+    one = spark.range(1)
     head = _text(F.struct(F.lit(VERSION).alias("schema_version"), *[c.alias(n) for n, c in header.items()]))
-    body = [F.concat(F.lit(f',\n  "{name}" : '), F.element_at("m", F.lit(name))) for name in (*parts, *records)]
-    return texts.select(F.concat(F.regexp_replace(head, r"\s*\}$", ""), *body, F.lit("\n}")).alias("value"))
+    rows = [line(one, 0, _HEAD, F.regexp_replace(head, r"\s*\}$", ""))]
+    for section, (name, of) in enumerate([*parts.items(), *records.items()], 1):
+        begin = F.lit(f',\n  "{name}" : ')
+        if name in parts:
+            rows.append(line(of, section, _HEAD, F.concat(begin, _text(F.struct("*")))))
+        else:
+            rows += [line(one, section, _OPEN, F.concat(begin, F.lit("["))), line(of, section, _RECORD, _text(F.struct(*of.columns)), F.col(key)), line(one, section, _CLOSE, F.lit("]"))]
+    rows.append(line(one, len(parts) + len(records) + 1, _HEAD, F.lit("}")))
+    order = ["section", "what", "key"]
+    dealt = functools.reduce(DataFrame.unionByName, rows).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    placed = written(dealt.sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()))
+    first = placed.where(F.col("what") == _RECORD).groupBy("section").agg(F.min("place").alias("place")).collect()  # a row for each section
+    follows = (F.col("what") == _RECORD) & ~F.col("place").isin([r["place"] for r in first])
+    return placed.select(F.when(follows, F.concat(F.lit(", "), F.col("value"))).otherwise(F.col("value")).alias("value"))
 
 
 def _expansion(policy: Policy) -> Column:

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.checkpoints import tabled
+from linkweave.checkpoints import discard, released, tabled
 from linkweave.functions.names import truthy
 from linkweave.operators import anchors as A
 from linkweave.operators import candidates as C
@@ -135,25 +135,29 @@ def propagate_in_rounds(cases: DataFrame, neighbours: DataFrame, seeds: DataFram
         anchors = A.anchored_neighbours(neighbours, cases, known, names, policy)
         return _score_cases(cases, anchors, listed, functions, pairs, policy).results.select(*_STATE)
 
+    spark = cases.sparkSession
     known = tabled(seeds.select("query_key", "reference_function_name"))
-    state = tabled(scored(cases, neighbours, listed, known))
+    with released(spark) as keep:  # of a round only its results stay, until the next one's are written
+        state = keep(tabled(scored(cases, neighbours, listed, known)))
     sizes = [state.count()]
     while True:
-        marked = D.conflicts(state)
-        accepted = marked.where((F.col("status") == "accepted") & truthy("query_func") & truthy("predicted_function_name"))
+        accepted = D.conflicts(state).where((F.col("status") == "accepted") & truthy("query_func") & truthy("predicted_function_name"))
         fresh = accepted.groupBy(F.col("query_func").alias("query_key")).agg(F.min("predicted_function_name").alias("reference_function_name"))
-        fresh = tabled(fresh.join(known, "query_key", "left_anti"))
-        if fresh.isEmpty():
-            return Propagated(known, marked, sizes)
-        known = tabled(known.unionByName(fresh))
-        changed = tabled(neighbours.join(fresh.select(F.col("query_key").alias("name")), "name", "left_semi").select("case_id").distinct())
-        n = changed.count()
+        with released(spark) as keep:
+            fresh = tabled(fresh.join(known, "query_key", "left_anti"))
+            old = [known, state]
+            grown = keep(tabled(known.unionByName(fresh)))
+            changed = tabled(neighbours.join(fresh.select(F.col("query_key").alias("name")), "name", "left_semi").select("case_id").distinct())
+            n = changed.count()
+            known = grown
+            if n:
+                part = [rows.join(changed, "case_id", "left_semi") for rows in (cases, neighbours, listed)]
+                state = keep(tabled(state.join(changed, "case_id", "left_anti").unionByName(scored(*part, known))))
+        for table in old[: 2 if n else 1]:
+            discard(table)
         if not n:
-            return Propagated(known, marked, sizes)
+            return Propagated(known, D.conflicts(state), sizes)
         sizes.append(n)
-        part = [rows.join(changed, "case_id", "left_semi") for rows in (cases, neighbours, listed)]
-        again = scored(*part, known)
-        state = tabled(state.join(changed, "case_id", "left_anti").unionByName(again))
 
 
 def evaluate_hybrid(cases: DataFrame, neighbours: DataFrame, listed: DataFrame, functions: DataFrame, edges: DataFrame | store.Pairs, policy: Policy) -> Scored:

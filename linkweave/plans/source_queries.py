@@ -121,9 +121,7 @@ def store_report(t: Tables) -> DataFrame:
 def _put(rows: DataFrame, header: dict[str, Column], field: str, name: str, order: str = "at") -> str:
     """A JSON document on disk: a header, and rows (order, and the entry as `e`) as one array."""
     path = fresh(rows.sparkSession, name)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), "e")), lambda a, b: F.when(a["k"] < b["k"], -1).otherwise(1)), lambda x: x["e"])
-    one = rows.agg(listed.alias(field)).select(*[c.alias(n) for n, c in header.items()], field)
-    one.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
+    sinks.write_document(documents.document({n: c for n, c in header.items() if n != "schema_version"}, {}, {field: rows.select(order, "e.*")}, order), path)
     return path
 
 
@@ -248,9 +246,9 @@ def self_calls(t: Tables) -> DataFrame:
 
 
 def _read(document: DataFrame, name: str, schema: str) -> DataFrame:
-    """One row: a document, written as text and read again as JSON."""
+    """One row: a document, written as a file and read again as JSON."""
     path = fresh(document.sparkSession, name)
-    document.coalesce(1).write.text(path)
+    sinks.write_document(document, path)
     return readers.read_document(document.sparkSession, path, schema)
 
 

@@ -141,6 +141,51 @@ def write_documents(rows: DataFrame, path: str, replace: bool = False) -> None:
     rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite" if replace else "errorifexists").text(path)
 
 
+def write_document(lines: DataFrame, path: str, replace: bool = False) -> None:
+    """One file of the rows of `lines` in the order of its partitions, as of plans.documents.document().
+
+    Executors write a part for each partition. The parts are joined beside path, by the file system itself where it can (HDFS moves blocks and copies nothing),
+    else by a copy through a small buffer, and get their name by a rename: there is no half document at path."""
+    spark = lines.sparkSession
+    folder, name = _Folder(spark, path.rstrip("/").rpartition("/")[0] or "."), path.rstrip("/").rpartition("/")[2]
+    if folder.fs.exists(folder.at(name)) and not replace:
+        raise FileExistsError(f"there is a document at {path}")
+    held = f".{name}-{uuid.uuid4().hex}"
+    try:
+        lines.select("value").write.text(f"{folder.path}/{held}")
+        # names begin with the partition's number, of five digits or more
+        parts = sorted((n for n in folder.names(held) if n.startswith("part-")), key=lambda n: int(n.split("-")[1]))
+        whole = folder.at(f"{held}/whole")
+        _joined(spark, folder, [folder.at(f"{held}/{n}") for n in parts], whole)
+        if replace:
+            folder.remove(name)
+        if not folder.fs.rename(whole, folder.at(name)):
+            raise FileExistsError(f"there is a document at {path}")
+    finally:
+        folder.remove(held)
+
+
+def _joined(spark: SparkSession, folder: _Folder, parts: list[JavaObject], whole: JavaObject) -> None:
+    jvm = spark.sparkContext._jvm
+    out = folder.fs.create(whole)
+    if folder.fs.getScheme() == "hdfs" and parts:
+        out.close()
+        array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts))
+        for k, part in enumerate(parts):
+            array[k] = part
+        folder.fs.concat(whole, array)
+        return
+    try:
+        for part in parts:
+            source = folder.fs.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            finally:
+                source.close()
+    finally:
+        out.close()
+
+
 def write_files(files: DataFrame, root: str) -> None:
     """Text files below root: a row (path, value) is one file. The executors write them; each then gets its name by one rename."""
     spark = files.sparkSession

@@ -179,6 +179,23 @@ def test_rounds_score_only_what_has_changed(spark):
     assert done.scored[0] == 8 and len(done.scored) > 5 and max(done.scored[1:]) <= 2
 
 
+def test_tables_are_removed(spark):
+    from pathlib import Path
+
+    from linkweave import checkpoints
+
+    exists = lambda df: Path(df.stored_at.removeprefix("file:")).exists()
+    with checkpoints.released(spark) as keep:
+        one, two = checkpoints.tabled(spark.range(3)), keep(checkpoints.tabled(spark.range(4)))
+        with checkpoints.released(spark) as inner:
+            three = inner(checkpoints.tabled(spark.range(5)))
+            four = checkpoints.tabled(spark.range(6))
+        assert exists(one) and exists(three) and not exists(four)
+    assert not exists(one) and not exists(three) and two.count() == 4
+    checkpoints.discard(two)
+    assert not exists(two)
+
+
 def test_propagation_has_no_most_rounds(spark):
     """A chain in which each round accepts the next function."""
     chain = spark.createDataFrame([(f"q{k}", f"q{k + 1}", f"r{k + 1}") for k in range(13)], "was string, query_func string, predicted_function_name string")

@@ -242,6 +242,29 @@ def test_documents_keep_characters(spark, tmp_path):
     assert Policy().primary_bonus == 0.04
 
 
+def test_a_document_is_joined_in_order(spark, tmp_path):
+    import json
+
+    from linkweave.plans import documents
+
+    rows = spark.range(500).repartition(7).select(F.concat(F.lit("c"), F.lpad(((F.col("id") * 7) % 400).cast("string"), 4, "0")).alias("case_id"), "id", F.lit("é \n\"").alias("text"))
+    one = spark.createDataFrame([(3, "x")], "n int, of string")
+    none = rows.where("id < 0")
+    path = str(tmp_path / "deep" / "run.json")
+    lines = documents.document({"name": F.lit(None).cast("string"), "n": F.lit(1)}, {"summary": one}, {"results": rows, "others": none, "again": rows.limit(1)})
+    assert lines.rdd.getNumPartitions() > 1
+    sinks.write_document(lines, path)
+    got = json.loads((tmp_path / "deep" / "run.json").read_text(encoding="utf-8"))
+    assert list(got) == ["schema_version", "name", "n", "summary", "results", "others", "again"]
+    assert got["summary"] == {"n": 3, "of": "x"} and got["name"] is None and got["others"] == [] and len(got["again"]) == 1
+    assert [r["case_id"] for r in got["results"]] == sorted(r["case_id"] for r in rows.collect()) and {r["text"] for r in got["results"]} == {"é \n\""}
+    with pytest.raises(FileExistsError):
+        sinks.write_document(lines, path)
+    sinks.write_document(documents.document({}, {"summary": one}, {}), path, replace=True)
+    assert json.loads((tmp_path / "deep" / "run.json").read_text()) == {"schema_version": "0.1", "summary": {"n": 3, "of": "x"}}
+    assert [p.name for p in (tmp_path / "deep").iterdir() if not p.name.endswith(".crc")] == ["run.json"]
+
+
 def test_anchor_stream(spark, tmp_path):
     from linkweave.streaming import append_anchors
 
