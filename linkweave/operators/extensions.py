@@ -17,20 +17,24 @@ from linkweave.policy import Policy
 def validation_issues(functions: DataFrame, edges: DataFrame, candidates: DataFrame, mappings: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Rule and number of rows that break it: repeated ids, loose ends of edges, repeated candidates, scores and confidences outside 0 to 1, anchors
     that are not accepted, and documents (name, schema_version) without a version."""
-    outside = lambda rows, c: rows.where(~F.col(c).between(0.0, 1.0))
-    ids = functions.select("function_id").distinct()
-    broken = {
-        "function_id_unique": functions.groupBy("function_id").count().where("count > 1"),
-        "edge_ends_exist": edges.select(F.explode(F.array("src_id", "dst_id")).alias("function_id")).join(ids, "function_id", "left_anti"),
-        "candidate_names_unique": candidates.groupBy("case_id", "name").count().where("count > 1"),
-        "score_in_range": outside(candidates, "prior"),
-        "anchors_accepted": mappings.where(~F.col("status").eqNullSafe("accepted")),
-    }
-    if "confidence" in mappings.columns:
-        broken["confidence_in_range"] = outside(mappings, "confidence")
+    each = []
+
+    def told(counts: DataFrame) -> None:
+        """One row of counts, a column for each rule, as rows."""
+        rules = ", ".join(f"'{c}', coalesce({c}, 0L)" for c in counts.columns)
+        each.append(counts.selectExpr(f"stack({len(counts.columns)}, {rules}) AS (rule, rows)"))
+
+    outside = lambda c: F.count_if(~F.col(c).between(0.0, 1.0))
+    # each table is read once: rules of rows are counted beside what is grouped, and ids meet the edges' ends in one grouping
+    ends = edges.select(F.explode(F.array("src_id", "dst_id")).alias("id"), F.lit(0).alias("own"), F.lit(1).alias("end"))
+    ids = functions.select(F.col("function_id").alias("id"), F.lit(1).alias("own"), F.lit(0).alias("end")).unionByName(ends).groupBy("id").agg(F.sum("own").alias("own"), F.sum("end").alias("ends"))
+    told(ids.agg(F.count_if(F.col("own") > 1).alias("function_id_unique"), F.sum(F.when((F.col("own") == 0) | F.col("id").isNull(), F.col("ends"))).alias("edge_ends_exist")))
+    names = candidates.groupBy("case_id", "name").agg(F.count("*").alias("n"), outside("prior").alias("wrong"))
+    told(names.agg(F.count_if(F.col("n") > 1).alias("candidate_names_unique"), F.sum("wrong").alias("score_in_range")))
+    told(mappings.agg(F.count_if(~F.col("status").eqNullSafe("accepted")).alias("anchors_accepted"), *[outside(c).alias("confidence_in_range") for c in ("confidence",) if c in mappings.columns]))
     if documents is not None:
-        broken["schema_version_given"] = documents.where(~truthy("schema_version"))
-    return functools.reduce(DataFrame.unionByName, [rows.agg(F.count("*").alias("rows")).select(F.lit(rule).alias("rule"), "rows") for rule, rows in broken.items()])
+        told(documents.agg(F.count_if(~truthy("schema_version")).alias("schema_version_given")))
+    return functools.reduce(DataFrame.unionByName, each)
 
 
 def anchor_selection(candidates: DataFrame, score: float = 0.9, margin: float = 0.05) -> DataFrame:

@@ -115,11 +115,12 @@ def propagation_document(done: Scored, policy: Policy, suite_name: str | None =
 
 def evaluation_document(done: Scored, policy: Policy, suite_name: str | None = None, description: str | None = None) -> DataFrame:
     done = done.kept()
-    modes = metrics.summary_by_mode(done.results)
+    both = tabled(metrics.summaries(done.results))
+    modes = metrics.summary_by_mode(done.results, both)
     entry = F.struct("mode", F.struct(*[c for c in modes.columns if c != "mode"]).alias("s"))
     by_mode = modes.agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("modes"))
     header = {"suite_name": F.lit(suite_name), "description": F.lit(description), "anchor_policy": _anchors(policy), "candidate_expansion": _expansion(policy), "scoring": _scoring(policy)}
-    return document(header, {"summary": metrics.summary(done.results), "by_mode": by_mode}, {"cases": evaluation_records(done, policy)})
+    return document(header, {"summary": metrics.summary(done.results, both), "by_mode": by_mode}, {"cases": evaluation_records(done, policy)})
 
 
 def analysis_document(records: DataFrame, source: str, suite_name: str | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkweave.functions import features as FF
@@ -102,6 +103,41 @@ def test_calls_that_fail_are_rows(spark):
     assert (got["3"]["status"], got["3"]["analysis"]) == ("completed", None)
 
 
+def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path):
+    asked = spark.createDataFrame([(k, f"p{k % 30}") for k in range(40)], "case_id long, prompt string").repartition(3)
+    calls = str(tmp_path / "calls")
+
+    def client(prompt):
+        import os
+        import uuid
+
+        os.makedirs(f"{calls}/{prompt}", exist_ok=True)
+        n = len(os.listdir(f"{calls}/{prompt}"))
+        open(f"{calls}/{prompt}/{uuid.uuid4().hex}", "w").close()
+        if len(os.listdir(calls)) > 14 and not os.path.exists(f"{calls}-stopped"):
+            open(f"{calls}-stopped", "w").close()
+            raise AttributeError("stopped")  # nothing that a call raises: the run ends here
+        if prompt in ("p3", "p4") and n < 2:
+            raise RuntimeError("busy")
+        if prompt == "p5":
+            raise RuntimeError("never")
+        return json.dumps({"p": prompt})
+
+    path = str(tmp_path / "answers")
+    with pytest.raises(Exception, match="stopped"):
+        analyst.ask_and_keep(asked, client, "test", "m", path, waves=6, delay=0.0)
+    kept = {r["raw_response"] for r in spark.read.parquet(path).where("status = 'completed'").collect()}
+    before = {p.name: len(list(p.iterdir())) for p in (tmp_path / "calls").iterdir()}
+    got = {r["case_id"]: r for r in analyst.ask_and_keep(asked, client, "test", "m", path, waves=6, delay=0.0).collect()}
+    assert sorted(got) == list(range(40))
+    assert all(json.loads(r["analysis"]) == {"p": f"p{k % 30}"} for k, r in got.items() if k % 30 != 5)
+    assert (got[5]["status"], got[5]["error"], got[35]["prompt"]) == ("error", "never", "p5")
+    after = {p.name: len(list(p.iterdir())) for p in (tmp_path / "calls").iterdir()}
+    done = {json.loads(r)["p"] for r in kept}
+    assert done and all(after[p] == before[p] for p in done)
+    assert after["p3"] >= 3 and all(n == 1 for p, n in after.items() if p not in before and p not in ("p3", "p4", "p5"))
+
+
 def test_http_client(monkeypatch):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
