@@ -49,6 +49,15 @@ def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def hashable(docs: DataFrame) -> list[Column]:
+    """A table's columns for a hash of its rows; maps and variants have none and are taken as JSON."""
+    out = []
+    for name, kind in docs.dtypes:
+        c = F.col(f"`{name.replace('`', '``')}`")
+        out.append(F.to_json(F.struct(c.alias("c"))) if "map<" in kind or "variant" in kind else c)
+    return out
+
+
 #: Numbers that one row is spread to at once, at most.
 SPREAD = 1 << 16
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.llm.common import WORD, apart, checkpointed
+from linkweave.llm.common import WORD, apart, checkpointed, hashable
 
 #: More patterns than this are refused: they are what the driver holds.
 MOST_PATTERNS = 100_000
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, size: Column, members: Column, weights: dict[str | None
     if not any(fit for *_, fit in cuts.values()):
         return taken(known, part)
     # rows under one id and of one size, of which only so many are taken once more
-    ties = checkpointed(known.where(tied).withColumns({"__row": F.xxhash64(*docs.columns), "__task": F.spark_partition_id()}))
+    ties = checkpointed(known.where(tied).withColumns({"__row": F.xxhash64(*hashable(docs)), "__task": F.spark_partition_id()}))
     counts = ties.groupBy("__m", "__row", "__task").agg(F.count("*").alias("__k"))
     ahead = F.coalesce(F.sum("__k").over(Window.partitionBy("__m").orderBy("__row", "__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.withColumn("__ahead", ahead).select(F.col("__m").alias("__m2"), F.col("__row").alias("__row2"), F.col("__task").alias("__task2"), "__ahead")

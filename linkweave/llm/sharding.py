@@ -22,6 +22,8 @@ from linkweave.llm.common import apart, checkpointed, spread
 
 ROUNDS = 4
 BUCKETS = 4096
+#: In so many parts the places of one key are numbered.
+PARTS = 1024
 WALKS = 64
 
 
@@ -91,16 +93,31 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: str = "linkweave")
 
 @apart
 def shuffled(docs: DataFrame, shards: int = 40, seed: str = "linkweave") -> DataFrame:
-    """docs with shard and slot, for writing; rows that agree in id, size and checksum are told apart by their number."""
+    """docs with shard and slot, for writing; rows that agree in id, size and checksum are told apart by the task that reads them and their place there.
+
+    The table is written once with both, so they hold; rows are numbered in each task, and before that the tasks' counts are added up, so copies of one
+    row, however many, never meet in one task."""
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.drop("shard", "slot")
     key = ["__id", "__size", "__crc"]
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__size": F.octet_length(text).cast("long"), "__crc": F.crc32(text.cast("binary"))})
-    each = Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))
+    keyed = docs.withColumns({"__id": F.col("doc_id"), "__size": F.octet_length(text).cast("long"), "__crc": F.crc32(text.cast("binary")), "__task": F.spark_partition_id(), "__row": F.monotonically_increasing_id()})
+    keyed = checkpointed(keyed)
+    same = " AND ".join(("a.__id <=> b.__id", "a.__size = b.__size", "a.__crc = b.__crc"))
+    counts = keyed.groupBy(*key, "__task").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*key).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    slim = keyed.select(*key, "__task", "__row").withColumn("__i", F.row_number().over(Window.partitionBy(*key, "__task").orderBy("__row")))
+    slim = slim.alias("a").join(counts.alias("b"), F.expr(f"{same} AND a.__task = b.__task")).select(*[f"a.{c}" for c in key], "a.__row", (F.col("a.__i") + F.col("b.__before")).alias("__k"))
     placed = place(keyed.select(*key), key, shards, seed)
-    placed = placed.withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy("slot", "shard")))
-    joined = keyed.withColumn("__k", F.row_number().over(each)).alias("a").join(placed.alias("b"), F.expr("a.__id <=> b.__id AND a.__size = b.__size AND a.__crc = b.__crc AND a.__k = b.__k"))
-    return joined.select(*[F.col(f"a.`{c}`") for c in docs.columns], "b.shard", "b.slot")
+    # places of a key are numbered in PARTS parts
+    held = Window.partitionBy(*key, "__part").orderBy("slot", "shard")
+    placed = placed.withColumn("__part", F.pmod("slot", F.lit(PARTS)))
+    parts = placed.groupBy(*key, "__part").agg(F.count("*").alias("__n"))
+    parts = parts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    placed = placed.withColumn("__i", F.row_number().over(held)).alias("a").join(parts.alias("b"), F.expr(f"{same} AND a.__part = b.__part"))
+    placed = placed.select(*[f"a.{c}" for c in key], "a.shard", "a.slot", (F.col("a.__i") + F.col("b.__before")).alias("__k"))
+    found = slim.alias("a").join(placed.alias("b"), F.expr(f"{same} AND a.__k = b.__k")).select(F.col("a.__row").alias("__at"), "b.shard", "b.slot")
+    return keyed.join(found, F.col("__row") == F.col("__at")).select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
 
 
 #: The same by SQL, for documents; CRC-32 byte by byte.

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from linkweave.llm.common import apart, checkpointed, components, frugal, labelled, partitions, slices, whole_groups
+from linkweave.llm.common import apart, checkpointed, components, frugal, hashable, labelled, partitions, slices, whole_groups
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = 64
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text, with what tells rows apart where ids don't: __t, a hash of the text, and __r, one of all columns."""
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("__t"), F.xxhash64(*docs.columns).alias("__r"))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("__t"), F.xxhash64(*hashable(docs)).alias("__r"))
 
 
 #: Hash values of keys that are broadcast, at most: 16 MB whatever the tables' sizes.
@@ -239,7 +239,7 @@ def picked(docs: DataFrame, keys: DataFrame, few: bool = False) -> DataFrame:
     """The columns of docs and of keys for the rows of docs that keys names by (__id, __kt, __kr), each once where rows are repeated.
 
     few: keys may name few rows; then texts that can't be among them, as no key has their hash value, aren't shuffled."""
-    marked = docs.withColumns({"__t": F.xxhash64("text"), "__r": F.xxhash64(*docs.columns)})
+    marked = docs.withColumns({"__t": F.xxhash64("text"), "__r": F.xxhash64(*hashable(docs))})
     if few:
         marked = marked.withColumn("__h", _hash("doc_id", "__t", "__r")).join(F.broadcast(keys.select(_hash("__id", "__kt", "__kr")).distinct()), "__h", "left_semi").drop("__h")
     kept = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__kt")) & (F.col("__r") == F.col("__kr")))
@@ -271,7 +271,7 @@ def one_each(docs: DataFrame, prints: DataFrame, components: DataFrame) -> DataF
 
 
 def _hash_of(docs: DataFrame) -> Column:
-    return F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"), F.xxhash64(*docs.columns)).bitwiseAND(F.lit(HASHES - 1).cast("long"))
+    return F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"), F.xxhash64(*hashable(docs))).bitwiseAND(F.lit(HASHES - 1).cast("long"))
 
 
 @apart

@@ -67,3 +67,19 @@ def test_hot_rows_are_spread_in_ranges(spark, nothing, monkeypatch):
 def test_any_column_names(docs, underscored):
     out = sharding.shuffled(underscored.withColumn("shard", F.lit("mine")), 4)
     assert out.columns == [*underscored.columns, "shard", "slot"] and table(out, *docs.columns) == table(docs)
+
+
+def test_columns_without_a_hash_and_copies_of_one_row(spark):
+    """Maps have no hash; 3,000 copies of a row are dealt out like other rows."""
+    import corpus_pipeline as P
+    from linkweave.llm import mixing
+
+    rows = [(7, "same text here", "en", "s1", 14, {"a": 1})] * 3000 + [(100 + k, f"text {k} of it", "en", "s2", 9, {"b": k}) for k in range(40)] + [(7, "same text here", "en", "s1", 14, {"a": 2}), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, more map<string,int>").repartition(5)
+    out = sharding.shuffled(docs, 6).collect()
+    assert Counter((r.doc_id, r.text, str(r.more)) for r in out) == Counter((r[0], r[1], str(r[5])) for r in rows)
+    for k in range(6):
+        slots = sorted(r.slot for r in out if r.shard == k)
+        assert slots == list(range(len(slots))) and abs(len(slots) - len(rows) / 6) < 1
+    assert Counter(r.doc_id for r in P.simhash_stage(spark, docs, "").collect())[7] == 1
+    assert {r.doc_id for r in mixing.mixed(docs).collect()} >= {7}
