@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from linkweave.functions.names import normalized_architecture, truthy
 from linkweave.policy import Policy
-from linkweave.sources import schemas
+from linkweave.sources import arrays, schemas
 
 # Directory names that make up an environment.
 ARCHITECTURES = ("aarch64", "arm64", "x86_64")
@@ -41,19 +41,27 @@ def _with_environment(files: DataFrame, path: str, root: str) -> DataFrame:
     return files.withColumn("source_json", relative).withColumn("path_parts", F.split(relative, "/")).where(fits).withColumns(env)
 
 
-def read_features(spark: SparkSession, root: str) -> DataFrame:
+def read_features(spark: SparkSession, root: str, whole: int = 32 << 20) -> DataFrame:
     """A3: one row for each element of each feature file, with row (its place) and the file's environment.
 
-    A file that is not a JSON array raises an error. The environment is the path's; the row's own architecture and
-    version, which a summary shows unchanged, are feature_architecture and feature_lua_version."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("__path"))
+    A file of up to `whole` bytes is read by one task, a larger one by many (sources.arrays); the rows are the same. A file that is
+    not a JSON array raises an error. The environment is the path's; the row's own architecture and version, which a summary shows
+    unchanged, are feature_architecture and feature_lua_version."""
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    raw = texts.text(root, wholetext=True).select("value", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_size").alias("__bytes")).where(F.col("__bytes") <= whole)
     files = _with_environment(raw, "__path", root)
-    array = F.from_json("value", f"array<struct<{_struct(schemas.FEATURES)}>>")
-    fits = F.ltrim(F.regexp_replace("value", r"^[\s﻿]+", "")).startswith("[")
-    rows = F.when(fits, array).otherwise(F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("source_json"))).cast(f"array<struct<{_struct(schemas.FEATURES)}>>"))
-    found = files.select("source_json", "path_parts", "lua_version", "architecture", "opt_level", "strip_mode", F.posexplode(rows).alias("row", "f"))
+    kind = f"array<struct<{_struct(schemas.FEATURES)}>>"
+    text = F.regexp_replace("value", r"^[\s\x{FEFF}]+", "")
+    broken = F.raise_error(F.concat(F.lit("not a JSON array: "), F.col("source_json"))).cast(kind)
+    rows = F.when(text.startswith("["), F.coalesce(F.from_json(text, kind), broken)).otherwise(broken)
+    about = ("source_json", "path_parts", "lua_version", "architecture", "opt_level", "strip_mode")
+    found = files.select(*about, F.posexplode(rows).alias("row", "f"))
+    large = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).where(F.col("length") > whole)
+    if not large.select("path").isEmpty():
+        split = arrays.elements(_with_environment(arrays.pieces(spark, root, whole), "path", root).select("path", "block", "id", "text"))
+        found = found.unionByName(_with_environment(split, "path", root).select(*about, "row", F.from_json("element", f"struct<{_struct(schemas.FEATURES)}>").alias("f")))
     own = [F.col(f"f.{c}").alias({"architecture": "feature_architecture", "lua_version": "feature_lua_version"}.get(c, c)) for c in [x.strip().split(" ")[0] for x in _split(schemas.FEATURES)]]
-    return found.select("source_json", "path_parts", "lua_version", "architecture", "opt_level", "strip_mode", "row", *own)
+    return found.select(*about, "row", *own)
 
 
 def _split(ddl: str) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkweave.operators import store
 from linkweave.policy import Policy
-from linkweave.sources import readers, sinks
+from linkweave.sources import arrays, readers, sinks
 
 
 @pytest.fixture(scope="module")
@@ -274,3 +274,48 @@ def test_anchor_stream(spark, tmp_path):
     for _ in range(2):
         append_anchors(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [r[0] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["a"]
+
+
+ODD = ['}', '{"', "\\", '\\"}', "}, {", "[1, 2]", "é 東\n\t", '"', "", "],[", "a\\\\", ':"{']
+
+
+def _odd_rows(n):
+    """Rows whose strings hold what looks like the ends of rows, some of them longer than a range."""
+    return [{"function_name": f"f{k}" + ODD[k % 12], "entry_point": ODD[k * 5 % 12] * (400 if k % 50 == 7 else 1), "callees": [ODD[(k + j) % 12] for j in range(k % 4)],
+             "compare": {ODD[k % 11]: ["x", "}"], "n": []}, "pcode_opcode_histogram": {"a}": k, '"': 2} if k % 3 else {}, "more": {"deep": [{"er": "}"}, []]}} for k in range(n)]
+
+
+@pytest.fixture
+def narrow(spark):
+    """Ranges of 4 KB."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_large_arrays_are_read_by_many_tasks(spark, tmp_path, narrow):
+    p = tmp_path / "Lua_5/x86_64/O0/nostrip/x.json"
+    p.parent.mkdir(parents=True)
+    texts = {"x": json.dumps(_odd_rows(400)), "lines": "﻿ \r\n" + json.dumps(_odd_rows(150), indent=2, ensure_ascii=False) + " \n", "empty": " [ \n] ", "one": '[{"function_name": "}"}]', "tight": json.dumps(_odd_rows(60), separators=(",", ":"))}
+    for name, text in texts.items():
+        p.with_name(f"{name}.json").write_text(text, encoding="utf-8")
+    assert arrays.pieces(spark, str(tmp_path), 0).where("path LIKE '%/x.json'").select("block").distinct().count() > 10
+    want = readers.read_features(spark, str(tmp_path))
+    order = ["source_json", "row"]
+    rows = [r.asDict() for r in want.orderBy(*order).collect()]
+    assert len(rows) == 611
+    for whole in (0, 30_000):  # all files, and the larger ones alone
+        assert [r.asDict() for r in readers.read_features(spark, str(tmp_path), whole).orderBy(*order).collect()] == rows
+    x = [r for r in rows if r["source_json"].endswith("/x.json")]
+    assert [(r["function_name"], r["callees"]) for r in x] == [(r["function_name"], r["callees"]) for r in _odd_rows(400)]
+
+
+@pytest.mark.parametrize("text", ['{"function_name": "f"}', '[{"function_name": "f"}', '[{"function_name": "f"}, {"fun', '[{"function_name": "f"} {"function_name": "g"}]', '[{"function_name": "f"}, 3]', '[{"function_name": "f"}] x', "[1]", " x "])
+def test_files_that_are_no_arrays(spark, tmp_path, text):
+    p = tmp_path / "Lua_5/x86_64/O0/nostrip/x.json"
+    p.parent.mkdir(parents=True)
+    p.write_text(text, encoding="utf-8")
+    with pytest.raises(PySparkException, match="not a JSON array"):
+        readers.read_features(spark, str(tmp_path), 0).collect()
