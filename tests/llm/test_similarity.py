@@ -72,3 +72,48 @@ def test_similarity_is_exact():
     for least, want in ((Fraction(4, 5), {0: 0, 1: 0, 2: 0}), (Fraction(81, 100), {0: 0, 1: 0, 2: 2}), (Fraction(91, 100), {0: 0, 1: 1, 2: 2})):
         child, root = similarity.alike([a, b, c], np.zeros(3, int), least)
         assert labelled(3, child, root).tolist() == list(want.values())
+
+
+def boilerplate(n, seed=5):
+    """Texts that share two fifths of their words, as one passage, and are not alike."""
+    rnd = random.Random(seed)
+    common = sentence(rnd, 120)
+    return [(k, f"{common} " + " ".join(f"{rnd.randrange(10**6)}" for _ in range(180)), "en", "s1", 1) for k in range(n)]
+
+
+def test_boilerplate_makes_no_groups(spark):
+    """Texts that meet, but aren't similar, fall apart before they are compared."""
+    groups = {}
+    for n in (300, 1500):
+        prints = similarity.sketches(spark.createDataFrame(boilerplate(n), DOCS), 5)
+        keys = Counter(x for r in prints.select("bands").collect() for x in set(r["bands"]))
+        groups[n] = (max(keys.values()), similarity.candidates(prints, Fraction(4, 5)).count())
+    assert groups[1500][0] > 10 and groups[300][1] == groups[1500][1] == 0
+
+
+def test_recall_of_candidates(spark):
+    """Of several hundred pairs between 0.8 and 0.9 all become candidates."""
+    rnd, rows = random.Random(6), []
+    while len(rows) < 800:
+        words = [f"{rnd.randrange(10**6)}" for _ in range(rnd.randint(60, 400))]
+        other = list(words)
+        for _ in range(rnd.randint(1, len(words) // 40 + 1)):
+            other[rnd.randrange(len(words))] = "changed"
+        x, y = plain(" ".join(words)), plain(" ".join(other))
+        if 0.8 <= len(x & y) / len(x | y) < 0.9:
+            rows += [(len(rows), " ".join(words), "en", "s1", 1), (len(rows) + 1, " ".join(other), "en", "s1", 1)]
+    prints = similarity.sketches(spark.createDataFrame(rows, DOCS), 5)
+    at = {r["node"]: r["doc_id"] for r in prints.select("node", "doc_id").collect()}
+    found = {frozenset((at[r["a"]], at[r["b"]])) for r in similarity.candidates(prints, Fraction(4, 5)).collect()}
+    assert found == {frozenset((k, k + 1)) for k in range(0, 800, 2)}
+
+
+def test_buckets_cut_in_tiles_lose_no_candidate(spark):
+    rnd = random.Random(9)
+    words = sentence(rnd, 300).split()
+    rows = [(k, " ".join([*words[:k], "other", *words[k + 1 :]]), "en", "s1", 1) for k in range(40)]
+    prints = similarity.sketches(spark.createDataFrame(rows, DOCS), 5)
+    for tile in (7, 1000):
+        pairs = similarity.meetings(prints, Fraction(4, 5), tile).collect()
+        ids = {x: k for k, x in enumerate({r["node"] for r in prints.select("node").collect()})}
+        assert not labelled(40, np.array([ids[r["a"]] for r in pairs]), np.array([ids[r["b"]] for r in pairs])).any()
