@@ -272,3 +272,22 @@ def test_a_hub_is_not_multiplied_by_its_cases(spark):
     got = {r.case_id: r.names for r in top.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("names")).collect()}
     assert len(got) == cases
     assert all(got[f"c{k}"] == [n for n in best if n != f"f{k * 3}"][:limit] for k in range(cases))
+
+
+def test_a_dear_anchor_is_counted_once_for_its_cases(spark):
+    """An anchor below hub_degree that many cases share is a hub as well, and the best names stay the same."""
+    callers, cases, limit = 200, 40, 5
+    pairs = spark.range(callers).select(F.lit("Lua_547").alias("lua_version"), F.lit("x86_64").alias("architecture"), F.concat(F.lit("f"), "id").alias("src_name"), F.lit("hub").alias("dst_name"), F.array(F.lit("O0"), F.lit("O2")).alias("opt_levels"))
+    pairs = pairs.unionByName(pairs.where("src_name < 'f12'").withColumn("dst_name", F.lit("low")))
+    case = spark.range(cases).select("id", F.concat(F.lit("c"), "id").alias("case_id"), F.lit("Lua_547").alias("lua_version"), F.lit("x86_64").alias("architecture"))
+    anchors = case.select("case_id", F.lit("callee").alias("relation"), F.explode(F.when(F.col("id") % 2 == 0, F.array(F.lit("hub"), F.lit("low"))).otherwise(F.array(F.lit("hub")))).alias("anchor"), F.lit(0).alias("pos"), F.lit("q").alias("query_name"))
+    retrieved = case.select("case_id", F.concat(F.lit("f"), F.col("id") * 3).alias("name"), F.lit(0).alias("pos"))
+    names = spark.range(callers).where("id % 5 > 0").select(F.concat(F.lit("f"), "id").alias("name"))
+    got = []
+    for rows in (10**9, 100):
+        policy = Policy(expansion_limit=limit, hub_rows=rows)
+        assert C.hubs(anchors, case, pairs, policy).count() == (0 if rows > 100 else 2)
+        found = C.best(case, anchors, pairs, names, retrieved, policy)
+        assert found.where("NOT retrieved").count() == cases * limit and found.where("retrieved").count() == cases
+        got.append(sorted(found.select("case_id", "name", "retrieved", "place", "primary_matches", "auxiliary_matches", "auxiliary_support", "retrieved_names", "last_pos").collect(), key=str))
+    assert got[0] == got[1]
