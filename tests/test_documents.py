@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from linkweave.sources import readers
+from linkweave.sources import readers, sinks
 
 HEADER = "name string, summary struct<note:string,inner:struct<a:int>,cases:array<struct<id:bigint>>>, tail int"
 ENTRY = "struct<id:bigint,text:string,cases:array<struct<id:bigint>>>"
@@ -32,3 +32,21 @@ def test_a_large_document_is_read_as_a_small_one(spark, tmp_path):
                 assert len(got) == len(whole.get(field, []))
         finally:
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_large_feature_file_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(500).selectExpr("concat('Lua_547/x86_64/O0/nostrip/', id % 2, '.json') AS source_json", "499 - id AS row", "concat('f', id) AS function_name", "repeat('x', 2000) AS entry_point")
+    rows = rows.unionByName(rows.where("row = 0"))  # a row twice
+    held = []
+    whole, sinks._joined = sinks._joined, lambda spark, folder, parts, out: (held.append(len(parts)), whole(spark, folder, parts, out))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_features(rows, f"{tmp_path}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        sinks._joined = whole
+    assert max(held) > 1
+    for k in (0, 1):
+        with open(f"{tmp_path}/t/Lua_547/x86_64/O0/nostrip/{k}.json", encoding="utf-8") as f:
+            got = [r["function_name"] for r in json.load(f)]
+        assert got == ["f499"] * (k == 1) + [f"f{i}" for i in range(499, -1, -1) if i % 2 == k]
