@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -291,3 +292,43 @@ def test_a_dear_anchor_is_counted_once_for_its_cases(spark):
         assert found.where("NOT retrieved").count() == cases * limit and found.where("retrieved").count() == cases
         got.append(sorted(found.select("case_id", "name", "retrieved", "place", "primary_matches", "auxiliary_matches", "auxiliary_support", "retrieved_names", "last_pos").collect(), key=str))
     assert got[0] == got[1]
+
+
+def _planned(monkeypatch, found):
+    """The plan of what found() writes last."""
+    plans, write = [], C.tabled
+
+    def tabled(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(C, "tabled", tabled)
+    found()
+    return plans[-1]
+
+
+def test_names_of_cases_are_not_dealt_out_for_their_hubs(spark, monkeypatch):
+    """Sums of hubs meet the names where these are counted: one window, and no shuffle by set and name, even if Spark would broadcast nothing."""
+    w = _random_world(spark, 3)
+    anchors = A.anchored_neighbours(w.neighbours, w.cases, w.seeds, store.reference_names(w.functions), Policy())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = _planned(monkeypatch, lambda: C.best(w.cases, anchors, store.pair_levels(w.edges), store.reference_names(w.functions), C.retrieval_candidates(w.listed), Policy(hub_degree=6)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"Exchange hashpartitioning\(hub_set#\d+L?, name", plan)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_expanded_names_are_made_from_lists(spark, monkeypatch, most):
+    """All expanded names, as expansion() has them; with lists of hubs held by executors they are made without a shuffle by name."""
+    monkeypatch.setattr(C, "BROADCAST_ROWS", most)
+    w = _random_world(spark, 4)
+    names, retrieved, pairs = store.reference_names(w.functions), C.retrieval_candidates(w.listed), store.pair_levels(w.edges)
+    anchors = A.anchored_neighbours(w.neighbours, w.cases, w.seeds, names, Policy())
+    columns = ("case_id", "name", "primary_support", "auxiliary_support")
+    want = sorted(C.expansion(w.cases, anchors, pairs, names, retrieved, Policy()).select(*columns).collect(), key=str)
+    for degree in (6, 10**9):
+        got = C.expanded_names(w.cases, anchors, pairs, names, retrieved, Policy(hub_degree=degree))
+        assert got.columns == list(columns) and sorted(got.collect(), key=str) == want and want
+        assert not most or "hashpartitioning(case_id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", name#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(case_id" in x)
