@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkweave.operators import anchors as A
 from linkweave.operators import candidates as C
-from linkweave.operators import decide, metrics, store
+from linkweave.operators import decide, metrics, scoring, store
 from linkweave.operators import extensions as X
 from linkweave.plans.runs import evaluate_hybrid, propagate_from_anchors, propagate_in_rounds
 from linkweave.policy import Policy
@@ -331,3 +331,21 @@ def test_expanded_names_are_made_from_lists(spark, monkeypatch, most):
     for degree in (6, 10**9):
         got = C.expanded_names(w.cases, anchors, pairs, names, retrieved, Policy(hub_degree=degree))
         assert got.columns == list(columns) and sorted(got.collect(), key=str) == want and want
+
+
+def test_all_evidence_stays_where_its_case_is(spark):
+    """Evidence of every candidate, with hubs and without, is what the edges looked up for each name give; a task holds a bounded number of rows, and lists are dealt by case once."""
+    edges = spark.createDataFrame([(f"s{k}", f"p{k % 7}", "O0" if k % 3 else "O2") for k in range(700)] + [("n0", f"s{k}", "O0") for k in range(0, 700, 2)], "src_name string, dst_name string, opt_level string")
+    edges = edges.withColumns({"edge_type": F.lit("calls"), "graph_role": F.lit("reference"), "lua_version": F.lit("Lua_547"), "architecture": F.lit("x86_64"), "strip_mode": F.lit("nostrip")})
+    pairs = store.pair_levels(edges)
+    cases = spark.range(60).select(F.col("id").alias("case_id"), F.lit("Lua_547").alias("lua_version"), F.lit("x86_64").alias("architecture"))
+    callees = cases.select("case_id", F.lit("callee").alias("relation"), F.explode(F.array(*[F.concat(F.lit("p"), ((F.col("case_id") + k) % 7).cast("string")) for k in range(2)])).alias("anchor"))
+    anchors = callees.unionByName(cases.where("case_id % 4 > 0").select("case_id", F.lit("caller").alias("relation"), F.lit("n0").alias("anchor")))
+    anchors = anchors.withColumns({"pos": F.lit(0), "query_name": F.col("anchor")})
+    # every second case has names twice, some of which no anchor speaks for
+    rows = cases.select("case_id", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("k")).select("case_id", F.concat(F.lit("s"), F.when(F.col("case_id") % 2 == 0, F.col("k") % 20).otherwise(F.col("k"))).alias("name"), F.col("k").alias("place"))
+    for policy in (Policy(), Policy(hub_degree=200)):
+        told = C.edges_of_rows(rows, cases, anchors, pairs, policy)
+        got = scoring.all_evidence(told, policy)
+        found = C.looked_up(rows.select("case_id", "name").distinct(), cases, anchors, pairs, policy)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, scoring.with_evidence(rows, found, policy).collect()))
