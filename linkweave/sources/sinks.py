@@ -51,6 +51,11 @@ def _commits(folder: _Folder) -> list[str]:
     return [n for n in folder.names(COMMITS) if not n.startswith(".")]
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether there is a store below path."""
+    return bool(_commits(_Folder(spark, path)))
+
+
 def write_store(functions: DataFrame, edges: DataFrame, path: str, metadata: dict[str, str] | None = None, replace: bool = False, buckets: int | None = None) -> None:
     """A store below path: functions, edges, metadata, and the edges' pairs twice, in buckets by caller and by callee; a store that is there is
     refused unless replace is set.
@@ -69,13 +74,14 @@ def write_store(functions: DataFrame, edges: DataFrame, path: str, metadata: dic
         functions.repartition(*PARTITIONS, "function_name").sortWithinPartitions("function_name").write.partitionBy(*PARTITIONS).parquet(f"{held}/functions")
         edges.repartition(*PARTITIONS, "src_name").sortWithinPartitions("src_name", "dst_name").write.partitionBy(*PARTITIONS).parquet(f"{held}/edges")
         n = buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        calls = tabled(all_pair_levels(edges))
+        calls = tabled(all_pair_levels(spark.read.schema(schemas.EDGES).parquet(f"{held}/edges")))  # as written: edges are computed once
         for name, end in ENDS.items():
             keys = [*ENV_KEYS, end]
             # a task writes whole buckets: dealt as buckets are, a file each
             dealt = calls.repartition(n, *keys)
             dealt.write.bucketBy(n, *keys).sortBy(end).option("path", f"{held}/{name}").format("parquet").saveAsTable(_catalog_name(f"{held}/{name}"))
             spark.sql(f"DROP TABLE {_catalog_name(f'{held}/{name}')}")  # its name alone
+        discard(calls)
         spark.createDataFrame(sorted((metadata or {}).items()), schemas.METADATA).coalesce(1).write.parquet(f"{held}/metadata")
         spark.createDataFrame([(version, n)], "version string, buckets int").coalesce(1).write.json(f"{folder.path}/{COMMITS}/.{version}")
         number = f"{int(before[-1]) + 1 if before else 1:012d}"
@@ -182,6 +188,7 @@ def _joined(spark: SparkSession, folder: _Folder, parts: list[JavaObject], whole
                 jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
             finally:
                 source.close()
+            folder.fs.delete(part, False)  # so that there is no second copy of the whole
     finally:
         out.close()
 

@@ -319,3 +319,23 @@ def test_files_that_are_no_arrays(spark, tmp_path, text):
     p.write_text(text, encoding="utf-8")
     with pytest.raises(PySparkException, match="not a JSON array"):
         readers.read_features(spark, str(tmp_path), 0).collect()
+
+
+def test_a_tree_is_read_once_for_its_store(spark, tree):
+    from linkweave.plans import runs
+
+    features = readers.read_features(spark, tree)
+    built = runs.build_store(features)
+    for df, want in zip(built, (store.functions(features), store.edges(features), store.build_counts(features)), strict=True):
+        assert "from_json" in want._jdf.queryExecution().toString() and "from_json" not in df._jdf.queryExecution().toString()
+        assert sorted(map(str, df.collect())) == sorted(map(str, want.collect()))
+
+
+def test_texts_of_a_large_document_are_dealt_out_by_range_once(spark, tmp_path, narrow):
+    (tmp_path / "d.json").write_text(json.dumps({"edges": [{"src": f"a{k}", "dst": 'b["]'[: k % 5], "edge_type": "calls"} for k in range(900)]}), encoding="utf-8")
+    pieces = arrays.document_pieces(spark, f"{tmp_path}/d.json")
+    assert pieces.select("block").distinct().count() > 5
+    plan = arrays._stretches(pieces, 2)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan  # no checkpoint, which holds texts as they are
+    rows = readers.Document(spark, f"{tmp_path}/d.json", 0).entries("edges", "struct<src:string,dst:string>").orderBy("pos").select("pos", "e.src", "e.dst").collect()
+    assert [tuple(r) for r in rows] == [(k, f"a{k}", 'b["]'[: k % 5]) for k in range(900)]
