@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from linkweave.sources import readers, sinks
 
@@ -50,3 +51,21 @@ def test_a_large_feature_file_is_written_by_many_tasks(spark, tmp_path):
         with open(f"{tmp_path}/t/Lua_547/x86_64/O0/nostrip/{k}.json", encoding="utf-8") as f:
             got = [r["function_name"] for r in json.load(f)]
         assert got == ["f499"] * (k == 1) + [f"f{i}" for i in range(499, -1, -1) if i % 2 == k]
+
+
+def test_records_of_a_document_are_kept_as_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from linkweave.plans import documents
+
+    rows = spark.range(200).select((F.col("id") % 20).alias("case_id"), F.array(F.col("id")).alias("x")).unionByName(spark.createDataFrame([(None, [7])], "case_id long, x array<long>"))
+    lines = documents.document({"n": F.lit(1)}, {}, {"a": rows, "b": rows.where("case_id = 3")})
+    # text is made behind the shuffle
+    behind, _, ahead = lines._jdf.queryExecution().analyzed().toString().partition("RepartitionByExpression")
+    told = r"to_json\([^#]*record\d#"
+    assert re.search(told, behind) and not re.search(told, ahead)
+    sinks.write_document(lines, f"{tmp_path}/d.json")
+    with open(f"{tmp_path}/d.json", encoding="utf-8") as f:
+        got = json.load(f)
+    assert [r["case_id"] for r in got["a"]] == [None, *sorted(k % 20 for k in range(200))]
+    assert sorted(r["x"][0] for r in got["a"] if r["case_id"] is not None) == list(range(200)) and len(got["b"]) == 10
